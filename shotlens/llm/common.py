@@ -49,13 +49,7 @@ def crc_fold(doc_id, n: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")) if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
-class Cache(dict):
-    """A dict that is emptied at the next trim() once it has over `limit` entries: only speed depends on it."""
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit = limit
-
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            self.clear()
+def trim(cache: dict, limit: int) -> None:
+    """Empty a cache that has over `limit` entries: only speed depends on its contents."""
+    if len(cache) > limit:
+        cache.clear()

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shotlens.llm.bpe import op6_bpe
 from shotlens.llm.url_filter import OP9_SQL, op9_url_filter
 from shotlens.llm.warc import OP3_SQL, op3_warc_bundles
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_warc_bundles": op3_warc_bundles, "op9_url_filter": op9_url_filter}
+    return {"op3_warc_bundles": op3_warc_bundles, "op6_bpe": op6_bpe, "op9_url_filter": op9_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
