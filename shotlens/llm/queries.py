@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shotlens.llm.bpe import op6_bpe
 from shotlens.llm.langid import op8_language
+from shotlens.llm.neardup import OP4_SQL, op4_near_duplicates
 from shotlens.llm.packing import op2_packing
 from shotlens.llm.toxicity import op10_toxicity
 from shotlens.llm.url_filter import OP9_SQL, op9_url_filter
@@ -15,8 +16,8 @@ from shotlens.llm.warc import OP3_SQL, op3_warc_bundles
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op8_language": op8_language, "op10_toxicity": op10_toxicity, "op3_warc_bundles": op3_warc_bundles, "op6_bpe": op6_bpe, "op9_url_filter": op9_url_filter}
+    return {"op2_packing": op2_packing, "op4_near_duplicates": op4_near_duplicates, "op8_language": op8_language, "op10_toxicity": op10_toxicity, "op3_warc_bundles": op3_warc_bundles, "op6_bpe": op6_bpe, "op9_url_filter": op9_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_bundles": OP3_SQL, "op9_url_filter": OP9_SQL}
+    return {"op3_warc_bundles": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op9_url_filter": OP9_SQL}
