@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shotlens.llm.bpe import op6_bpe
+from shotlens.llm.html_text import op5_html_text
 from shotlens.llm.langid import op8_language
 from shotlens.llm.neardup import OP4_SQL, op4_near_duplicates
 from shotlens.llm.packing import op2_packing
@@ -16,7 +17,7 @@ from shotlens.llm.warc import OP3_SQL, op3_warc_bundles
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op4_near_duplicates": op4_near_duplicates, "op8_language": op8_language, "op10_toxicity": op10_toxicity, "op3_warc_bundles": op3_warc_bundles, "op6_bpe": op6_bpe, "op9_url_filter": op9_url_filter}
+    return {"op2_packing": op2_packing, "op4_near_duplicates": op4_near_duplicates, "op8_language": op8_language, "op10_toxicity": op10_toxicity, "op3_warc_bundles": op3_warc_bundles, "op5_html_text": op5_html_text, "op6_bpe": op6_bpe, "op9_url_filter": op9_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
