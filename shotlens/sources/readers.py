@@ -103,7 +103,8 @@ def typed_context(df: DataFrame) -> DataFrame:
     have = dict(df.dtypes)
     listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")) if have.get(c, "").startswith("array") else parse_list(F.col(c)) if c in have else F.array().cast("array<string>")
     out = df.withColumns({c: clean_text(F.col(c)) if c in have else F.lit("") for c in TEXTS} | {c: listed(c) for c in ("subtitle_sentences", "aligned_speakers", "cast_pids")})
-    out = out.withColumns({"shot_idx": safe_float(F.col("shot_idx"), None).cast("long"), "shot_start_time": safe_float(F.col("shot_start_time"), 0.0), "shot_end_time": safe_float(F.col("shot_end_time"), 0.0), "match_score": safe_float(F.col("match_score") if "match_score" in have else F.lit(None), 0.0)})
+    number = lambda c: safe_float(F.col(c), 0.0) if c in have else F.lit(0.0)
+    out = out.withColumns({"shot_idx": safe_float(F.col("shot_idx"), None).cast("long"), "shot_start_time": number("shot_start_time"), "shot_end_time": number("shot_end_time"), "match_score": number("match_score")})
     text = unique_join(F.array("subtitle_text", "aligned_script_dialogue"), " ")
     return out.withColumns({"num_cast": F.size("cast_pids"), "main_speaker": F.coalesce(F.try_element_at("aligned_speakers", F.lit(1)), F.lit("")), "has_dialogue_text": text != "", "utterance_count_shot": utterance_count(F.col("subtitle_sentences"), F.col("subtitle_text")).cast("long")})
 
