@@ -55,6 +55,6 @@ def test_text(one):
     assert one(*(T.line_class(F.lit(x)) for x in ("          DOROTHY (CONT'D)", "     Hello", "     12.", "", "     stray words", "INT. HOUSE", "          FADE OUT", "(CONTINUED)", "no indent"))) == ["S", "D", "N", "B", "D", "O", "O", "N", "O"]
     assert one(T.global_person_id(F.lit("nm1"), F.lit("s"), F.lit("t")), T.global_person_id(F.lit("others"), F.lit("s"), F.lit("t")), T.global_person_id(F.lit(""), F.lit("s"), F.lit("t")), T.padded("shot_", 4, F.lit(7)), T.padded("shot_", 4, F.lit(12345))) == ["pid:nm1", "other:s:t", "local:s:t", "shot_0007", "shot_12345"]
     assert one(T.utterance_count(F.array(F.lit("a"), F.lit(" ")), F.lit("")), T.utterance_count(F.array().cast("array<string>"), F.lit("a | b")), T.retry_seconds(F.lit("try again in 0.1s")), T.retry_seconds(F.lit(""))) == [1, 2, 0.5, 3.0]
-    v = one(T.visual_cues(F.lit("FADE IN: HOUSE\nShe looks at him. CAMERA PANS.\nEXT.ROAD\nHe walks. \nINT. a word has to follow")))
+    v = one(T.visual_cues(F.lit("FADE IN: HOUSE\nShe looks at him. CAMERA PANS.\nEXT.ROAD\nHe walks. \nINT. a word has to come")))
     assert (v["scene_heading_count"], v["scene_boundary_count"], v["gaze_verb_count"], v["camera_cue_count"], v["movement_cue_count"]) == (2, 1, 1, 2, 1)
     assert one(T.truncate(F.lit("abcdefghij"), 8), T.truncate(F.lit("abc"), 8)) == ["abcde...", "abc"]
