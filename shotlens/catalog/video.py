@@ -146,7 +146,7 @@ def greedy_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("identity_cascade", """
 WITH t AS (SELECT vec_id, label, vec_id % 4 AS shot, 'trk_' || lpad(CAST(vec_id AS VARCHAR), 5, '0') AS local_track_id FROM embeddings),
 b AS (SELECT vec_id, 'nm' || label AS pid, round(0.55 + (vec_id % 40) / 100.0, 2) AS score FROM t WHERE vec_id % 3 = 0), g AS (SELECT vec_id, 'nm' || (label + 1) AS pid, round(least(0.95, 0.6 + (vec_id % 50) / 100.0), 2) AS conf FROM t WHERE vec_id % 5 = 0)
-SELECT t.vec_id, coalesce(b.pid, g.pid, '') AS cast_pid, round(coalesce(b.score, g.conf, 0), 6) AS identity_confidence, CASE WHEN b.pid IS NOT NULL THEN 'body_bbox' WHEN g.pid IS NOT NULL THEN 'face_gallery' ELSE '' END AS identity_source,
+SELECT t.vec_id, coalesce(b.pid, g.pid, '') AS cast_pid, round(coalesce(b.score, g.conf, 0), 6) AS identity_confidence, CASE WHEN b.pid IS NOT NULL THEN 'movienet_body_bbox' WHEN g.pid IS NOT NULL THEN 'sface_gallery' ELSE '' END AS identity_source,
   CASE WHEN coalesce(b.pid, g.pid) IS NOT NULL THEN 'linked_pid' ELSE 'unknown' END AS identity_status, CASE WHEN coalesce(b.pid, g.pid) IS NOT NULL THEN 'pid:' || coalesce(b.pid, g.pid) ELSE 'local:' || t.shot || ':' || local_track_id END AS global_person_id
 FROM t LEFT JOIN b USING (vec_id) LEFT JOIN g USING (vec_id)""")
 def identity_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

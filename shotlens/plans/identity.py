@@ -103,8 +103,8 @@ def cascade(tracks: DataFrame, body: DataFrame, matched: DataFrame, shots: DataF
     has_body, has_gallery, has_speaker = F.col("__bs").isNotNull(), F.col("__gp").isNotNull(), F.col("__sp").isNotNull()
     pick = lambda a, b, c, d: F.when(has_body, a).when(has_gallery, b).when(has_speaker, c).otherwise(d)
     pid = pick(F.coalesce("__bp", F.lit("")), F.col("__gp"), F.col("__sp"), F.lit(""))
-    out = out.withColumns({"cast_pid": pid, "identity_confidence": F.bround(pick(F.col("__bs"), F.col("__gc"), F.least(F.lit(rules.single_speaker), F.col("__sc")), F.lit(0.0)), 6), "identity_source": pick(F.lit("body_bbox"), F.lit("face_gallery"), F.lit("single_speaker_single_track"), F.lit(""))})
-    linked = F.when(F.col("identity_source") == "", "unknown").when(F.col("cast_pid").isin("", "others"), F.when(F.col("identity_source") == "face_gallery", "unknown").otherwise("linked_other")).otherwise("linked_pid")
+    out = out.withColumns({"cast_pid": pid, "identity_confidence": F.bround(pick(F.col("__bs"), F.col("__gc"), F.least(F.lit(rules.single_speaker), F.col("__sc")), F.lit(0.0)), 6), "identity_source": pick(F.lit("movienet_body_bbox"), F.lit("sface_gallery"), F.lit("single_speaker_single_track"), F.lit(""))})
+    linked = F.when(F.col("identity_source") == "", "unknown").when(F.col("cast_pid").isin("", "others"), F.when(F.col("identity_source") == "sface_gallery", "unknown").otherwise("linked_other")).otherwise("linked_pid")
     out = out.withColumns({"identity_status": linked, "global_person_id": global_person_id(F.col("cast_pid"), F.col("shot_id"), F.col("local_track_id"))})
     out = out.join(cast.select(F.col("pid").alias("cast_pid"), "cast_name", "character_name").dropDuplicates(["cast_pid"]), "cast_pid", "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("cast_name", "character_name")})
     return out.drop("__bp", "__bs", "__gp", "__gc", "__tracks", "__sp", "__sc", "norm", "speakers")

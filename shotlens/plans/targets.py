@@ -14,8 +14,9 @@ from shotlens.functions.text import normalize_label
 from shotlens.operators.folds import carry_choice
 from shotlens.operators.windows import adjacent_values, neighbour_union, smooth_isolated
 
-# Rank of the candidate types in ties.
+# Rank of the candidate types in ties, source of a tie's winner, types that name nobody.
 PRIORITY = {"onscreen_local_track": 5, "current_speaker": 4, "offscreen_participant": 3, "offscreen_place_or_away": 2, "down_self_or_think": 1}
+TIE_SOURCE = "openface_rule+tie_break:active_participant,identity_confidence,temporal_continuity,non_generic_away"
 GENERIC = ("offscreen_place_or_away", "down_self_or_think", "unknown")
 BIN = ("sequence_id", "shot_id", "local_track_id", "bin_idx")
 
@@ -167,7 +168,7 @@ def assignments(bins: DataFrame, cands: DataFrame, identities: DataFrame, shots:
     })
     copy = ["target_type", "target_id", "target_global_person_id", "target_cast_pid", "target_identity_confidence"]
     b = smooth_isolated(b, stream, ["bin_start_sec", "bin_idx"], "proxy_status", ["target_id", "target_type"], copy, "proxy_confidence")
-    b = b.withColumns({"failure_reason": F.when(F.col("smoothing_applied") == 1, "assigned").otherwise(F.col("raw_failure_reason")), "proxy_source": F.when(F.col("smoothing_applied") == 1, "openface_rule+temporal_smoothing").when(F.coalesce("by_tie", F.lit(False)), "openface_rule+tie_break").otherwise("openface_rule")})
+    b = b.withColumns({"failure_reason": F.when(F.col("smoothing_applied") == 1, "assigned").otherwise(F.col("raw_failure_reason")), "proxy_source": F.when(F.col("smoothing_applied") == 1, "openface_rule+temporal_smoothing").when(F.coalesce("by_tie", F.lit(False)), TIE_SOURCE).otherwise("openface_rule")})
     b = b.withColumn("__shot", F.col("shot_idx").cast("string"))  # a text order, on purpose
     b = adjacent_values(b, ["sequence_id"], ["__shot", "local_track_id", "bin_start_sec", "bin_idx"], ["local_track_id"], "target_id", "prev_target_id", "next_target_id")
     return b.drop("ranked", "reason", "__fixed", "__ties", "chosen", "by_tie", "__shot")
@@ -208,7 +209,7 @@ def final_table(bins: DataFrame, identities: DataFrame, assigned: DataFrame, sho
     return j.select(
         "sequence_id", "shot_id", "shot_idx", F.coalesce("stage_type", F.lit("")).alias("stage_type"), "bin_idx", "bin_start_sec", "bin_end_sec", F.col("local_track_id").alias("subject_local_track_id"),
         text(F.col("a_subject_global_person_id"), F.col("i_person")).alias("subject_global_person_id"), text(F.col("a_subject_cast_pid"), F.col("i_pid")).alias("subject_cast_pid"), F.coalesce("a_subject_identity_confidence", "i_conf", F.lit(0.0)).alias("identity_confidence"), text(F.col("i_status"), F.lit("unknown")).alias("identity_status"),
-        "gaze_quality", F.coalesce("a_gaze_direction_bucket", direction_bucket(F.col("gaze_angle_x_mean"), 0.20)).alias("gaze_direction_bucket"), F.coalesce("a_pose_direction_bucket", direction_bucket(F.col("pose_Ry_mean"), 0.25)).alias("pose_direction_bucket"), "gaze_angle_x_mean", "gaze_angle_y_mean", "valid_ratio", F.col("confidence_mean").alias("measure_confidence"),
+        "gaze_quality", F.coalesce("a_gaze_direction_bucket", direction_bucket(F.col("gaze_angle_x_mean"), 0.20)).alias("gaze_direction_bucket"), F.coalesce("a_pose_direction_bucket", direction_bucket(F.col("pose_Ry_mean"), 0.25)).alias("pose_direction_bucket"), "gaze_angle_x_mean", "gaze_angle_y_mean", "valid_ratio", F.col("confidence_mean").alias("openface_confidence"),
         F.coalesce("i_track", "t_conf").alias("track_confidence"), F.coalesce("a_candidate_count", "c_count", F.lit(0)).alias("candidate_count"), has("onscreen_local_track").alias("has_onscreen_person_candidate"), has("current_speaker", "offscreen_participant").alias("has_offscreen_person_candidate"), has("current_speaker").alias("current_speaker_available"), F.coalesce("c_list", F.lit("[]")).alias("candidate_list"),
         given("target_type", "unknown"), given("target_id", "unknown"), given("target_global_person_id", ""), given("proxy_confidence", 0.0), given("proxy_status", "unknown"), given("proxy_source", ""), given("failure_reason", "missing_assignment"), given("top_score", 0.0), given("second_score", 0.0), given("score_margin", 0.0),
     )
