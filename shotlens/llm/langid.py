@@ -3,6 +3,8 @@ a switching penalty labels the spans of a text that mixes languages."""
 
 from __future__ import annotations
 
+import functools
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotlens.llm.common import batch_of, column_bytes, column_list, crc_fold, map_arrow, prepared, table, trim
+from shotlens.llm.common import batch_of, column_bytes, column_list, crc_fold, map_arrow, prepared, table
 
 #: First and last code point of the letters of each script that is told apart.
 SCRIPTS = (
@@ -28,11 +30,12 @@ SCRIPTS = (
 SAMPLE_DOCS, MAX_GRAMS = 1000, 400_000
 #: Cost of a change of language between two words, share of a language's letters from which a script is one of its own,
 #: worst score of a word against the best language (so that one odd word doesn't decide), words in the cache.
-SWITCH, OWN_SCRIPT, FLOOR, CACHE = 8.0, 0.01, -12.0, 300_000
+SWITCH, OWN_SCRIPT, FLOOR, CACHE = 8.0, 0.01, -12.0, 200_000
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")
 
 
+@functools.lru_cache(4096)
 def script_of(char: str) -> str:
     c = ord(char)
     return next((s for s, a, b in SCRIPTS if a <= c <= b), "other")
@@ -58,8 +61,12 @@ def fit(spark: SparkSession, docs: DataFrame, train: Column, id_col: str = "doc_
     `train` holds and the language is not null."""
     prepared(spark)
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("id", "lang").distinct()
+    # a language may hold most rows: a hash cuts each down to some more than sample_docs before they are ranked
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
+    near = rows.select("id", "lang", place.alias("place")).join(sizes, "lang").where(F.col("place") * F.col("n") <= sample_docs + 6 * sample_docs**0.5)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))
+    chosen = near.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("id", "lang").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -96,46 +103,59 @@ def fit(spark: SparkSession, docs: DataFrame, train: Column, id_col: str = "doc_
 
 
 class Labeller:
-    """Scores of words, kept in a cache of bounded size, and Viterbi over many texts at a time."""
+    """Numbers of words with their scores, kept for a bounded number of words, and Viterbi over many texts at a time."""
 
     def __init__(self, model: Model, switch: float):
         self.m, self.switch = model, switch
-        self.words: dict[bytes, bytes] = {}
-        self.scores = np.zeros((1024, len(model.langs)))
-        self.size = np.zeros(1024)
-        self.n = 0
-
-    def _add(self, chunk: bytes) -> bytes:
-        numbers = []
-        for word in LETTERS.findall(chunk.decode("utf-8", "replace").lower()):
-            at, no = self.n, self.m.gram_no
-            if at == len(self.size):
-                self.scores, self.size = np.concatenate([self.scores, np.zeros_like(self.scores)]), np.concatenate([self.size, np.zeros_like(self.size)])
-            self.n += 1
-            score = self.m.logp[[no.get(g, -1) for g in grams(word)]].sum(0)
-            own = self.m.scripts.get(script_of(word[0]))
-            if own is not None and own.any():
-                score = np.where(own, score, score[own].max() + FLOOR)
-            self.scores[at] = np.maximum(score - score.max(), FLOOR)
-            self.size[at] = len(word)
-            numbers.append(at)
-        out = self.words[chunk] = np.array(numbers, np.int32).tobytes()
-        return out
-
-    def label(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray] | None, list[int]]:
+        self.chunks: dict[bytes, bytes] = {}  # what white space separates: the numbers of its words
+        self.words: dict[str, int] = {}
+        self.scores = np.zeros((0, len(model.langs)))
+        self.size = np.zeros(0)
+
+    def _add(self, chunks: list[bytes]) -> None:
+        words, new = self.words, []
+        for chunk in chunks:
+            bare = chunk.rstrip(b".,;:!?")
+            found = (bare.decode().lower(),) if bare.isalpha() else LETTERS.findall(chunk.decode("utf-8", "replace").lower())
+            numbers = array("i")
+            for w in found:
+                n = words.get(w)
+                if n is None:
+                    n = words[w] = len(words)
+                    new.append(w)
+                numbers.append(n)
+            self.chunks[chunk] = numbers.tobytes()
+        if new:
+            self._score(new)
+
+    def _score(self, words: list[str]) -> None:
+        get, flat, starts = self.m.gram_no.get, [], []
+        for w in words:
+            starts.append(len(flat))
+            flat += [get(g, -1) for g in grams(w)]
+        score = np.add.reduceat(self.m.logp[flat], starts, axis=0)
+        for k, w in enumerate(words):  # languages that don't use the word's script are out, unless none does
+            own = self.m.scripts.get(script_of(w[0]))
+            if own is not None and not own.all() and own.any():
+                score[k, ~own] = score[k, own].max() + FLOOR
+        score = np.maximum(score - score.max(1, keepdims=True), FLOOR)
+        self.scores = np.concatenate([self.scores, score])
+        self.size = np.concatenate([self.size, [len(w) for w in words]])
+
+    def label(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
         """For each text the letters that got each language, and the labels of its words."""
-        trim(self.words, CACHE)
-        if not self.words:
-            self.n = 0
-        get, add = self.words.get, self._add
-        seqs = []
-        for t in texts:
-            parts = []
-            for w in t.split():
-                x = get(w)
-                parts.append(add(w) if x is None else x)
-            seqs.append(np.frombuffer(b"".join(parts), np.int32))
-        return self._viterbi(seqs)
+        if len(self.words) > CACHE or len(self.chunks) > 2 * CACHE:
+            self.chunks.clear()
+            self.words.clear()
+            self.scores, self.size = self.scores[:0], self.size[:0]
+        chunks = self.chunks
+        split = [t.split() for t in texts]
+        new: set[bytes] = set()
+        for words in split:
+            new.update([w for w in set(words) if w not in chunks])
+        self._add(list(new))
+        get = chunks.__getitem__
+        return self._viterbi([np.frombuffer(b"".join(map(get, words)), np.int32) for words in split])
 
     def _viterbi(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
         langs = len(self.m.langs)
