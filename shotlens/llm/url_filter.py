@@ -122,12 +122,12 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: Iterable[Rule], def
 
 def _judge_by_join(spark: SparkSession, parts: DataFrame, rules: list[Rule], default: str, id_col: str) -> DataFrame:
     """Rules as a table: every (host suffix, whole path segments) key of a URL is looked up by an equi-join."""
-    listed = spark.createDataFrame([(r.host, r.path.rpartition("/")[0], r.path.rpartition("/")[2], r.text, r.verdict) for r in rules], "rule_host string, rule_whole string, rule_last string, rule string, verdict string")
+    listed = spark.createDataFrame([(r.host, r.path[: r.path.rfind("/") + 1], r.path.rpartition("/")[2], r.text, r.verdict) for r in rules], "rule_host string, rule_whole string, rule_last string, rule string, verdict string")
     labels, segments = F.split("host", r"\.", -1), F.split("path", "/", -1)
     keyed = parts.withColumn("row_key", F.monotonically_increasing_id())
     keys = (
         keyed.select("row_key", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("rule_host"))
-        .select("row_key", "rule_host", "path", F.explode(F.transform(F.sequence(F.lit(0), F.size(segments) - 1), lambda i: F.struct(F.array_join(F.slice(segments, 1, i), "/").alias("whole"), F.element_at(segments, i + 1).alias("next")))).alias("k"))
+        .select("row_key", "rule_host", "path", F.explode(F.transform(F.sequence(F.lit(0), F.size(segments) - 1), lambda i: F.struct(F.concat(F.array_join(F.slice(segments, 1, i), "/"), F.when(i > 0, "/").otherwise("")).alias("whole"), F.element_at(segments, i + 1).alias("next")))).alias("k"))
         .select("row_key", "rule_host", F.col("k.whole").alias("rule_whole"), F.col("k.next").alias("next"))
     )
     best = (
