@@ -24,7 +24,7 @@ MIN_DF, CHANCE = 5, 0.1
 #: Neighbours, examples of an index block, what keeps the weight of a neighbour at distance 0 finite, votes of the base rate.
 NEIGHBOURS, BLOCK, NEAR, PRIOR = 15, 64, 0.05, 0.5
 PREFIXES = (4, 5, 6)
-THRESHOLD, CACHE, MEMO = 0.7, 400_000, 100_000
+THRESHOLD, CACHE, MEMO = 0.7, 300_000, 100_000
 LETTERS = regex.compile(r"\p{L}+")
 
 
