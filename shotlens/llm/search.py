@@ -27,7 +27,7 @@ K1, B = 1.2, 0.75
 SHARD_POSTINGS, BLOCK_DOCS = 3_000_000, 128
 #: Postings of the rarest terms that give the first threshold; a term in this share of a shard has block maxima.
 SEED_POSTINGS, COMMON = 4096, 1 / 32
-CACHE, COUNTED = 500_000, 400_000
+CACHE, COUNTED, CHUNK = 300_000, 400_000, 32
 _TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
@@ -86,7 +86,12 @@ class Shard:
 
     def _exact(self, docs: np.ndarray) -> np.ndarray:
         """Scores, each a sum over the document's terms in their order."""
-        return np.array([float(np.add.reduce(self.q[self.term[s:e]] * self.impact[s:e])) for s, e in zip(self.begin[docs], self.begin[docs + 1], strict=True)])
+        if not len(docs):
+            return np.empty(0)
+        n = self.begin[docs + 1] - self.begin[docs]
+        starts = np.cumsum(n) - n
+        at = np.arange(n.sum()) - np.repeat(starts - self.begin[docs], n)
+        return np.add.reduceat(self.q[self.term[at]] * self.impact[at], starts)
 
     def search(self, own, terms: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[float, object]]:
         """The k best (score, id) of a positive score, without `own`."""
@@ -118,10 +123,20 @@ class Shard:
         row = self.common[at[passive]]
         dense = row >= 0
         add = w[passive][dense] @ self.block_most[row[dense]] + bound[passive][~dense].sum() if len(passive) else np.zeros(self.block_most.shape[1])
-        found = np.flatnonzero((score > 0) & other & (score + add[self.block] >= least))
-        exact = self._exact(found)
+        top = score + add[self.block]
+        found = np.flatnonzero((score > 0) & other & (top >= least))
+        found = found[np.argsort(-top[found], kind="stable")]
+        # exact scores in the order of the bounds, until no later document can reach the k-th
+        best: list[tuple[float, object]] = []
+        for c in range(0, len(found), CHUNK):
+            if len(best) >= k and top[found[c]] < -best[k - 1][0] * (1 - 1e-12):
+                break
+            part = found[c : c + CHUNK]
+            best += [(-s, i) for s, i in zip(self._exact(part).tolist(), self.ids[part].tolist(), strict=True)]
+            best.sort()
+            del best[k:]
         self.q[at] = 0
-        return sorted(((-s, i) for s, i in zip(exact.tolist(), self.ids[found].tolist(), strict=True)))[:k]
+        return best
 
 
 def search(spark: SparkSession, docs: DataFrame, queries: Column, k: int = 10, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
