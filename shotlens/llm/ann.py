@@ -25,6 +25,8 @@ from shotlens.session import materialise
 SAMPLE, TREES, LEAF_SAMPLE, LEAF = 16_384, 2, 8, 512
 #: Vectors of a leaf that one task holds at a time at most.
 BLOCK = 16_384
+#: Queries whose best a task holds at a time at most.
+HELD = 20_000
 #: Queries on which the number of leaves is chosen, and the share of true neighbours that it has to reach there.
 TUNING, RECALL = 128, 0.94
 SALTS = 32
@@ -197,9 +199,18 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, queries: Column,
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, x, ids = None, [], None, None
+        held: dict[object, dict[object, tuple[float, list]]] = {}  # of each query: its best vectors by key
+
+        def out() -> pa.RecordBatch:
+            rows = [(q, i, s) for q, best in held.items() for s, i in best.values()]
+            held.clear()
+            q, i, s = zip(*rows, strict=True)
+            return batch_of(query_id=pa.array(q, kinds[0]), ids=pa.array(i, kinds[1]), score=pa.array(s, pa.float64()))
+
         for b in batches:
+            kinds = b.column(3).type, b.column(5).type
             leaf, block, asks = (np.asarray(b.column(i)) for i in range(3))
-            v, key, lists = matrix(b, "vec"), b.column(3), b.column(5)
+            v, key, lists = matrix(b, "vec"), b.column(3).to_pylist(), b.column(5)
             cuts = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(block) != 0) | (np.diff(asks) != 0)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(leaf)], strict=True):
                 if (leaf[lo], block[lo]) != at:
@@ -214,7 +225,18 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, queries: Column,
                 for s in range(lo, hi, 512):
                     e = min(hi, s + 512)
                     qi, vi = np.nonzero(best_rows(v[s:e] @ x.T, k + 1))
-                    yield batch_of(query_id=key.slice(s, e - s).take(pa.array(qi)), ids=pa.array([ids[i] for i in vi], lists.type), score=pa.array(exact(v[s:e][qi], x[vi])))
+                    touched = set()
+                    for q, n, score in zip((s + qi).tolist(), vi.tolist(), exact(v[s:e][qi], x[vi]).tolist(), strict=True):
+                        held.setdefault(key[q], {})[ids[n][0]] = (score, ids[n])
+                        touched.add(key[q])
+                    for q in touched:
+                        if len(held[q]) > 2 * (k + 1):  # equal scores at the end stay together
+                            kth = sorted((-c[0] for c in held[q].values()))[k]
+                            held[q] = {n: c for n, c in held[q].items() if -c[0] <= kth}
+                if len(held) >= HELD:
+                    yield out()
+        if held:
+            yield out()
 
     found = map_arrow(dealt, search, f"query_id {kind}, ids array<{kind}>, score double")
     once = found.groupBy("query_id", F.col("ids")[0].alias("key")).agg(F.first("ids").alias("ids"), F.max("score").alias("score"))
