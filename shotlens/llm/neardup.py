@@ -3,7 +3,8 @@ edges, links confirmed on the full shingle sets, and connected components.
 
 Texts with the same words are one node, so that exact copies cost nothing further. A bucket of n nodes makes n - 1
 candidate edges, all from its smallest node. Where confirmed links leave a bucket in several components, further rounds
-try other centres (see link_texts), so that a star's shape loses no link.
+try other centres, and an exact join over the texts' rare shingles settles what is still open (see link_texts), so that a
+star's shape loses no link.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ BANDS, ROWS = 32, 4
 #: Members up to which an unsettled bucket is compared in full across its components; a larger one gets CENTRES centres by hash in each round.
 SMALL, CENTRES = 24, 3
 CACHE = 150_000
+#: Counters (a power of two, by a shingle's first bits) that order shingles by rarity; members of a shingle that one part of a join takes.
+COUNTER_BITS, FEW = 20, 1000
 #: Nodes for each file of an intermediate table beyond one for each core: small tables stay in few files.
 PART_NODES = 50_000
 #: Fixed odd multipliers of the hashes.
@@ -180,14 +183,92 @@ def components(spark: SparkSession, links: DataFrame, parts: int) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def grown(spark: SparkSession, found: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
+    """The roots after further links."""
+    return components(spark, found.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))), parts)
+
+
+def prefixes(spark: SparkSession, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """node, size, at and shingle: the first shingles of every text, rare ones first, as many as every linked text has to
+    meet one of. The order is the same for all texts: by counters that shingles share by their first bits, then by hash."""
+    shift = np.uint64(64 - COUNTER_BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sh, n = Shingler(), np.zeros(1 << COUNTER_BITS, np.int64)
+        for b in batches:
+            trim(sh.cache, CACHE)
+            for words in b.column(0).to_pylist():
+                np.add.at(n, (sh.shingles(words.split()) >> shift).astype(np.int64), 1)
+        hit = np.flatnonzero(n)
+        yield batch_of(slot=pa.array(hit, pa.int64()), n=pa.array(n[hit], pa.int64()))
+
+    got = map_arrow(texts.select("words"), count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 2 ** COUNTER_BITS rows at most
+    counts = np.zeros(1 << COUNTER_BITS, np.int64)
+    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sh, n = Shingler(), shared.value
+        for b in batches:
+            trim(sh.cache, CACHE)
+            nodes, sizes, places, hashes = [], [], [], []
+            for node, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = sh.shingles(words.split())
+                s = s[np.lexsort((s, n[(s >> shift).astype(np.int64)]))]
+                k = len(s) - -(-percent * len(s) // 100) + 1
+                nodes.append(np.full(k, node, np.int64))
+                sizes.append(np.full(k, len(s), np.int64))
+                places.append(np.arange(k))
+                hashes.append(s[:k].view(np.int64))
+            if nodes:
+                yield batch_of(**{c: pa.array(np.concatenate(x), pa.int64()) for c, x in (("node", nodes), ("size", sizes), ("at", places), ("shingle", hashes))})
+
+    return map_arrow(texts.select("node", "words"), first, "node long, size long, at long, shingle long")
+
+
+def settle(spark: SparkSession, members: DataFrame, texts: DataFrame, roots: DataFrame, tried: DataFrame, parts: int) -> DataFrame:
+    """The roots after every link between members (bucket, node) of buckets that still span components.
+
+    Of two linked texts, the first shingle that both prefixes hold leaves enough behind it in both for the link, so a join
+    over the prefixes under that condition meets every link. Shingles of at most SMALL texts come first: their links
+    bring components together before the frequent ones are joined, each in parts of FEW texts. Where a shingle's texts lie in
+    several components, one of two unlinked texts is outside the most frequent of these: only such texts are on the left."""
+    placed = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    open_ = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
+    unsettled = materialise(spark, placed.join(open_, "bucket", "left_semi").select("node").distinct().coalesce(parts), "unsettled")
+    if unsettled.isEmpty():
+        return roots
+    first = materialise(spark, prefixes(spark, texts.join(unsettled, "node", "left_semi")).coalesce(2 * parts), "prefixes")
+    for frequent in (False, True):
+        placed = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        shared = placed.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.mode("root", True).alias("most")).where("r0 <> r1")
+        shared = shared.where(F.col("n") > SMALL if frequent else F.col("n") <= SMALL).select("shingle", "most", F.ceil(F.col("n") / FEW).cast("int").alias("deals"))
+        rows = placed.join(shared, "shingle").select("shingle", "most", "deals", F.struct("node", "size", "at", "root").alias("x"))
+        left = rows.where("x.root <> most").select("shingle", "most", F.pmod(F.xxhash64("x.node"), "deals").cast("int").alias("deal"), "x")
+        right = rows.select("shingle", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("x").alias("y"))
+        x, y = F.col("x"), F.col("y")
+        both = F.least(x["size"] - x["at"], y["size"] - y["at"])
+        enough = (100 + PERCENT) * both >= PERCENT * (x["size"] + y["size"])
+        once = (x["node"] < y["node"]) | (y["root"] == F.col("most"))
+        pairs = left.join(right, ["shingle", "deal"]).where((x["root"] != y["root"]) & once & enough & may_link(x, y))
+        new = pairs.select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        new = materialise(spark, new.coalesce(2 * parts), "edges")
+        found = materialise(spark, confirm(texts, new).coalesce(2 * parts), "confirmed")
+        if not found.isEmpty():
+            roots = grown(spark, found, roots, parts)
+        tried = tried.unionByName(new)
+    return roots
+
+
 def link_texts(spark: SparkSession, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
     """node and root of every node in a confirmed link (None: there is no candidate).
 
     First round: in each bucket a star around its smallest node. A bucket whose members then lie in several components
     is unsettled: two members that the centre doesn't link may still be linked to each other. The second round compares
     the members of small unsettled buckets across components in full, SMALL nodes at most, and gives each larger one
-    stars around CENTRES members that a hash picks; so do further rounds with other centres, as long as they find links. No
-    pair is confirmed twice, nor one that the set sizes rule out."""
+    stars around CENTRES members that a hash picks; so do further rounds with other centres, as long as they find links. The
+    larger buckets that then still span components are settled exactly (see settle). No pair is confirmed twice, nor one
+    that the set sizes rule out."""
     parts = spark.sparkContext.defaultParallelism + nodes.count() // PART_NODES
     bands = nodes.select(F.struct("node", "size").alias("x"), F.explode("buckets").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("x").alias("c"), F.count("*").alias("n")).where("n > 1")
@@ -218,15 +299,17 @@ def link_texts(spark: SparkSession, docs: DataFrame, nodes: DataFrame, id_col: s
         new = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         new = materialise(spark, new.coalesce(parts), "edges")
         if new.isEmpty():
-            return roots
+            break
         found = materialise(spark, confirm(texts, new).coalesce(2 * parts), "confirmed")
         if found.isEmpty():
             if attempt:
-                return roots
+                tried = tried.unionByName(new)
+                break
         else:
-            roots = components(spark, found.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))), parts)
+            roots = grown(spark, found, roots, parts)
         tried = tried.unionByName(new)
         attempt += 1
+    return settle(spark, members.where(F.col("n") > SMALL), texts, roots, tried, parts)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

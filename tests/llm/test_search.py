@@ -6,10 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from shotlens.llm import ann
-from shotlens.llm.neardup import Shingler, buckets_of, near_duplicates, signature
+from shotlens.llm.neardup import Shingler, buckets_of, link_texts, near_duplicates, signature
 from shotlens.llm.search import search
 
 
@@ -93,6 +94,32 @@ def test_near_duplicates_against_all_pairs(spark, corpus, no_rows):
     assert near_duplicates(spark, no_rows).count() == 0
 
 
+def test_near_duplicates_in_a_large_bucket(spark):
+    """400 texts that share 70 % in one bucket, and pairs of them of 76 % or a little more."""
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    common = fresh(174)  # 170 shingles of 206: two texts have 170 of 242 in common
+    texts = [common + fresh(36) for _ in range(400)]
+    want = set()
+    for k in range(20):
+        a, b = 40 + 9 * k, 390 - 8 * k
+        own = fresh(9)  # 179 of 233
+        texts[a], texts[b] = common + own + fresh(27), common + own + fresh(27)
+        want.add((a, b))
+    rows = [" ".join(t) for t in texts]
+    sh = Shingler()
+    sizes = [sh.shingles(sh.split(t.encode())) for t in rows]
+    share = lambda a, b: len(np.intersect1d(sizes[a], sizes[b])) / len(np.union1d(sizes[a], sizes[b]))
+    assert all(0.75 < share(a, b) < 0.78 for a, b in want) and share(0, 1) < 0.71
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    keys = [xxhash.xxh3_128_digest(" ".join(t).encode()) for t in texts]
+    nodes = spark.createDataFrame([(i, k, i, len(s), [7]) for i, (k, s) in enumerate(zip(keys, sizes, strict=True))], "node long, key binary, doc long, size long, buckets array<long>")
+    groups: dict = {}
+    for r in link_texts(spark, docs, nodes, "doc_id", "text").collect():
+        groups.setdefault(r["root"], set()).add(r["node"])
+    assert sorted(map(tuple, map(sorted, groups.values()))) == sorted(want)
+
+
 def test_signature_agrees_as_often_as_the_sets():
     rng = np.random.default_rng(3)
     for n in (4, 40, 4000):
