@@ -315,12 +315,11 @@ def unit_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_timebin", f"""WITH {V_FRAME} SELECT stream, epoch_us(TIMESTAMP '2024-01-01 00:00:00') // 1000000 + CAST(floor(t / 86400) AS BIGINT) * 86400 AS bin_start_s, count(*) AS n_frames_total, count(*) FILTER (WHERE success = 1) AS n_frames_valid, round(avg(conf) FILTER (WHERE success = 1), 4) AS confidence_mean
 FROM v_frame WHERE t < 29 * 86400 GROUP BY ALL""")
 def stream_timebin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bins of the event stream; a closing frame far later moves the watermark past the 29th day, so that all bins
-    before it are final."""
-    from shotlens.streaming.live import live_bins, read_events, run_available
+    """Daily bins of the whole event stream: the last state of each, in whatever order the files come. The SQL twin stops
+    at the 29th day."""
+    from shotlens.streaming.live import live_bins, read_events, run_updates
 
     k = F.get_json_object("props", "$.k").cast("int")
     e = read_events(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("stream"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") != "error").alias("valid"), ((150 + k) / 250.0).alias("conf"))
-    out = run_available(spark, live_bins(e, ["stream"], "at", "1 day", "0 seconds", "valid", "conf"), "stream-bins")
-    days = F.unix_timestamp("bin_start")
-    return out.where(days < 1704067200 + 29 * 86400).select("stream", days.alias("bin_start_s"), "n_frames_total", "n_frames_valid", F.round("confidence_mean", 4).alias("confidence_mean"))
+    out = run_updates(spark, live_bins(e, ["stream"], "at", "1 day", None, "valid", "conf"), ["stream", "bin_start"], "stream-bins")
+    return out.select("stream", F.unix_timestamp("bin_start").alias("bin_start_s"), "n_frames_total", "n_frames_valid", F.round("confidence_mean", 4).alias("confidence_mean"))

@@ -1,7 +1,8 @@
 """Time bins, sessions and last choices over streams of frames, with watermarks and checkpoints.
 
 `run_available` drives a query over what is there now and returns what it wrote: append mode to Parquet, so that a run that
-stops goes on from its checkpoint."""
+stops goes on from its checkpoint. `run_updates` returns every group's last state instead, so that no group has to be
+closed by a watermark."""
 
 from __future__ import annotations
 
@@ -27,9 +28,10 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def live_bins(frames: DataFrame, keys: Sequence[str], at: str, width: str, late: str, valid: str, confidence: str, rules: BinRules = BinRules()) -> DataFrame:
-    """Tumbling windows of a stream: counts, mean confidence of valid frames and the quality label."""
-    g = frames.withWatermark(at, late).groupBy(*keys, F.window(at, width).alias("w"))
+def live_bins(frames: DataFrame, keys: Sequence[str], at: str, width: str, late: str | None, valid: str, confidence: str, rules: BinRules = BinRules()) -> DataFrame:
+    """Tumbling windows of a stream: counts, mean confidence of valid frames and the quality label. With `late` None no
+    frame is ever late."""
+    g = (frames if late is None else frames.withWatermark(at, late)).groupBy(*keys, F.window(at, width).alias("w"))
     out = g.agg(F.count("*").alias("n_frames_total"), F.count_if(valid).alias("n_frames_valid"), F.avg(F.when(F.col(valid), F.col(confidence))).alias("confidence_mean"))
     share = F.col("n_frames_valid") / F.col("n_frames_total")
     return out.select(*keys, F.col("w.start").alias("bin_start"), "n_frames_total", "n_frames_valid", "confidence_mean", quality(F.col("n_frames_valid"), share, F.col("confidence_mean"), F.lit(0), F.lit(0.0), rules).alias("gaze_quality"))
@@ -64,3 +66,19 @@ def run_available(spark: SparkSession, stream: DataFrame, name: str) -> DataFram
     q = stream.writeStream.format("parquet").option("path", to).option("checkpointLocation", f"{to}-checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(to)
+
+
+def run_updates(spark: SparkSession, stream: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Process what is there, in as many batches as it takes, and read the last state of each group: every batch writes the
+    groups that it changed to a folder of its own, which a repeated batch overwrites."""
+    to = shared_dir(spark, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{to}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{to}-checkpoint").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    rows = spark.read.schema(f"{kinds}, batch long").parquet(to)
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*").select(*stream.columns)
