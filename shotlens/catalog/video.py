@@ -133,8 +133,8 @@ s AS (SELECT *, CAST(round_even(least(greatest(x2 - x1, y2 - y1) * 1.5, 640, 360
 p AS (SELECT *, CAST(round_even(greatest(0, least((x1 + x2) / 2 - side / 2.0, 640 - side)), 0) AS BIGINT) AS px, CAST(round_even(greatest(0, least((y1 + y2) / 2 - side / 2.0, 360 - side)), 0) AS BIGINT) AS py FROM c)
 SELECT shot, det, track_len, px - px % 2 AS crop_x, py - py % 2 AS crop_y, side AS crop_w, side AS crop_h FROM p""")
 def crop_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = boxes(spark, sf_dir).where("frame < 4")
-    return tracks.crop_envelope(v, ["shot", "det"], F.lit(640), F.lit(360), 0.25).select("shot", "det", "track_len", "crop_x", "crop_y", "crop_w", "crop_h")
+    """The crop of every whole track. The SQL twin reads the first four frames only."""
+    return tracks.crop_envelope(boxes(spark, sf_dir), ["shot", "det"], F.lit(640), F.lit(360), 0.25).select("shot", "det", "track_len", "crop_x", "crop_y", "crop_w", "crop_h")
 
 
 @query("greedy_tracker", None)

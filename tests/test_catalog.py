@@ -19,3 +19,11 @@ def test_stream_timebin_holds_every_day_in_any_order_of_files(spark, tmp_path):
     got = {(r["bin_start_s"] - 1704067200) // 86400: (r["n_frames_total"], r["n_frames_valid"]) for r in queries()["stream_timebin"](spark, str(tmp_path)).collect()}
     want = {d: (3, 2) for d in days} | {3: (len(days), len(days))}
     assert got == want
+
+
+def test_crop_envelope_holds_the_whole_track(spark, tmp_path):
+    rows = [event(i, 0, value=100.0, k=50) for i in range(40)] + [event(40, 0, value=250.0, k=120), event(41, 0, value=20.0, k=90)]
+    spark.createDataFrame(rows, EVENTS).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["det"]: (r["track_len"], r["crop_w"], r["crop_h"], r["crop_x"], r["crop_y"]) for r in queries()["crop_envelope"](spark, str(tmp_path)).collect()}
+    # boxes of 60 by 60 at (2 k, value): 200 by 210 and 140 by 140 over all frames
+    assert got == {0: (21, 314, 314, 42, 46), 1: (21, 210, 210, 64, 0)}
