@@ -173,15 +173,15 @@ def inherit(blocks: list[Block]) -> None:
     label of both neighbours; where they differ, good next to a block that was nearly good, and for a heading the label
     of what follows). The page's ends count as bad."""
     first = [b.label for b in blocks]
+    near = [f == NEAR for f in first]
 
     def decided(i: int, step: int, skip: tuple[str, ...]) -> tuple[str, bool]:
-        near, i = False, i + step
+        i += step
         while 0 <= i < len(blocks):
             if first[i] not in skip:
-                return first[i], near
-            near |= first[i] == NEAR
+                return first[i], near[i]
             i += step
-        return BAD, near
+        return BAD, False
 
     for i, b in enumerate(blocks):
         if first[i] == NEAR:
@@ -191,8 +191,8 @@ def inherit(blocks: list[Block]) -> None:
     first = [b.label if f == NEAR else f for b, f in zip(blocks, first, strict=True)]
     for i, b in enumerate(blocks):
         if first[i] == SHORT_:
-            left, right = decided(i, -1, (SHORT_,))[0], decided(i, 1, (SHORT_,))[0]
-            b.label = right if b.heading else left if left == right else BAD
+            (left, left_near), (right, right_near) = decided(i, -1, (SHORT_,)), decided(i, 1, (SHORT_,))
+            b.label = right if b.heading else left if left == right else GOOD if left_near or right_near else BAD
 
 
 def main_text(page: str) -> list[str]:

@@ -89,6 +89,14 @@ def test_main_text_by_rules():
     assert main_text("<article><h1>A</h1><p>b&#233;&nbsp;c<br></article>") == ["A", "bé c"]
 
 
+def test_short_block_next_to_a_nearly_good_one():
+    near = "Here is a paragraph of some words that is in the middle of it all, and it has the stop words that one would expect to see in text."
+    menu = '<div><a href="/a">Home</a> <a href="/b">News</a></div>'
+    assert main_text(f"<body>{menu}<div>The first.</div><div>{near}</div><div>{near}</div><div>The last.</div>{menu}</body>") == ["The first.", near, near, "The last."]
+    assert main_text(f"<body>{menu}<div>The first.</div><div>{LONG}</div><div>The last.</div>{menu}</body>") == [LONG]
+    assert main_text(f"<body>{menu}<div>The first.</div>{menu}</body>") == []
+
+
 def test_extract_pages_cases(spark, no_rows):
     rows = [(1, "u", None), (2, None, ""), (3, "u", PAGE), (3, "u", PAGE), (None, "u", "<article><p>x</p></article>"), (5, "u", "<article>" + "<p>long words of it</p>" * 20_000 + "</article>"), (6, "u", "<" * 2000 + '"' * 2000)]
     got = extract_pages(spark, spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()
