@@ -3,6 +3,9 @@
 import datetime
 import json
 
+from pyspark.sql import functions as F
+
+from shotlens.functions.text import line_class
 from shotlens.queries import queries
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -27,3 +30,11 @@ def test_crop_envelope_holds_the_whole_track(spark, tmp_path):
     got = {r["det"]: (r["track_len"], r["crop_w"], r["crop_h"], r["crop_x"], r["crop_y"]) for r in queries()["crop_envelope"](spark, str(tmp_path)).collect()}
     # boxes of 60 by 60 at (2 k, value): 200 by 210 and 140 by 140 over all frames
     assert got == {0: (21, 314, 314, 42, 46), 1: (21, 210, 210, 64, 0)}
+
+
+def test_line_classify_classes_whole_lines(spark, tmp_path):
+    text = "\n".join(["some words", "and more", "john smith and mary jones then walk slowly over the hill, and they talk about the weather of the day."])
+    spark.createDataFrame([(i, text) for i in range(12)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = [(" " * i + (t.upper() if k == 2 else t),) for i in range(12) for k, t in enumerate(text.split("\n"))]
+    want = spark.createDataFrame(lines, "line string").groupBy(line_class(F.col("line")).alias("kind")).count().collect()
+    assert {r["kind"]: r["n"] for r in queries()["line_classify"](spark, str(tmp_path)).collect()} == {r["kind"]: r["count"] for r in want}
