@@ -6,11 +6,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from shotlens.llm import ann
-from shotlens.llm.neardup import Shingler, buckets_of, link_texts, near_duplicates, signature
+from shotlens.llm import ann, neardup
+from shotlens.llm.neardup import Shingler, buckets_of, link_texts, near_duplicates, parities, signature
 from shotlens.llm.search import search
 
 
@@ -120,6 +121,35 @@ def test_near_duplicates_in_a_large_bucket(spark):
     assert sorted(map(tuple, map(sorted, groups.values()))) == sorted(want)
 
 
+@pytest.mark.parametrize(("n", "small", "parts"), [(100, 24, 500_000), (300, 24, 500_000), (100, 3, 40)])
+def test_near_duplicates_around_a_hub(spark, monkeypatch, n, small, parts):
+    """One text that each of n others is linked with, though few of those with each other; links contracted by several tasks too."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "TASK_LINKS", parts)
+    rng = random.Random(n)
+    hub = [[f"w{rng.randrange(10**9)}" for _ in range(20)] for _ in range(100)]
+    texts = [hub]
+    for _ in range(n):
+        own = list(hub)
+        for k in rng.sample(range(100), 11):
+            own[k] = [f"w{rng.randrange(10**9)}" for _ in range(20)]
+        texts.append(own)
+    rows = [(7 + i, " ".join(w for part in t for w in part)) for i, t in enumerate(texts)]
+    sh = Shingler()
+    sets = [sh.shingles(sh.split(t.encode())) for _, t in rows]
+    assert all(len(np.intersect1d(sets[0], s)) >= 0.75 * len(np.union1d(sets[0], s)) for s in sets)
+    assert {r["component_id"] for r in near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {7}
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        both, a, b = (np.unique(rng.integers(0, 1 << 63, rng.integers(1, 300)).astype(np.uint64)) for _ in range(3))
+        x, y = np.union1d(both, a), np.union1d(both, b)
+        apart = sum(bin(int(p) & 0xFFFFFFFFFFFFFFFF ^ int(q) & 0xFFFFFFFFFFFFFFFF).count("1") for p, q in zip(parities(x), parities(y), strict=True))
+        assert apart <= len(np.setxor1d(x, y))
+
+
 def test_signature_agrees_as_often_as_the_sets():
     rng = np.random.default_rng(3)
     for n in (4, 40, 4000):
