@@ -1,11 +1,17 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, distance-weighted votes,
-and a monotone calibration of them on the examples themselves, each left out in turn."""
+and a monotone calibration of them on the examples themselves, each left out in turn.
+
+The vector space is every term of the examples. A term's weight is its TF-IDF times a factor that rises with the
+strength of its link to the label, so that texts meet by what matters for it; no term is left out, and a text with none
+of the telling terms still has neighbours, by all its other terms.
+"""
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -15,16 +21,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotlens.llm.common import batch_of, column_bytes, column_list, crc_fold, map_arrow, prepared, table, trim
-
-#: Labelled documents the model is fitted on at most (by the hash of their ids), and terms of its vocabulary.
-SAMPLE_DOCS, MAX_TERMS = 15_000, 3000
-#: Documents that a term is in at least, and how many terms may pass by chance: a term's log-likelihood ratio with the
-#: label has to be 2 ln(terms / CHANCE) or more.
-MIN_DF, CHANCE = 5, 0.1
-#: Neighbours, examples of an index block, what keeps the weight of a neighbour at distance 0 finite, votes of the base rate.
-NEIGHBOURS, BLOCK, NEAR, PRIOR = 15, 64, 0.05, 0.5
-PREFIXES = (4, 5, 6)
-THRESHOLD, CACHE, MEMO = 0.7, 300_000, 100_000
+from shotlens.session import materialise
+
+#: Labelled documents that the model is fitted on at most (by the hash of their ids), and characters of their texts together:
+#: both bound what is broadcast.
+SAMPLE_DOCS, SAMPLE_CHARS = 2000, 16_000_000
+#: Least factor of a term's weight; its log-likelihood ratio with the label counts against 2 ln(terms / CHANCE), which about
+#: CHANCE terms reach by accident.
+LEAST, CHANCE = 0.02, 0.1
+#: Neighbours, examples of an index block, blocks that a search reads first.
+NEIGHBOURS, BLOCK, FIRST = 15, 128, 2
+#: What keeps the weight of a neighbour at distance 0 finite, votes of the base rate.
+NEAR, PRIOR = 0.05, 0.5
+PREFIXES = (5,)
+THRESHOLD, CACHE = 0.7, 200_000
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -34,64 +44,82 @@ def terms_of(text: str) -> list[str]:
     return words + [w[:n] + "-" for w in words for n in PREFIXES if len(w) > n]
 
 
+def places(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of slices, each n long, one after another."""
+    return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+
+
 class Index:
-    """Block-max index of unit vectors. Examples are sorted by their terms, so that a block's are alike; for each term
-    and block the largest weight bounds what a block can reach."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels: np.ndarray, terms: int):
-        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1])].tolist(), int(ids[i])))
-        self.ids, self.labels = ids[order], labels[order]
-        self.terms = [vectors[i][0] for i in order]
-        self.weights = [vectors[i][1] for i in order]
-        self.blocks = []
-        n_blocks = -(-len(order) // BLOCK)
-        self.bound = np.zeros((terms, n_blocks))
-        for b in range(n_blocks):
-            part = range(b * BLOCK, min(len(order), (b + 1) * BLOCK))
-            t = np.concatenate([self.terms[i] for i in part])
-            w = np.concatenate([self.weights[i] for i in part])
-            starts = np.cumsum([0, *(len(self.terms[i]) for i in part)])[:-1]
-            np.maximum.at(self.bound[:, b], t, w)
-            self.blocks.append((t, w, starts))
-        self.q = np.zeros(terms)
+    """Block-max inverted index of unit vectors (terms rising, weights) with their ids and labels. Examples are sorted by
+    their strongest terms, so that a block's are alike. A term's postings are in the order of the examples; for each
+    block of BLOCK examples that it is in there is a cell with its largest weight there and the place of its postings."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list, labels: np.ndarray, terms: int):
+        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:8]].tolist(), ids[i]))
+        self.ids, self.labels = [ids[i] for i in order], np.asarray(labels, float)[order]
+        self.rank = np.argsort(np.array(sorted(range(len(order)), key=lambda at: self.ids[at]), np.int64))  # place of each id
+        self.size = np.array([len(vectors[i][0]) for i in order])
+        self.begin = np.cumsum(self.size) - self.size
+        self.term = np.concatenate([vectors[i][0] for i in order]).astype(np.int32)
+        self.weight = np.concatenate([vectors[i][1] for i in order])
+        turned = np.argsort(self.term, kind="stable")
+        self.doc = np.repeat(np.arange(len(order), dtype=np.int32), self.size)[turned]
+        self.by_term = self.weight[turned]
+        by = self.term[turned]
+        self.posting = np.flatnonzero(np.concatenate([[True], (np.diff(by) != 0) | (np.diff(self.doc // BLOCK) != 0)]))  # first posting of each cell
+        self.postings = np.diff(np.append(self.posting, len(by)))
+        self.block = (self.doc[self.posting] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.by_term, self.posting)
+        self.cells = np.bincount(by[self.posting], minlength=terms)
+        self.cell = np.cumsum(self.cells) - self.cells  # first cell of each term
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples of a cosine above 0, ties to the smaller id. Blocks are read in
-        the order of their bounds until no later one can reach the k-th; `skip` is a position to leave out."""
-        bounds = weights @ self.bound[terms] if len(terms) else np.zeros(len(self.blocks))
-        self.q[terms] = weights
-        found: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(found) == k and bounds[b] < -found[-1][0] - 1e-9:
-                break
-            t, w, starts = self.blocks[b]
-            sims = np.add.reduceat(self.q[t] * w, starts)
-            least = -found[-1][0] - 1e-9 if len(found) == k else 1e-12
-            for i in np.flatnonzero(sims >= least):
-                at = b * BLOCK + int(i)
-                if at != skip:
-                    found.append((-float(sims[i]), int(self.ids[at]), at))
-            found.sort()
-            del found[k:]
-        self.q[terms] = 0
-        return np.array([f[2] for f in found], int), np.array([-f[0] for f in found])
+        """Positions and cosines of the k nearest examples of a cosine above 0, ties to the smaller id; `skip` is a
+        position to leave out.
+
+        The cells of the query's terms bound what the examples of a block can reach. Blocks are read from the highest
+        bound down, FIRST and then ever more at a time, until no later one can reach the k-th cosine found. A cosine is the
+        sum over the common terms in their order, so that equal examples have equal ones."""
+        if not len(terms):
+            return np.empty(0, int), np.empty(0)
+        n = self.cells[terms]
+        cells, w = places(self.cell[terms], n), np.repeat(weights, n)
+        block = self.block[cells]
+        bound = np.bincount(block, self.most[cells] * w)
+        order = np.argsort(-bound, kind="stable")
+        score, read, more, kth = np.zeros(len(self.labels)), 0, FIRST, 0.0
+        while read < len(order) and bound[order[read]] > 0 and bound[order[read]] * (1 + 1e-9) >= kth:
+            now = np.zeros(len(bound), bool)
+            now[order[read : read + more]] = True
+            now &= bound * (1 + 1e-9) >= kth
+            own = now[block]
+            sizes = self.postings[cells[own]]
+            here = places(self.posting[cells[own]], sizes)
+            score += np.bincount(self.doc[here], self.by_term[here] * np.repeat(w[own], sizes), minlength=len(score))
+            if skip >= 0:
+                score[skip] = 0
+            read, more = read + more, 4 * more
+            kth = np.partition(score, -k)[-k] if len(score) >= k else 0.0
+        at = np.flatnonzero((score > 0) & (score >= kth))  # ties at the end are in
+        best = at[np.lexsort((self.rank[at], -score[at]))[:k]]
+        return best, score[best]
 
 
 @dataclass
 class Model:
-    """Bounded by SAMPLE_DOCS and MAX_TERMS, so that it can be broadcast."""
+    """Bounded by SAMPLE_DOCS and SAMPLE_CHARS, so that it can be broadcast."""
 
     term_no: dict[str, int]
-    idf: np.ndarray
+    factor: np.ndarray  # of each term: IDF, times what its link to the label gives
     index: Index | None
     base: float  # share of label 1 among the examples
     none: float  # the same among those that have no term
-    steps: np.ndarray  # votes at which the calibrated score changes
-    values: np.ndarray
+    steps: np.ndarray = field(default_factory=lambda: np.array([-np.inf]))  # votes at which the calibrated score changes
+    values: np.ndarray = field(default_factory=lambda: np.array([0.0]))
 
     def vector(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         terms, tf = np.unique(numbers, return_counts=True)
-        w = (1 + np.log(tf)) * self.idf[terms]
+        w = (1 + np.log(tf)) * self.factor[terms]
         return terms, w / np.sqrt((w * w).sum()) if len(terms) else w
 
     def votes(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
@@ -122,43 +150,50 @@ def calibrate(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Terms:
-    """Numbers of a text's vocabulary terms; pieces between white space are kept in a cache of bounded size."""
+    """Numbers of a text's terms; pieces between white space are kept in a cache of bounded size."""
 
     def __init__(self, term_no: dict[str, int]):
         self.no = term_no
         self.cache: dict[bytes, bytes] = {}
 
     def of(self, text: bytes) -> np.ndarray:
-        cache, parts = self.cache, []
-        get = cache.get
-        for w in text.split():
-            x = get(w)
-            if x is None:
-                x = cache[w] = np.array([self.no[t] for t in terms_of(w.decode("utf-8", "replace")) if t in self.no], np.int32).tobytes()
-            if x:
-                parts.append(x)
+        cache, words = self.cache, text.split()
+        trim(cache, CACHE)
+        try:
+            parts = [cache[w] for w in words]
+        except KeyError:
+            get = self.no.get
+            for w in set(words):
+                if w not in cache:
+                    cache[w] = array("i", [n for t in terms_of(w.decode("utf-8", "replace")) if (n := get(t)) is not None]).tobytes()
+            parts = [cache[w] for w in words]
         return np.frombuffer(b"".join(parts), np.int32)
 
 
-def log_likelihood_ratio(a: Column, b: Column, n1: int, n0: int) -> Column:
-    """Of a term in a documents of label 1 and b of label 0 against the shares n1 and n0; negative if it speaks for 0."""
-    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    n = n1 + n0
-    df = a + b
-    e1, e0 = df * (n1 / n), df * (n0 / n)
-    g = 2 * (part(a, e1) + part(b, e0) + part(F.lit(n1) - a, F.lit(float(n1)) - e1) + part(F.lit(n0) - b, F.lit(float(n0)) - e0))
-    return F.when(a > e1, g).otherwise(-g)
+def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How far a term in a documents of label 1 and b of label 0 departs from the shares n1 and n0."""
+    part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(e, 1e-9)), 0.0)
+    e1, e0 = (a + b) * (n1 / (n1 + n0)), (a + b) * (n0 / (n1 + n0))
+    return np.maximum(0, 2 * (part(a, e1) + part(b, e0) + part(n1 - a, n1 - e1) + part(n0 - b, n0 - e0)))
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Choose the terms, and index the examples, of at most `sample_docs` labelled documents (those where `train` holds;
-    an id with several labels counts as 1 if any is; of equal texts one stays). Document frequencies for the IDF are
-    counted over all documents."""
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Index at most `sample_docs` labelled documents (those where `train` holds; an id with several labels counts as 1 if
+    any is; of equal texts with one label one stays), in the order of a hash until their whole texts come to
+    `sample_chars` characters. All of their terms count; document frequencies for the IDF are counted over all documents."""
     prepared(spark)
+    kind = docs.schema[id_col].dataType.simpleString()
     known = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample_docs)
+    chosen = known.select("id", "y", F.xxhash64("id").alias("order")).orderBy("order", "id").limit(sample_docs)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    examples = texts.join(F.broadcast(chosen), "id").groupBy(F.xxhash64("text", "y").alias("h")).agg(F.min_by(F.struct("id", "y", "text"), "id").alias("x")).select("x.*")  # sample_docs rows at most are broadcast
+    joined = texts.join(F.broadcast(chosen), "id")  # sample_docs rows at most are broadcast
+    once = joined.groupBy(F.xxhash64("text").alias("h"), "y").agg(F.min(F.struct("order", "id")).alias("x"), F.min_by("text", F.struct("order", "id")).alias("text"))
+    examples = materialise(spark, once.select("x.*", "y", "text").coalesce(spark.sparkContext.defaultParallelism), "examples")
+    sizes = examples.select("order", F.length("text").alias("n")).orderBy("order").toArrow()  # sample_docs rows, or few more where ids repeat
+    fits = np.cumsum(sizes.column("n").to_numpy()) <= sample_chars
+    if not fits.all():
+        last = int(sizes.column("order")[max(0, int(fits.sum()) - 1)].as_py())
+        examples = examples.where(F.col("order") <= last)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -170,87 +205,90 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column,
         every = list(seen[0].keys() | seen[1].keys())
         yield batch_of(term=pa.array(["", *every]), a=pa.array([docs_of[1], *(seen[1][t] for t in every)], pa.int64()), b=pa.array([docs_of[0], *(seen[0][t] for t in every)], pa.int64()))
 
-    counted = map_arrow(examples, count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= MIN_DF).persist()
-    sizes = counted.where("term = ''").head()
-    n1, n0 = (sizes["a"], sizes["b"]) if sizes else (0, 0)
+    counted = map_arrow(examples, count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()  # the terms of sample_chars characters
+    counted = counted.sort_by("term")
+    every, a, b = counted.column("term").to_pylist(), counted.column("a").to_numpy().astype(float), counted.column("b").to_numpy().astype(float)
+    n1, n0 = (int(a[0]), int(b[0])) if every and every[0] == "" else (0, 0)
     base = (n1 + 0.5) / (n1 + n0 + 1)
-    flat = np.array([-np.inf]), np.array([base])
-    if not n1 or not n0:
-        counted.unpersist()
-        return Model({}, np.empty(0), None, base, base, *flat)
-    llr = log_likelihood_ratio(F.col("a"), F.col("b"), n1, n0)
-    least = 2 * np.log(counted.count() / CHANCE)
-    top = counted.where("term <> ''").withColumn("llr", llr).where(F.abs("llr") >= float(least)).orderBy(F.abs(F.col("llr")).desc(), "term").limit(MAX_TERMS).select("term").toArrow().column(0).to_pylist()
-    counted.unpersist()
-    no = {t: i for i, t in enumerate(top)}
+    no = {t: i for i, t in enumerate(every[1:])}
+    if not n1 or not n0 or not no:
+        return Model({}, np.empty(0), None, base, base, values=np.array([base]))
+    vocabulary = spark.sparkContext.broadcast(no)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, df, n = Terms(no), np.zeros(len(no), np.int64), 0
+        finder, df, n = Terms(vocabulary.value), np.zeros(len(vocabulary.value), np.int64), 0
         for b in batches:
-            trim(finder.cache, CACHE)
             for text in column_bytes(b, "text"):
-                df[np.unique(finder.of(text))] += 1
+                df[finder.of(text)] += 1  # once for each term, however often it is there
                 n += 1
         hit = np.flatnonzero(df)
-        yield batch_of(term=pa.array([-1, *hit.tolist()], pa.int32()), n=pa.array([n, *df[hit].tolist()], pa.int64()))
+        yield batch_of(term=pa.array(np.concatenate([[-1], hit]), pa.int32()), n=pa.array(np.concatenate([[n], df[hit]]), pa.int64()))
 
-    got = dict(map_arrow(texts.select("text"), frequencies, "term int, n long").groupBy("term").agg(F.sum("n")).collect())  # MAX_TERMS + 1 rows at most
-    df = np.array([got.get(i, 0) for i in range(len(no))], float)
-    idf = np.log((1 + got.get(-1, 0)) / (1 + df)) + 1
+    got = map_arrow(texts.select("text"), frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the examples
+    df = np.zeros(len(no) + 1)
+    df[got.column("term").to_numpy()] = got.column("n").to_numpy()  # the last place has the number of documents
+    telling = likelihood_ratio(a[1:], b[1:], n1, n0) / (2 * np.log(len(no) / CHANCE))
+    factor = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * (LEAST + telling**4 / (1 + telling**4))
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Terms(no)
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Terms(vocabulary.value)
         for b in batches:
             yield batch_of(id=b.column(b.schema.get_field_index("id")), y=b.column(b.schema.get_field_index("y")), terms=pa.array([finder.of(t) for t in column_bytes(b, "text")], pa.list_(pa.int32())))
 
-    rows = map_arrow(examples, vectors, f"id {docs.schema[id_col].dataType.simpleString()}, y int, terms array<int>").toArrow().to_pydict()  # sample_docs rows
-    model = Model(no, idf, None, base, base, *flat)
-    found = [model.vector(np.array(t, np.int32)) for t in rows["terms"]]
-    y = np.array(rows["y"], float)
+    rows = map_arrow(examples, numbers, f"id {kind}, y int, terms array<int>").toArrow()  # the examples
+    model = Model(no, factor, None, base, base)
+    ids, y = rows.column("id").to_pylist(), rows.column("y").to_numpy().astype(float)
+    found = [model.vector(np.asarray(t.values)) for t in rows.column("terms")]
     some = [i for i, v in enumerate(found) if len(v[0])]
     empty = [i for i, v in enumerate(found) if not len(v[0])]
     model.none = (y[empty].sum() + 0.5) / (len(empty) + 1) if empty else base
-    if some:
-        model.index = Index([found[i] for i in some], np.array([rows["id"][i] for i in some]), y[some], len(no))
-        ix = model.index
-        votes = np.array([model.votes(ix.terms[i], ix.weights[i], skip=i)[0] for i in range(len(ix.ids))])
-        model.steps, model.values = calibrate(votes, ix.labels)
+    model.index = Index([found[i] for i in some], [ids[i] for i in some], y[some], len(no))
+    shared = spark.sparkContext.broadcast(model)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        ix = m.index
+        for b in batches:
+            at = b.column(0).to_pylist()
+            own = [slice(ix.begin[i], ix.begin[i] + ix.size[i]) for i in at]
+            vectors = [(ix.term[x], ix.weight[x]) for x in own]
+            yield batch_of(at=b.column(0), votes=pa.array([m.votes(*v, skip=i)[0] for i, v in zip(at, vectors, strict=True)], pa.float64()))
+
+    votes = map_arrow(spark.range(len(model.index.ids)), left_out, "at long, votes double").toArrow().sort_by("at")  # the examples
+    model.steps, model.values = calibrate(votes.column("votes").to_numpy(), model.index.labels)
     return model
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
     """The id (and the columns in `keep`), score, predicted, and the evidence: neighbours array<struct<id, cosine, label>>.
 
-    A text without any term of the vocabulary (null and empty ones too) gets the share of label 1 among such examples
-    and no neighbours. Null ids stay null; repeated rows are scored each; an empty table gives an empty table; other
-    columns are not read.
+    A text without any term of the examples (null and empty ones too) gets the share of label 1 among such examples
+    and no neighbours. Of examples at one cosine those of the smaller ids are neighbours. Ids may be of any type; null
+    ids stay null; repeated rows are scored each; an empty table gives an empty table; other columns are not read.
     """
     prepared(spark)
     shared: Broadcast = spark.sparkContext.broadcast(model)
+    kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__text"), "score double, predicted int, neighbours array<struct<id:long,cosine:double,label:int>>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__text"), f"score double, predicted int, neighbours array<struct<id:{kind},cosine:double,label:int>>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        finder, memo = Terms(m.term_no), {}
-        nothing = (m.none, [])
+        finder = Terms(m.term_no)
         for b in batches:
-            trim(finder.cache, CACHE)
-            trim(memo, MEMO)
-            out = []
+            scores, at, cos = [], [], []
             for text in column_bytes(b, "__text"):
                 numbers = finder.of(text) if m.index else ()
-                if not len(numbers):
-                    out.append(nothing)
-                    continue
-                key = np.sort(numbers).tobytes()
-                if key not in memo:
-                    votes, at, cos = m.votes(*m.vector(numbers))
-                    memo[key] = (m.score(votes), [{"id": int(m.index.ids[i]), "cosine": float(c), "label": int(m.index.labels[i])} for i, c in zip(at, cos, strict=True)])
-                out.append(memo[key])
+                votes, a, c = m.votes(*m.vector(numbers)) if len(numbers) else (0.0, np.empty(0, int), np.empty(0))
+                scores.append(m.score(votes) if len(numbers) else m.none)
+                at.append(a)
+                cos.append(c)
+            every = np.concatenate([*at, np.empty(0, int)])
+            ids = [m.index.ids[i] for i in every] if m.index else []
+            near = pa.StructArray.from_arrays([pa.array(ids, b.column(0).type), pa.array(np.concatenate([*cos, np.empty(0)])), pa.array(m.index.labels[every] if m.index else [], pa.int32())], names=["id", "cosine", "label"])
             cols = [b.column(i) for i, n in enumerate(b.schema.names) if n != "__text"]
-            kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
-            cols += [pa.array([s for s, _ in out], pa.float64()), pa.array([int(s >= threshold) for s, _ in out], pa.int32()), pa.array([e for _, e in out], kind)]
+            scores = np.array(scores, float)
+            cols += [pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, at)]), pa.int32()), near)]
             yield pa.RecordBatch.from_arrays(cols, names=[*(n for n in b.schema.names if n != "__text"), "score", "predicted", "neighbours"])
 
     return map_arrow(base, run, schema)

@@ -109,6 +109,55 @@ def test_toxicity_finds_marked_documents(spark, corpus, no_rows):
     assert toxicity.score_documents(spark, no_rows, model).count() == 0
 
 
+def test_toxicity_against_brute_force(spark):
+    """Whole scores and neighbours by a plain cosine over all terms; string ids; ties of equal examples; rare wording."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeinorst") for _ in range(rng.randint(2, 6)))
+    rows, labels = [], []
+    for i in range(260):
+        words, y = [word() for _ in range(rng.randint(5, 40))], int(i % 5 == 0)
+        rows.append((f"d{i:03d}", " ".join(words + ["vilestuff"] * (y and i % 3))))
+        labels.append((f"d{i:03d}", y))
+    rows += [(f"e{k}", rows[0][1]) for k in range(20)] + [("f", rows[7][1] + " " + word()), ("g", ""), ("h", None)]
+    labels += [(f"e{k}", 1) for k in range(20)]
+    docs, lab = spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(labels, "doc_id string, toxic int")
+    model = toxicity.fit(spark, docs, lab, F.lit(True), sample_docs=500)
+    texts, examples = dict(rows), {}
+    for i, y in labels:
+        examples.setdefault((texts[i], y), (i, y))
+    of = {i: set(toxicity.terms_of(t or "")) for i, t in rows}
+    assert sorted(model.term_no) == sorted(set().union(*(of[i] for i, _ in labels)))
+    idf = {t: np.log((1 + len(rows)) / (1 + sum(t in s for s in of.values()))) + 1 for t in model.term_no}
+    assert all(toxicity.LEAST * idf[t] - 1e-9 <= model.factor[n] <= (1 + toxicity.LEAST) * idf[t] for t, n in model.term_no.items())
+
+    def vector(text):
+        found = toxicity.terms_of(text or "")
+        v = {t: (1 + np.log(found.count(t))) * model.factor[model.term_no[t]] for t in set(found) if t in model.term_no}
+        n = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / n for t, x in v.items()}
+
+    held = {r["doc_id"]: r for r in toxicity.score_documents(spark, docs, model).collect()}
+    ex = [(k, y, vector(texts[k])) for k, y in zip(model.index.ids, model.index.labels, strict=True)]
+    assert len(ex) == len(examples)
+    for i, text in rows:
+        q = vector(text)
+        every = sorted(((-round(sum(x * v.get(t, 0) for t, x in q.items()), 11), k, y) for k, y, v in ex))
+        want = [e for e in every if e[0] < 0][: toxicity.NEIGHBOURS]
+        near = held[i]["neighbours"]
+        assert np.allclose([n["cosine"] for n in near], [-c for c, _, _ in want], atol=1e-9)
+        assert [(n["id"], n["label"]) for n in near] == [(k, y) for _, k, y in want]
+        if not want:
+            assert held[i]["score"] == model.none and not near
+            continue
+        c = np.array([n["cosine"] for n in near])
+        w = c / (1 - np.minimum(c, 1) + toxicity.NEAR)
+        votes = (w @ np.array([n["label"] for n in near]) + toxicity.PRIOR * model.base) / (w.sum() + toxicity.PRIOR)
+        assert abs(held[i]["score"] - model.score(votes)) < 1e-9
+    assert held["f"]["neighbours"][0]["id"] == "d007" and held["f"]["neighbours"][0]["cosine"] > 0.9  # copied rare wording
+    bounded = toxicity.fit(spark, docs, lab, F.lit(True), sample_docs=500, sample_chars=3000)
+    assert 0 < sum(len(texts[i]) for i in bounded.index.ids) <= 3000
+
+
 def test_pipeline_stages(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 300").cache()
