@@ -9,7 +9,6 @@ the encoding of its text if and only if each two neighbours are, so that such a
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import os
 import re
@@ -26,7 +25,7 @@ from shotlens.llm.common import batch_of, column_bytes, map_arrow, prepared, tab
 #: A word of Latin letters, which neither normalising nor splitting changes or cuts, with a mark that may follow it.
 _WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([,.]?)")
 #: Entries of the cache of pieces at most, and bytes of a piece from which tree concatenation takes over.
-CACHE, LEAF = 600_000, 2048
+CACHE, LEAF = 400_000, 2048
 #: Characters of a text beyond which its parts are encoded by several tasks.
 PARALLEL_CHARS = 4_000_000
 #: UTF-8 of what any reading of "white space" may hold: after a space these make no boundary.
@@ -90,11 +89,6 @@ class WordEncoder:
         return [b"".join(map(get, words)) for words in split]
 
 
-@functools.lru_cache(2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 class ByteEncoder:
     """For byte-level BPE whose tokens take the space before a word: a boundary is a space before any character but
     white space. Strings of special tokens in a text are those tokens, as the library has it."""
@@ -229,11 +223,6 @@ class ByteEncoder:
         return len(listed), hashlib.sha256(b",".join(map(self.decimal.__getitem__, listed))).hexdigest(), hashlib.sha256(self.decode(listed)).hexdigest()
 
 
-@functools.lru_cache(2)
-def byte_encoder(path: str) -> ByteEncoder:
-    return ByteEncoder(path)
-
-
 def byte_alphabet() -> dict[int, str]:
     """Byte-level BPE's visible character of each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -263,14 +252,14 @@ def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str,
         return batch_of(**{id_col: key}, n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(a, pa.string()), decoded_sha256=pa.array(b, pa.string()), **more)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = byte_encoder(tokenizer_path)
+        enc = ByteEncoder(tokenizer_path)
         for b in batches:
             texts = column_bytes(b, "text")
             for i in range(0, len(texts), 256):
                 yield results(b.column(0).slice(i, 256), [enc.encode(t) for t in texts[i : i + 256]], enc)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = byte_encoder(tokenizer_path)
+        enc = ByteEncoder(tokenizer_path)
         for b in batches:
             done = [enc.part(t) for t in column_bytes(b, "part")]
             yield batch_of(
@@ -279,7 +268,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str,
             )
 
     def together(t: pa.Table) -> pa.Table:
-        enc = byte_encoder(tokenizer_path)
+        enc = ByteEncoder(tokenizer_path)
         t = t.sort_by("part_no")
         cols = [t.column(c).to_pylist() for c in ("head", "ids", "tail")]
         ids = enc.concat((h, None if i is None else np.frombuffer(i, np.uint32), x) for h, i, x in zip(*cols, strict=True))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlens.llm.bpe import word_encoder
+from shotlens.llm.bpe import WordEncoder
 from shotlens.llm.common import batch_of, column_bytes, map_arrow, prepared, table
 
 #: Documents of a group, and groups that are filled at a time; both bound a task's memory, whatever the input.
@@ -122,7 +122,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, se
     end = np.array([end_id], np.uint32).tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = word_encoder(tokenizer_path)
+        enc = WordEncoder(tokenizer_path)
         part = TaskContext.get().partitionId()
         rng = np.random.default_rng([seed, part])
         next_id = part * SEQUENCES
