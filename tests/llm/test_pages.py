@@ -3,12 +3,14 @@
 import base64
 import hashlib
 import io
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from shotlens.llm import url_filter
-from shotlens.llm.html_text import extract_pages, main_text
+from shotlens.llm.html_text import Block, extract_pages, function_words, inherit, judge, main_text
 from shotlens.llm.url_filter import QUERY_RULES, Rule, judge_urls
 from shotlens.llm.warc import BundleWriter, parse_record, read_archive, read_frame, read_seek_table, record_number, warc_record, write_archive
 from shotlens.session import shared_dir
@@ -97,6 +99,79 @@ def test_short_block_next_to_a_nearly_good_one():
     assert main_text(f"<body>{menu}<div>The first.</div>{menu}</body>") == []
 
 
+def test_containers_are_a_feature():
+    assert main_text(f'<div class="page with-sidebar"><p>{LONG}</p></div>') == [LONG]
+    assert main_text('<div class="content-sidebar-wrap"><main><p>Short.</p></main><aside class="sidebar"><p>x</p></aside></div>') == ["Short."]
+    assert main_text(f'<section class="comments"><article><p>{LONG}</p></article></section><div class="sidebar"><p>{LONG}</p></div>') == []
+    russian = "Это длинный абзац. Он состоит из нескольких предложений, и ссылок в нём нет. " * 4
+    menu = '<div><a href="/a">Меню</a></div>'
+    assert main_text(f"<body>{menu}<div>{russian}</div><div>{russian}</div>{menu}") == [russian.strip()] * 2
+    assert main_text(f"<body>{menu}<div>{'слово ' * 60}</div>{menu}") == []
+    assert main_text(f"<article><p>{LONG}</p><p><a href=x>{LONG}</a></p><p>Short.</p><p><a href=x>{LONG}</a></p></article>") == [LONG]
+
+
+def two_passes(blocks, stop_words):
+    """Labels by the rules, written down again without windows: for each block all others are looked at."""
+    first = []
+    for b in blocks:
+        words = [w for w in re.findall(r"[^\W\d_]+", b.text.lower())]
+        share = sum(w in stop_words for w in words) / (len(words) or 1)
+        if b.bad or b.links > 0.25 * len(b.text):
+            first.append("bad")
+        elif b.heading or len(b.text) < 70:
+            first.append("bad" if b.links and not b.main and not b.heading else "short")
+        elif share >= 0.2:
+            first.append("good" if b.main or len(b.text) > 200 else "near")
+        else:
+            first.append("near" if share >= 0.1 or b.main else "bad")
+
+    def side(i, others, labels, skip):
+        for j in others:
+            if blocks[i].main and not (blocks[j].bad or blocks[j].main):
+                return "good", False
+            if labels[j] not in skip and not (blocks[i].main and blocks[j].bad):
+                return labels[j], first[j] == "near"
+        return ("good" if blocks[i].main else "bad"), False
+
+    second = [
+        f if f != "near" else "good" if len(blocks[i].text) > 100 or "good" in (side(i, range(i - 1, -1, -1), first, ("short", "near"))[0], side(i, range(i + 1, len(blocks)), first, ("short", "near"))[0]) else "bad"
+        for i, f in enumerate(first)
+    ]
+    out = []
+    for i, f in enumerate(second):
+        if f == "short":
+            (a, near_a), (b, near_b) = side(i, range(i - 1, -1, -1), second, ("short",)), side(i, range(i + 1, len(blocks)), second, ("short",))
+            f = b if blocks[i].heading else a if a == b else "good" if blocks[i].main or near_a or near_b else "bad"
+        out.append(f)
+    return out
+
+
+def test_two_passes_against_brute_force():
+    rng = random.Random(2)
+    stop, other = ["the", "of", "is", "it"], ["table", "river", "stone", "window"]
+    for _ in range(300):
+        blocks = []
+        for _ in range(rng.randint(1, 14)):
+            p = rng.choice((0, 0.15, 0.3))
+            text = " ".join(rng.choice(stop if rng.random() < p else other) for _ in range(rng.choice((2, 16, 22, 60))))
+            blocks.append(Block(text=text, links=rng.choice((0, 0, 3, len(text))), bad=rng.random() < 0.15, main=rng.random() < 0.4, heading=rng.random() < 0.1))
+        for b in blocks:
+            b.label = judge(b, frozenset(stop))
+        inherit(blocks)
+        assert [b.label for b in blocks] == two_passes(blocks, stop)
+
+
+def test_function_words_are_learned(spark, no_rows):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("кстрнлв") + rng.choice("аеио") for _ in range(rng.randint(3, 5)))
+    page = lambda n: f"<html lang='ru'><body><div>{' '.join(rng.choice(['не', 'и', 'на', 'что']) + ' ' + word() for _ in range(n))}</div><nav><a href=x>меню</a></nav></body></html>"
+    pages = spark.createDataFrame([(i, None, page(20)) for i in range(60)] + [(90 + i, None, "<html lang='xx'><p>rare words") for i in range(9)], "page_id long, url string, html string")
+    assert function_words(spark, pages) == {"не", "и", "на", "что"}
+    assert function_words(spark, no_rows) == frozenset()
+    got = extract_pages(spark, pages.where("page_id < 60")).agg(F.min("n_chars")).head()[0]
+    assert got > 100
+
+
 def test_extract_pages_cases(spark, no_rows):
     rows = [(1, "u", None), (2, None, ""), (3, "u", PAGE), (3, "u", PAGE), (None, "u", "<article><p>x</p></article>"), (5, "u", "<article>" + "<p>long words of it</p>" * 20_000 + "</article>"), (6, "u", "<" * 2000 + '"' * 2000)]
     got = extract_pages(spark, spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()
