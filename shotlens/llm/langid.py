@@ -26,8 +26,9 @@ SCRIPTS = (
     ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF),
     ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF), ("han", 0xF900, 0xFAFF), ("arabic", 0xFB50, 0xFDFF), ("han", 0x20000, 0x3FFFF),
 )
-#: Documents of each language that the model is fitted on at most (by the hash of their ids), and n-grams it keeps.
-SAMPLE_DOCS, MAX_GRAMS = 1000, 400_000
+#: Documents of each language that the model is fitted on at most (by the hash of their ids), and characters of their whole
+#: texts together (one text at least): both bound the model, which keeps every n-gram of them.
+SAMPLE_DOCS, SAMPLE_CHARS = 1000, 3_000_000
 #: Cost of a change of language between two words, share of a language's letters from which a script is one of its own,
 #: worst score of a word against the best language (so that one odd word doesn't decide), words in the cache.
 SWITCH, OWN_SCRIPT, FLOOR, CACHE = 8.0, 0.01, -12.0, 200_000
@@ -48,7 +49,7 @@ def grams(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Bounded by MAX_GRAMS and the number of languages, so that it can be broadcast."""
+    """Bounded by SAMPLE_CHARS for each language, so that it can be broadcast."""
 
     langs: list[str]
     gram_no: dict[str, int]
@@ -56,17 +57,19 @@ class Model:
     scripts: dict[str, np.ndarray]  # for each script which languages use it
 
 
-def fit(spark: SparkSession, docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Count character n-grams and scripts in at most `sample_docs` whole texts of each language among the rows where
-    `train` holds and the language is not null."""
+def fit(spark: SparkSession, docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Count character n-grams and scripts in whole texts of each language among the rows where `train` holds and the
+    language is not null: at most `sample_docs` of them, in the order of a hash, until they come to `sample_chars`."""
     prepared(spark)
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     # a language may hold most rows: a hash cuts each down to some more than sample_docs before they are ranked
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
-    near = rows.select("id", "lang", place.alias("place")).join(sizes, "lang").where(F.col("place") * F.col("n") <= sample_docs + 6 * sample_docs**0.5)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))
-    chosen = near.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("id", "lang").distinct()
+    near = rows.select("id", "lang", place.alias("place"), F.length("text").alias("size")).join(F.broadcast(sizes), "lang")  # a row for each language, as in the model
+    near = near.where(F.col("place") * F.col("n") <= sample_docs + 6 * sample_docs**0.5)
+    order = Window.partitionBy("lang").orderBy("place", "id")
+    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs)
+    chosen = ranked.withColumn("all", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where((F.col("all") <= sample_chars) | (F.col("rank") == 1)).select("id", "lang").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -81,7 +84,7 @@ def fit(spark: SparkSession, docs: DataFrame, train: Column, id_col: str = "doc_
 
     sampled = rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi")  # sample_docs rows a language
     counted = map_arrow(sampled, count, "lang string, feature string, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    got = counted.toArrow().to_pydict()
+    got = counted.toArrow().to_pydict()  # the n-grams of sample_chars characters of each language
     langs = sorted(set(got["lang"]))
     at = {lang: i for i, lang in enumerate(langs)}
     total: Counter = Counter()
@@ -91,8 +94,7 @@ def fit(spark: SparkSession, docs: DataFrame, train: Column, id_col: str = "doc_
             total[f[1:]] += n
         else:
             letters.setdefault(f[1:], np.zeros(len(langs)))[at[lang]] += n
-    kept = sorted((g for g, n in total.items() if n > 1), key=lambda g: (-total[g], g))[:MAX_GRAMS]
-    no = {g: i for i, g in enumerate(kept)}
+    no = {g: i for i, g in enumerate(sorted(total, key=lambda g: (-total[g], g)))}
     counts = np.zeros((len(no) + 1, len(langs)))
     for lang, f, n in zip(got["lang"], got["feature"], got["n"], strict=True):
         if f[0] == "g" and f[1:] in no:
