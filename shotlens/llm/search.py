@@ -3,13 +3,16 @@ scores with the statistics of the whole table.
 
 A shard is what a task reads, SHARD_POSTINGS at a time; nothing is shuffled to build it. The queries, with the inverse
 document frequencies of their terms, are a table in the shared folder that each shard reads in blocks, so that no task
-and not the driver ever holds all of them.
+and not the driver ever holds all of them. Two passes are made over the shards. The first scores a few documents that
+share a query's rarest terms, and gives each query one threshold for all shards, below its k-th best score. The second
+returns what reaches it. Blocks are aligned over a shard's terms, so that the pivot test, whether the block maxima of
+the terms together reach the threshold, is made for all blocks at a time, and the postings of the others are skipped.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +22,14 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotlens.llm.common import batch_of, column_bytes, map_arrow, prepared, table, trim
+from shotlens.llm.common import batch_of, column_bytes, map_arrow, places, prepared, table, trim
 from shotlens.session import shared_dir
 
 K1, B = 1.2, 0.75
 #: Postings of a shard's index and documents of a block whose largest impact bounds it; both bound a task's memory.
 SHARD_POSTINGS, BLOCK_DOCS = 3_000_000, 128
-#: Postings of the rarest terms that give the first threshold; a term in this share of a shard has block maxima.
-SEED_POSTINGS, COMMON = 4096, 1 / 32
+#: Postings of the rarest terms that a shard looks at for the threshold, and documents that it scores for it.
+SEED_POSTINGS, SEEDS = 2048, 2
 CACHE, COUNTED, CHUNK = 300_000, 400_000, 32
 _TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
 
@@ -51,80 +54,96 @@ class Terms:
 
 
 class Shard:
-    def __init__(self, ids: list, terms: list[np.ndarray], counts: list[np.ndarray], average: float, k1: float, b: float):
-        self.ids = np.array(ids)
+    """Documents (sorted by their most frequent term and length, so that a block's are alike) with the impacts of their
+    terms, by document and by term. For each term and block of `block_docs` documents that it is in there is a cell, with the largest impact there
+    and the place of its postings."""
+
+    def __init__(self, ids: list, terms: list[np.ndarray], counts: list[np.ndarray], average: float, k1: float = K1, b: float = B, block_docs: int = BLOCK_DOCS):
+        order = sorted(range(len(ids)), key=lambda i: (int(terms[i][counts[i].argmax()]), int(counts[i].sum())))
+        self.ids, terms, counts = np.array(ids)[order], [terms[i] for i in order], [counts[i] for i in order]
         n = len(ids)
-        sizes = np.array([len(t) for t in terms])
+        self.size = np.array([len(t) for t in terms])
         lengths = np.array([c.sum() for c in counts], float)
-        self.begin = np.concatenate([[0], np.cumsum(sizes)])
+        self.begin = np.cumsum(self.size) - self.size
         tf = np.concatenate(counts).astype(float)
-        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        doc = np.repeat(np.arange(n, dtype=np.int32), self.size)
         norm = k1 * (1 - b + b * lengths / max(average, 1e-9))
         self.impact = tf * (k1 + 1) / (tf + norm[doc])  # by document, terms rising
         self.terms, self.term = np.unique(np.concatenate(terms), return_inverse=True)
         self.term = self.term.astype(np.int32)
-        order = np.argsort(self.term, kind="stable")
-        self.doc, self.by_term = doc[order], self.impact[order]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=len(self.terms)))])
-        self.most = np.maximum.reduceat(self.by_term, self.start[:-1]) if len(self.terms) else np.empty(0)
-        df = np.diff(self.start)
-        self.block = np.arange(n) // BLOCK_DOCS
-        self.common = np.full(len(self.terms), -1)
-        often = np.flatnonzero(df >= max(1, COMMON * n))
-        self.common[often] = np.arange(len(often))
-        self.block_most = np.zeros((len(often), -(-n // BLOCK_DOCS)))
-        for row, t in enumerate(often):
-            s, e = self.start[t], self.start[t + 1]
-            np.maximum.at(self.block_most[row], self.block[self.doc[s:e]], self.by_term[s:e])
+        turned = np.argsort(self.term, kind="stable")
+        self.doc, self.by_term, by = doc[turned], self.impact[turned], self.term[turned]
+        self.df = np.bincount(self.term, minlength=len(self.terms))
+        self.start = np.cumsum(self.df) - self.df
+        self.most = np.maximum.reduceat(self.by_term, self.start)
+        self.block = np.arange(n) // block_docs
+        self.posting = np.flatnonzero(np.concatenate([[True], (np.diff(by) != 0) | (np.diff(self.doc // block_docs) != 0)]))
+        self.postings = np.diff(np.append(self.posting, len(by)))
+        self.cell_block = self.doc[self.posting] // block_docs
+        self.cell_most = np.maximum.reduceat(self.by_term, self.posting)
+        self.cells = np.bincount(by[self.posting], minlength=len(self.terms))
+        self.cell = np.cumsum(self.cells) - self.cells
         self.q = np.zeros(len(self.terms))
-
-    def _postings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the postings of some terms, and for each of them which term it is of."""
-        n = self.start[at + 1] - self.start[at]
-        which = np.repeat(np.arange(len(at)), n)
-        return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.start[at][which], which
+        self.skipped = self.read = 0  # blocks
 
     def _exact(self, docs: np.ndarray) -> np.ndarray:
         """Scores, each a sum over the document's terms in their order."""
         if not len(docs):
             return np.empty(0)
-        n = self.begin[docs + 1] - self.begin[docs]
-        starts = np.cumsum(n) - n
-        at = np.arange(n.sum()) - np.repeat(starts - self.begin[docs], n)
-        return np.add.reduceat(self.q[self.term[at]] * self.impact[at], starts)
+        n = self.size[docs]
+        at = places(self.begin[docs], n)
+        return np.add.reduceat(self.q[self.term[at]] * self.impact[at], np.cumsum(n) - n)
 
-    def search(self, own, terms: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[float, object]]:
-        """The k best (score, id) of a positive score, without `own`."""
+    def _ask(self, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.terms, terms)
         hit = at < len(self.terms)
         hit[hit] = self.terms[at[hit]] == terms[hit]
         at, w = at[hit], idf[hit]
-        if not len(at):
-            return []
         self.q[at] = w
-        bound = w * self.most[at]
+        return at, w
+
+    def seeds(self, own, terms: np.ndarray, idf: np.ndarray, most: int) -> list[float]:
+        """The scores of at most `most` documents, those that the rarest terms favour."""
+        at, w = self._ask(terms, idf)
         rare = np.argsort(-w, kind="stable")
-        need = np.cumsum((self.start[at + 1] - self.start[at])[rare])
-        seed = rare[: int(np.searchsorted(need, SEED_POSTINGS)) + 1]
-        other = self.ids != own
-        # threshold: the k-th of the exact scores of the documents that the rarest terms favour
-        places, which = self._postings(at[seed])
-        first = np.bincount(self.doc[places], self.by_term[places] * w[seed][which], minlength=len(self.ids)) * other
-        some = np.flatnonzero(first > 0)
-        some = some[np.argpartition(-first[some], k - 1)[:k]] if len(some) > k else some
-        least = np.sort(self._exact(some))[0] * (1 - 1e-12) if len(some) >= k else 0.0
-        # terms whose bounds together stay below it can't bring in a document: only the others' postings are read
-        rising = np.argsort(bound, kind="stable")
-        passive = rising[: int(np.searchsorted(np.cumsum(bound[rising]), least))]
-        active = np.setdiff1d(np.arange(len(at)), passive)
-        places, which = self._postings(at[active])
-        score = np.bincount(self.doc[places], self.by_term[places] * w[active][which], minlength=len(self.ids))
-        # what the passive terms can add at most, block by block
-        row = self.common[at[passive]]
-        dense = row >= 0
-        add = w[passive][dense] @ self.block_most[row[dense]] + bound[passive][~dense].sum() if len(passive) else np.zeros(self.block_most.shape[1])
+        rare = rare[: int(np.searchsorted(np.cumsum(self.df[at][rare]), SEED_POSTINGS)) + 1]
+        n = self.df[at[rare]]
+        here = places(self.start[at[rare]], n)
+        doc, part = np.unique(self.doc[here], return_inverse=True)
+        favour = np.bincount(part, self.by_term[here] * np.repeat(w[rare], n), minlength=len(doc)) * (self.ids[doc] != own)
+        best = doc[np.argsort(-favour, kind="stable")[:most]][: np.count_nonzero(favour)]
+        scores = self._exact(best).tolist()
+        self.q[at] = 0
+        return scores
+
+    def search(self, own, terms: np.ndarray, idf: np.ndarray, k: int, least: float = 0.0) -> list[tuple[float, object]]:
+        """The k best (-score, id) of a positive score that is `least` or more, without `own`. Where no threshold is known
+        the shard looks for one of its own."""
+        if least <= 0:
+            some = sorted(self.seeds(own, terms, idf, k))
+            least = some[0] if len(some) == k else 0.0
+        at, w = self._ask(terms, idf)
+        least *= 1 - 1e-12
+        # terms whose bounds together stay below the threshold can't bring in a document: the others are the active ones
+        rising = np.argsort(w * self.most[at], kind="stable")
+        below = int(np.searchsorted(np.cumsum((w * self.most[at])[rising]), least))
+        active = np.ones(len(at), bool)
+        active[rising[:below]] = False
+        blocks = int(self.block[-1]) + 1
+        n = self.cells[at]
+        cell, of, on = places(self.cell[at], n), np.repeat(w, n), np.repeat(active, n)
+        reach = self.cell_most[cell] * of
+        can = np.bincount(self.cell_block[cell], reach, minlength=blocks)
+        keep = (can >= least) & (can > 0)
+        self.skipped, self.read = self.skipped + blocks - int(keep.sum()), self.read + int(keep.sum())
+        # the active terms' postings in the blocks that are left, and what the passive terms can add there at most
+        some = on & keep[self.cell_block[cell]]
+        n = self.postings[cell[some]]
+        here = places(self.posting[cell[some]], n)
+        score = np.bincount(self.doc[here], self.by_term[here] * np.repeat(of[some], n), minlength=len(self.ids))
+        add = np.bincount(self.cell_block[cell[~on]], reach[~on], minlength=blocks)
         top = score + add[self.block]
-        found = np.flatnonzero((score > 0) & other & (top >= least))
+        found = np.flatnonzero((score > 0) & (top >= least) & (self.ids != own))
         found = found[np.argsort(-top[found], kind="stable")]
         # exact scores in the order of the bounds, until no later document can reach the k-th
         best: list[tuple[float, object]] = []
@@ -132,22 +151,22 @@ class Shard:
             if len(best) >= k and top[found[c]] < -best[k - 1][0] * (1 - 1e-12):
                 break
             part = found[c : c + CHUNK]
-            best += [(-s, i) for s, i in zip(self._exact(part).tolist(), self.ids[part].tolist(), strict=True)]
+            best += [(-s, i) for s, i in zip(self._exact(part).tolist(), self.ids[part].tolist(), strict=True) if s >= least]
             best.sort()
             del best[k:]
         self.q[at] = 0
         return best
 
 
-def search(spark: SparkSession, docs: DataFrame, queries: Column, k: int = 10, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+def search(spark: SparkSession, docs: DataFrame, queries: Column, k: int = 10, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B, shard_postings: int = SHARD_POSTINGS, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """query_id, rank, `id_col` and score: the k best rows for each row for which `queries` holds, whose whole text is
     the query, each of its terms once.
 
     Score: the sum over common terms of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b *
     length / mean length)), with N, df and the mean length of the whole table. Rows with the query's own id are left out;
     ties go to the smaller id; fewer rows where fewer share a term. Rows with a null id take no part, null texts are
-    empty and match nothing; repeated rows count each (a repeated query is one); an empty table gives an empty table;
-    further columns are not read.
+    empty and match nothing; repeated rows count each (a repeated query is one, and of several texts with one id the least
+    is the query); an empty table gives an empty table; further columns are not read.
     """
     prepared(spark)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -186,46 +205,63 @@ def search(spark: SparkSession, docs: DataFrame, queries: Column, k: int = 10, i
     counted = spark.read.parquet(stored)
     n, words = counted.where("term IS NULL").select(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).head()
     average = words / n if n else 0.0
-    asked = map_arrow(rows.where("asks").dropDuplicates(["id"]).select("id", "text"), query_terms, f"id {kind}, terms array<long>")
+    asked = map_arrow(rows.where("asks").groupBy("id").agg(F.min("text").alias("text")), query_terms, f"id {kind}, terms array<long>")
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.select("id", F.explode("terms").alias("term")).join(counted.where("term IS NOT NULL").select("term", idf.alias("idf")), "term")
-    to = shared_dir(spark, "queries")
-    weighted.groupBy("id").agg(F.collect_list(F.struct("term", "idf")).alias("terms")).select("id", F.col("terms.term").alias("term"), F.col("terms.idf").alias("idf")).write.parquet(to)  # one text's terms
-
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, ids, each, counts, size = Terms(), [], [], [], 0
-
-        def run() -> Iterator[pa.RecordBatch]:
-            shard = Shard(ids, each, counts, average, k1, b)
-            store, base = pafs.FileSystem.from_uri(to)
-            files = [f.path for f in store.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet")]
-            for q in pads.dataset(files, filesystem=store, format="parquet").to_batches(batch_size=256, batch_readahead=1, fragment_readahead=1) if files else ():
-                qid, did, score = [], [], []
-                for own, t, w in zip(q.column(0).to_pylist(), q.column(1), q.column(2), strict=True):
-                    t, w = np.asarray(t.values).view(np.uint64), np.asarray(w.values)
-                    order = np.argsort(t)
-                    for s, i in shard.search(own, t[order], w[order], k):
-                        qid.append(own)
-                        did.append(i)
-                        score.append(-s)
-                yield batch_of(query_id=pa.array(qid, q.column(0).type), id=pa.array(did, q.column(0).type), score=pa.array(score, pa.float64()))
+    each = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("terms"))  # one text's terms
+    untold = shared_dir(spark, "queries")
+    each.select("id", F.col("terms.term").alias("term"), F.col("terms.idf").alias("idf"), F.lit(0.0).alias("least")).write.parquet(untold)
 
-        for batch in batches:
-            trim(terms.cache, CACHE)
-            for i, text in zip(batch.column(0).to_pylist(), column_bytes(batch, "text"), strict=True):
-                t, c = terms.of(text)
-                if len(t):
-                    ids.append(i)
-                    each.append(t)
-                    counts.append(c)
-                    size += len(t)
-                if size >= SHARD_POSTINGS:
-                    yield from run()
-                    ids, each, counts, size = [], [], [], 0
-        if ids:
-            yield from run()
-
-    found = map_arrow(rows.select("id", "text"), shards, f"query_id {kind}, id {kind}, score double")
+    def over_shards(source: str, ask: Callable[[Shard, object, np.ndarray, np.ndarray, float], list[tuple[float, object]]]) -> DataFrame:
+        """What `ask` finds in each shard for each query of a table in the shared folder."""
+
+        def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms, ids, parts, counts, size = Terms(), [], [], [], 0
+
+            def run() -> Iterator[pa.RecordBatch]:
+                shard = Shard(ids, parts, counts, average, k1, b, block_docs)
+                store, base = pafs.FileSystem.from_uri(source)
+                files = [f.path for f in store.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet")]
+                for q in pads.dataset(files, filesystem=store, format="parquet").to_batches(batch_size=256, batch_readahead=1, fragment_readahead=1) if files else ():
+                    qid, did, score = [], [], []
+                    for own, t, w, least in zip(q.column(0).to_pylist(), q.column(1), q.column(2), q.column(3).to_pylist(), strict=True):
+                        t, w = np.asarray(t.values).view(np.uint64), np.asarray(w.values)
+                        order = np.argsort(t)
+                        for s, i in ask(shard, own, t[order], w[order], least):
+                            qid.append(own)
+                            did.append(i)
+                            score.append(-s)
+                    yield batch_of(query_id=pa.array(qid, q.column(0).type), id=pa.array(did, q.column(0).type), score=pa.array(score, pa.float64()))
+
+            for batch in batches:
+                trim(terms.cache, CACHE)
+                for i, text in zip(batch.column(0).to_pylist(), column_bytes(batch, "text"), strict=True):
+                    t, c = terms.of(text)
+                    if len(t):
+                        ids.append(i)
+                        parts.append(t)
+                        counts.append(c)
+                        size += len(t)
+                    if size >= shard_postings:
+                        yield from run()
+                        ids, parts, counts, size = [], [], [], 0
+            if ids:
+                yield from run()
+
+        return map_arrow(rows.select("id", "text"), shards, f"query_id {kind}, id {kind}, score double")
+
+    def first(shard: Shard, own, t: np.ndarray, w: np.ndarray, least: float) -> list[tuple[float, object]]:
+        return [(-s, None) for s in shard.seeds(own, t, w, SEEDS)]
+
+    def second(shard: Shard, own, t: np.ndarray, w: np.ndarray, least: float) -> list[tuple[float, object]]:
+        return shard.search(own, t, w, k, least)
+
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    known = over_shards(untold, first).withColumn("r", best).where(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("known"))
+    told = shared_dir(spark, "thresholds")
+    asked = spark.read.schema(f"id {kind}, term array<long>, idf array<double>, least double").parquet(untold)
+    asked.join(known, "id", "left").select("id", "term", "idf", F.coalesce("known", "least").alias("least")).write.parquet(told)
+    found = over_shards(told, second)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 

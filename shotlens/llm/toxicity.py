@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlens.llm.common import batch_of, column_bytes, column_list, crc_fold, map_arrow, prepared, table, trim
+from shotlens.llm.common import batch_of, column_bytes, column_list, crc_fold, map_arrow, places, prepared, table, trim
 from shotlens.session import materialise
 
 #: Labelled documents that the model is fitted on at most (by the hash of their ids), and characters of their texts together:
@@ -44,11 +44,6 @@ def terms_of(text: str) -> list[str]:
     return words + [w[:n] + "-" for w in words for n in PREFIXES if len(w) > n]
 
 
-def places(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The places of slices, each n long, one after another."""
-    return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
-
-
 class Index:
     """Block-max inverted index of unit vectors (terms rising, weights) with their ids and labels. Examples are sorted by
     their strongest terms, so that a block's are alike. A term's postings are in the order of the examples; for each

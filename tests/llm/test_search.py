@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from shotlens.llm import ann, neardup
+from shotlens.llm import search as search_module
 from shotlens.llm.neardup import Shingler, buckets_of, link_texts, near_duplicates, parities, signature
 from shotlens.llm.search import search
 
@@ -162,11 +163,29 @@ def test_signature_agrees_as_often_as_the_sets():
     assert len(buckets_of(Shingler().shingles([b"a"]))) == 32
 
 
-def test_bm25_against_brute_force(spark, corpus, no_rows):
+def test_bm25_skips_blocks_and_stays_exact():
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(0, 40, 30) + 100 * (i // 50) for i in range(400)]  # eight groups with words of their own
+    texts = [np.concatenate([t, rng.integers(1000, 1010, 5)]) for t in texts]
+    pairs = [np.unique(t.astype(np.uint64), return_counts=True) for t in texts]
+    mean = np.mean([c.sum() for _, c in pairs])
+    shard = search_module.Shard(list(range(400)), [t for t, _ in pairs], [c for _, c in pairs], mean, block_docs=16)
+    for q in range(0, 400, 37):
+        t = pairs[q][0]
+        w = rng.random(len(t)) + 0.5
+        scores = [(-sum(x * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * pairs[d][1].sum() / mean)) for x, i in zip(w, t, strict=True) for j, c in zip(*pairs[d], strict=True) if i == j), d) for d in range(400) if d != q]
+        want = sorted((round(s, 9), d) for s, d in scores if s < 0)[:10]
+        for least in (0.0, -want[-1][0] * 0.99):
+            assert sorted((round(s, 9), d) for s, d in shard.search(q, t, w, 10, least)) == want
+    assert shard.skipped > 2 * shard.read
+
+
+@pytest.mark.parametrize(("postings", "block"), [(search_module.SHARD_POSTINGS, search_module.BLOCK_DOCS), (300, 4)])
+def test_bm25_against_brute_force(spark, corpus, no_rows, postings, block):
     rng = random.Random(5)
     rows = [(i, " ".join("t" + str(int(rng.paretovariate(0.7))) for _ in range(rng.randint(1, 60))), 1) for i in range(300)]
     rows += [(400 + i, rows[0][1], 1) for i in range(15)] + [(500, None, 1), (501, "", 1), (None, "t1", 1)]
-    got = search(spark, spark.createDataFrame(rows, "doc_id long, text string, rank int"), F.col("doc_id") % 50 == 0, 10).collect()
+    got = search(spark, spark.createDataFrame(rows, "doc_id long, text string, rank int"), F.col("doc_id") % 50 == 0, 10, shard_postings=postings, block_docs=block).collect()  # some 20 shards in the second case
     docs = {i: Counter(re.findall("[a-z0-9]+", (t or "").lower())) for i, t, _ in rows if i is not None}
     n, df = len(docs), Counter(w for c in docs.values() for w in c)
     size = {i: sum(c.values()) for i, c in docs.items()}
