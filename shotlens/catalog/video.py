@@ -15,6 +15,7 @@ from shotlens.operators.similarity import best_match, mean_unit
 from shotlens.operators.tracking import TrackRules, track_boxes
 from shotlens.plans import qa, targets, tracks
 from shotlens.plans.identity import cascade
+from shotlens.session import materialise
 
 Q: dict = {}
 
@@ -128,12 +129,12 @@ def expression_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bins(spark, sf_dir).select("stream", "bin_idx", "expression_proxy")
 
 
-@query("crop_envelope", f"""WITH {V_FRAME}, {V_BOX}, e AS (SELECT shot, det, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS track_len FROM v_box WHERE frame < 4 GROUP BY ALL),
+@query("crop_envelope", f"""WITH {V_FRAME}, {V_BOX}, e AS (SELECT shot, det, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS track_len FROM v_box GROUP BY ALL),
 s AS (SELECT *, CAST(round_even(least(greatest(x2 - x1, y2 - y1) * 1.5, 640, 360), 0) AS BIGINT) AS s0 FROM e), c AS (SELECT *, greatest(2, s0 - s0 % 2) AS side FROM s),
 p AS (SELECT *, CAST(round_even(greatest(0, least((x1 + x2) / 2 - side / 2.0, 640 - side)), 0) AS BIGINT) AS px, CAST(round_even(greatest(0, least((y1 + y2) / 2 - side / 2.0, 360 - side)), 0) AS BIGINT) AS py FROM c)
 SELECT shot, det, track_len, px - px % 2 AS crop_x, py - py % 2 AS crop_y, side AS crop_w, side AS crop_h FROM p""")
 def crop_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The crop of every whole track. The SQL twin reads the first four frames only."""
+    """The crop of every whole track."""
     return tracks.crop_envelope(boxes(spark, sf_dir), ["shot", "det"], F.lit(640), F.lit(360), 0.25).select("shot", "det", "track_len", "crop_x", "crop_y", "crop_w", "crop_h")
 
 
@@ -160,10 +161,12 @@ def identity_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stage(spark: SparkSession, sf_dir: str):
-    """Bins, tracks, identities and shots made of conversations: two tracks a shot, one bin a track."""
+    """Bins, tracks, identities and shots made of conversations: two tracks a shot, one bin a track. The shots and tracks,
+    which all four tables come from, are written once."""
     s = shots(spark, sf_dir)
     seq = s.groupBy("conv_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("P"), F.col("voice").cast("string")))).alias("active_speakers"))
     sh = s.join(seq, "conv_id").select(F.col("conv_id").cast("string").alias("sequence_id"), F.concat_ws("_", F.lit("s"), "conv_id", "shot_idx").alias("shot_id"), "shot_idx", F.when(F.col("dur") % 2 == 0, "single_speaking").otherwise("two_person_dialogue_simple").alias("stage_type"), F.array(F.concat(F.lit("P"), F.col("voice").cast("string"))).alias("aligned_speakers"), "active_speakers", "dur", "voice")
+    sh = materialise(spark, sh, "shots")
     t = sh.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).withColumn("local_track_id", F.concat(F.lit("trk_00"), F.col("k").cast("string")))
     tr = t.select("shot_id", "local_track_id", F.lit(0.1).alias("timestamp_sec"), (F.col("dur") * 7 * (F.col("k") + 1) % 100).cast("double").alias("bbox_cx"), F.lit(0.9).alias("track_conf"))
     ident = t.select("shot_id", "local_track_id", F.when((F.col("dur") + F.col("k")) % 3 == 0, F.concat(F.lit("P"), F.col("voice").cast("string"))).otherwise("").alias("cast_pid"), F.lit("").alias("character_name"), F.lit("").alias("cast_name"), F.when((F.col("dur") + F.col("k")) % 3 == 0, 0.8).when((F.col("dur") + F.col("k")) % 3 == 1, 0.5).otherwise(0.0).alias("identity_confidence"), F.lit(0.9).alias("track_conf"), F.lit("unknown").alias("identity_status"))
@@ -223,7 +226,7 @@ SELECT o.shot_id, o.trk AS subject_local_track_id, tr.stage AS stage_type, 'g:'
 FROM o JOIN tr ON tr.shot_id = o.shot_id AND tr.trk = o.trk JOIN k ON k.shot_id = o.shot_id AND k.trk = o.trk""")
 def final_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins, tr, ident, sh = _stage(spark, sf_dir)
-    c = targets.candidates(bins, tr, ident, sh)
+    c = materialise(spark, targets.candidates(bins, tr, ident, sh), "candidates")
     f = targets.final_table(bins, ident, targets.assignments(bins, c, ident, sh), sh, tr, c)
     return f.select("shot_id", "subject_local_track_id", "stage_type", "subject_global_person_id", F.round("identity_confidence", 4).alias("identity_confidence"), "identity_status", "candidate_count", "has_offscreen_person_candidate", "target_id", "proxy_status", "gaze_direction_bucket")
 
@@ -313,10 +316,9 @@ def unit_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("stream_timebin", f"""WITH {V_FRAME} SELECT stream, epoch_us(TIMESTAMP '2024-01-01 00:00:00') // 1000000 + CAST(floor(t / 86400) AS BIGINT) * 86400 AS bin_start_s, count(*) AS n_frames_total, count(*) FILTER (WHERE success = 1) AS n_frames_valid, round(avg(conf) FILTER (WHERE success = 1), 4) AS confidence_mean
-FROM v_frame WHERE t < 29 * 86400 GROUP BY ALL""")
+FROM v_frame GROUP BY ALL""")
 def stream_timebin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bins of the whole event stream: the last state of each, in whatever order the files come. The SQL twin stops
-    at the 29th day."""
+    """Daily bins of the whole event stream: the last state of each, in whatever order the files come."""
     from shotlens.streaming.live import live_bins, read_events, run_updates
 
     k = F.get_json_object("props", "$.k").cast("int")

@@ -28,6 +28,17 @@ def json_object(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+CANDIDATE = "struct<candidate_type:string,candidate_id:string,candidate_global_person_id:string,candidate_cast_pid:string,candidate_side:string,total_score:double>"
+
+
+def parse_candidates(c: Column, item: str = CANDIDATE) -> Column:
+    """array<struct> of a JSON list of objects; empty for blank text, bad JSON and what is no list; items that are no
+    objects go."""
+    each = F.from_json(F.coalesce(c, F.lit("")), "array<string>")
+    objects = F.filter(F.coalesce(each, F.array().cast("array<string>")), lambda x: x.isNotNull() & F.ltrim(x).startswith("{"))
+    return F.transform(objects, lambda x: F.from_json(x, item))
+
+
 def stable_key(*parts: Column) -> Column:
     """A response cache's key: SHA-256 of the parts, each with its length before it."""
     text = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]

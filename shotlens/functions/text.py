@@ -29,17 +29,18 @@ def _literal(words: tuple[str, ...]) -> str:
     return "|".join(w.replace(".", r"\.") for w in sorted(words, key=len, reverse=True))
 
 
-def blank_as_null(c: Column) -> Column:
-    return F.when(F.trim(c) != "", c)
-
-
 def clean_line(c: Column) -> Column:
     """No byte-order mark, white space folded, trimmed; null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")).cast("string"), "﻿", "")) if False else F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "\\ufeff", ""), _SPACE, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "\\ufeff", ""), _SPACE, " "))
+
+
+#: What Python's strip() takes from both ends of a text.
+_STRIPPED = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def clean_text(c: Column) -> Column:
-    return F.trim(F.translate(F.coalesce(c.cast("string"), F.lit("")), " ", " "))
+    """No-break spaces are blanks; white space at both ends goes; null becomes empty."""
+    return F.btrim(F.translate(F.coalesce(c.cast("string"), F.lit("")), "\u00a0", " "), F.lit(_STRIPPED))
 
 
 def indent(c: Column) -> Column:

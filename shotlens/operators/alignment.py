@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -41,7 +42,10 @@ def align_spans(raw: list[str], dialogue: list[str], rules: AlignmentRules = Ali
     """Steps from the first segments to the last: match, skip_raw or skip_dialogue, with their ranges and scores.
 
     A cell keeps the first move that reaches its best sum; moves are tried in the order skip_raw, skip_dialogue, spans.
-    Only spans that share a word are scored: an index of words to places tells which starts can match at all."""
+    Only spans that share a word are scored: an index of words to places tells which starts can match at all. Spans are of
+    at most 7 segments; memory is a byte for each cell and some rows of sums."""
+    if not 1 <= min(rules.raw_span, rules.dialogue_span) <= max(rules.raw_span, rules.dialogue_span) <= 7:
+        raise ValueError("spans are of 1 to 7 segments")
     n, m = len(raw), len(dialogue)
     if not n or not m:
         return []
@@ -51,28 +55,33 @@ def align_spans(raw: list[str], dialogue: list[str], rules: AlignmentRules = Ali
         for w in spans[-1][0]:
             where.setdefault(w, set()).add(j)
     low = float("-inf")
-    best = [[low] * (m + 1) for _ in range(n + 1)]
-    move: list[list[tuple[int, int] | None]] = [[None] * (m + 1) for _ in range(n + 1)]
+    # sums of the rows that a span can still reach, and a byte for each cell's move: 8 * raw + dialogue segments, 0 for none
+    best = {k: array("d", [low]) * (m + 1) for k in range(min(n, rules.raw_span) + 1)}
+    move = [bytearray(m + 1) for _ in range(n + 1)]
     best[0][0] = 0.0
     for i in range(n + 1):
         near = set().union(*(where.get(w, ()) for w in rs[i][-1][0])) if i < n else set()
+        if i:
+            del best[i - 1]
+            if i + rules.raw_span <= n:
+                best[i + rules.raw_span] = array("d", [low]) * (m + 1)
         for j in range(m + 1):
             now = best[i][j]
             if now == low:
                 continue
             if i < n and now - rules.skip_raw > best[i + 1][j]:
-                best[i + 1][j], move[i + 1][j] = now - rules.skip_raw, (1, 0)
+                best[i + 1][j], move[i + 1][j] = now - rules.skip_raw, 8
             if j < m and now - rules.skip_dialogue > best[i][j + 1]:
-                best[i][j + 1], move[i][j + 1] = now - rules.skip_dialogue, (0, 1)
+                best[i][j + 1], move[i][j + 1] = now - rules.skip_dialogue, 1
             if i < n and j in near:
                 for a, x in enumerate(rs[i], 1):
                     for b, y in enumerate(ds[j], 1):
                         s = _score(x, y)[0]
                         if s >= rules.least_score and now + s > best[i + a][j + b]:
-                            best[i + a][j + b], move[i + a][j + b] = now + s, (a, b)
+                            best[i + a][j + b], move[i + a][j + b] = now + s, 8 * a + b
     steps, i, j = [], n, m
-    while (i or j) and move[i][j] is not None:
-        a, b = move[i][j]
+    while (i or j) and move[i][j]:
+        a, b = divmod(move[i][j], 8)
         i, j = i - a, j - b
         step = {"type": "skip_raw" if not b else "skip_dialogue" if not a else "match", "raw_start": i if a else None, "raw_end": i + a - 1 if a else None, "dialogue_start": j if b else None, "dialogue_end": j + b - 1 if b else None}
         scores = _score(rs[i][a - 1], ds[j][b - 1]) if a and b else (None,) * 5

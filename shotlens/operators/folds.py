@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 
 def _let(value: Column, use) -> Column:
@@ -16,14 +17,21 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _sortable(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """The table with its maps as arrays of entries, by which rows can be sorted, and the columns as they were."""
+    maps = [f.name for f in df.schema if isinstance(f.dataType, MapType)]
+    return df.withColumns({c: F.map_entries(c) for c in maps}), [F.map_from_entries(c).alias(c) if c in maps else F.col(c) for c in df.columns]
+
+
 def non_overlapping(df: DataFrame, keys: Sequence[str], order: Sequence[Column], low: str, high: str, most: int | None = None) -> DataFrame:
     """Greedy choice in the given order: a row is taken unless it shares a place in [low, high] with one taken before.
 
     `order` must be total (columns to sort rising). With `most` at least one row is taken, even if it is 0."""
     names = [f"__o{i}" for i in range(len(order))]
-    rows = df.withColumns(dict(zip(names, order, strict=True)))
+    rows, back = _sortable(df)
+    start = F.array().cast(rows.select(F.array(F.struct(*rows.columns)).alias("x")).schema["x"].dataType)
+    rows = rows.withColumns(dict(zip(names, order, strict=True)))
     item = F.struct(*names, F.struct(*df.columns).alias("__row"))
-    start = F.array().cast(df.select(F.array(F.struct(*df.columns)).alias("x")).schema["x"].dataType)
 
     def step(taken: Column, x: Column) -> Column:
         clash = F.exists(taken, lambda t: (t[low] <= x["__row"][high]) & (x["__row"][low] <= t[high]))
@@ -31,22 +39,23 @@ def non_overlapping(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
         return F.when(clash | full, taken).otherwise(F.concat(taken, F.array(x["__row"])))
 
     groups = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("__items"))
-    return groups.select(F.explode(F.aggregate("__items", start, step)).alias("__row")).select("__row.*")
+    return groups.select(F.explode(F.aggregate("__items", start, step)).alias("__row")).select("__row.*").select(*back)
 
 
 def greedy_pairs(df: DataFrame, keys: Sequence[str], order: Sequence[Column], left: str, right: str) -> DataFrame:
     """Greedy one-to-one match: pairs in the given total order, each left and right side once in a group."""
     names = [f"__o{i}" for i in range(len(order))]
-    rows = df.withColumns(dict(zip(names, order, strict=True)))
+    rows, back = _sortable(df)
+    start = F.array().cast(rows.select(F.array(F.struct(*rows.columns)).alias("x")).schema["x"].dataType)
+    rows = rows.withColumns(dict(zip(names, order, strict=True)))
     item = F.struct(*names, F.struct(*df.columns).alias("__row"))
-    start = F.array().cast(df.select(F.array(F.struct(*df.columns)).alias("x")).schema["x"].dataType)
 
     def step(taken: Column, x: Column) -> Column:
         used = F.exists(taken, lambda t: (t[left] == x["__row"][left]) | (t[right] == x["__row"][right]))
         return F.when(used, taken).otherwise(F.concat(taken, F.array(x["__row"])))
 
     groups = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("__items"))
-    return groups.select(F.explode(F.aggregate("__items", start, step)).alias("__row")).select("__row.*")
+    return groups.select(F.explode(F.aggregate("__items", start, step)).alias("__row")).select("__row.*").select(*back)
 
 
 def carry_choice(df: DataFrame, keys: Sequence[str], order: Sequence[str], fixed: str, ties: str) -> DataFrame:

@@ -17,7 +17,8 @@ def bucket_sample(df: DataFrame, buckets: dict[str, tuple[Column, int]], key: st
     hits = F.filter(F.array(*(F.when(cond, F.struct(F.lit(i).alias("no"), F.lit(b).alias("bucket"), F.lit(n).alias("most"))) for i, (b, (cond, n)) in enumerate(buckets.items()))), lambda x: x.isNotNull())
     rows = df.withColumn("__b", F.explode(hits)).withColumn(name, F.col("__b.bucket"))
     rank = F.row_number().over(Window.partitionBy(name).orderBy(hash_order(seed, key), key))
-    return rows.withColumn("sample_rank", rank).where(F.col("sample_rank") <= F.col("__b.most")).drop("__b")
+    most = max((n for _, n in buckets.values()), default=0)  # a literal limit is pushed below the shuffle
+    return rows.withColumn("sample_rank", rank).where((F.col("sample_rank") <= most) & (F.col("sample_rank") <= F.col("__b.most"))).drop("__b")
 
 
 def quotas(df: DataFrame, key: str, parts: Sequence[tuple[str, Column, int]], priority: Column, order: str) -> tuple[DataFrame, DataFrame]:

@@ -31,16 +31,32 @@ def token_score(a: Column, b: Column) -> Column:
 
 def token_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, text: str, least: float) -> DataFrame:
     """Pairs of a key's rows whose token score reaches `least` (above 0): pairs meet on a common token, by an equi-join, so
-    that pairs without one are never made."""
+    that pairs without one are never made.
+
+    A score of `least` takes a recall of at least r (see least_recall), so that all but the first n - ceil(r n) + 1 of a
+    left row's n tokens need not meet anything; these are its rarest ones, by how many right rows have them."""
     a = left.select(*keys, left_id, tokens(F.col(text)).alias("__a"))
     b = right.select(*keys, right_id, tokens(F.col(text)).alias("__b"))
     at = a.select(*keys, left_id, F.explode(F.array_distinct("__a")).alias("__t"))
     bt = b.select(*keys, right_id, F.explode(F.array_distinct("__b")).alias("__t"))
-    pairs = at.join(bt, [*keys, "__t"]).select(*keys, left_id, right_id).distinct()
+    often = bt.groupBy(*keys, "__t").agg(F.count("*").alias("__n"))
+    first = Window.partitionBy(*keys, left_id).orderBy(F.coalesce("__n", F.lit(0)), "__t")
+    all_ = F.count("*").over(Window.partitionBy(*keys, left_id))
+    rare = at.join(often, [*keys, "__t"], "left").withColumns({"__r": F.row_number().over(first), "__all": all_}).where((F.col("__r") <= F.col("__all") - F.ceil(F.col("__all") * least_recall(least)) + 1) & F.col("__n").isNotNull())
+    pairs = rare.select(*keys, left_id, "__t").join(bt, [*keys, "__t"]).select(*keys, left_id, right_id).distinct()
     scored = pairs.join(a, [*keys, left_id]).join(b, [*keys, right_id]).withColumn("__s", token_score(F.col("__a"), F.col("__b")))
     return scored.where(F.col("__s.score") >= least).select(*keys, left_id, right_id, "__s.*")
 
 
+def least_recall(score: float) -> float:
+    """The recall below which no token score reaches `score`, whatever the precision and the lengths (rounded down)."""
+    low, high = 0.0, 1.0
+    for _ in range(40):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 0.50 * mid + 0.35 * 2 * mid / (1 + mid) + 0.15 < score else (low, mid)
+    return max(0.0, low - 1e-9)
+
+
 def mean_unit(df: DataFrame, keys: Sequence[str], vec: str, order: Sequence[Column | str] | None = None, k: int | None = None, name: str = "embedding") -> DataFrame:
     """The renormalised mean of the unit vectors of a group's first k rows (all without k), and how many there were.
 
@@ -56,8 +72,9 @@ def _scored_type(gallery: DataFrame, proto_id: str, label: str) -> str:
     return f"array<struct<score:double,proto:{gallery.schema[proto_id].dataType.simpleString()},label:{gallery.schema[label].dataType.simpleString()}>>"
 
 
-#: Gallery vectors that one row holds at most; a larger gallery is searched in blocks of this size.
-MAX_GALLERY = 20_000
+#: Gallery vectors that one row holds at most; a larger gallery is searched in blocks of this size. Bytes of a gallery up to
+#: which it is broadcast; copies of a larger one's blocks, each for a part of the queries.
+MAX_GALLERY, BROADCAST_BYTES, COPIES = 20_000, 64 << 20, 16
 
 
 def best_match(queries: DataFrame, gallery: DataFrame, query_id: str, vec: str, proto_id: str, label: str, threshold: float, margin: float, allow: str | None = None) -> DataFrame:
@@ -66,14 +83,18 @@ def best_match(queries: DataFrame, gallery: DataFrame, query_id: str, vec: str,
 
     `allow` is a column of labels that a query may match (empty: all). The gallery is collected into arrays of at most
     MAX_GALLERY prototypes, and each query meets one row per array, not one per prototype; the two best of each array
-    suffice for the two best of all."""
-    parts = max(1, -(-gallery.count() // MAX_GALLERY))
+    suffice for the two best of all. A gallery of BROADCAST_BYTES at most (its size is counted) is broadcast; of a larger one
+    every block has COPIES copies, among which the queries are dealt by a hash, so that no key holds all queries."""
+    size = gallery.agg(F.count("*").alias("n"), F.coalesce(F.sum(8 * F.size(vec) + 64), F.lit(0)).alias("bytes")).head()
+    parts, small = max(1, -(-size["n"] // MAX_GALLERY)), size["bytes"] <= BROADCAST_BYTES
     part = F.pmod(F.xxhash64(proto_id), F.lit(parts)).cast("int")
     blocks = gallery.groupBy(part.alias("__part")).agg(F.collect_list(F.struct(F.col(proto_id).alias("proto"), F.col(label).alias("label"), unit(F.col(vec)).alias("v"))).alias("__g"))
+    blocks = F.broadcast(blocks) if small else blocks.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
     q = queries.withColumn("__q", unit(F.col(vec))).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    q = q if small else q.withColumn("__copy", F.pmod(F.xxhash64(query_id), F.lit(COPIES)).cast("int"))
     ok = (lambda x: (F.size(F.coalesce(F.col(allow), F.array().cast("array<string>"))) == 0) | F.array_contains(F.col(allow), x["label"])) if allow else (lambda x: F.lit(True))
     scored = F.sort_array(F.transform(F.filter("__g", ok), lambda x: F.struct(cosine(F.col("__q"), x["v"]).alias("score"), x["proto"].alias("proto"), x["label"].alias("label"))), asc=False)
-    pairs = q.join(blocks, "__part", "left").withColumn("__s", F.slice(F.coalesce(scored, F.array().cast(_scored_type(gallery, proto_id, label))), 1, 2))
+    pairs = q.join(blocks, ["__part"] if small else ["__part", "__copy"], "left").withColumn("__s", F.slice(F.coalesce(scored, F.array().cast(_scored_type(gallery, proto_id, label))), 1, 2))
     merged = pairs.groupBy(query_id).agg(F.slice(F.sort_array(F.flatten(F.collect_list("__s")), asc=False), 1, 2).alias("__s"))
     top, second = F.try_element_at("__s", F.lit(1)), F.try_element_at("__s", F.lit(2))
     out = merged.select(query_id, F.coalesce(top["score"], F.lit(-1.0)).alias("top_score"), F.coalesce(second["score"], F.lit(-1.0)).alias("second_score"), top["proto"].alias("__p"), top["label"].alias("__l"))

@@ -86,15 +86,17 @@ def timeline(df: DataFrame, keys: Sequence[str], order: Sequence[str], ratio: st
     return out.withColumns({"t0": t0, "t1": t1}).drop("__r", "__all", "__upto", "__last")
 
 
-def anchor_range(df: DataFrame, keys: Sequence[str], order: str, anchor: str, size: str, radius: int = 8, low: str = "range_low", high: str = "range_high") -> DataFrame:
+def anchor_range(df: DataFrame, keys: Sequence[str], order: str, anchor: str, size: str, radius: int = 8, low: str = "range_low", high: str = "range_high", later: str | None = None) -> DataFrame:
     """The places [low, high] that may match a row: between the nearest anchors before and after, `radius` wider; with one
     anchor, or two that cross, around one; in a table without anchors around the row's proportional place. `size` is the
-    number of places of the other side."""
+    number of places of the other side. A row's value of `later` is an anchor for the rows after it only."""
     by = Window.partitionBy(*keys)
     w = by.orderBy(order)
-    before = F.last(anchor, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    upto = w.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.coalesce(anchor, later) if later else anchor, ignorenulls=True).over(upto)
+    some = F.count(anchor).over(by) + (F.count(later).over(upto) if later else 0)
     after = F.first(anchor, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    out = df.withColumns({"__b": before, "__a": after, "__any": F.count(anchor).over(by), "__i": F.row_number().over(w) - 1, "__n": F.count("*").over(by)})
+    out = df.withColumns({"__b": before, "__a": after, "__any": some, "__i": F.row_number().over(w) - 1, "__n": F.count("*").over(by)})
     b, a, last = F.col("__b"), F.col("__a"), F.col(size) - 1
     near = F.bround(F.col("__i") / F.greatest(F.col("__n") - 1, F.lit(1)) * F.greatest(last, F.lit(0))).cast("long")
     between = b.isNotNull() & a.isNotNull() & (b <= a)

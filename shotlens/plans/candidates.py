@@ -87,6 +87,15 @@ def select_sequences(candidates: DataFrame, most: int | None = None) -> DataFram
     return non_overlapping(candidates, ["movie_id"], rank_order(), "start_shot_idx", "end_shot_idx", most)
 
 
+def selection_summary(every: DataFrame, selected: DataFrame, order: Sequence[Column | str] = ("sequence_id",), top: int = 10) -> DataFrame:
+    """One row: counts and cue totals over all candidates, and the first `top` of the selected ones."""
+    fields = ("sequence_id", "movie_id", "score", "start_shot_idx", "end_shot_idx", "total_sec")
+    total = every.agg(F.count("*").alias("all_candidate_count"), F.count_if(F.col("visual_action_score") > 0).alias("visual_candidates_with_score"), *(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("camera_cue_count", "camera_cue_total"), ("gaze_verb_count", "gaze_verb_total"), ("movement_cue_count", "movement_cue_total"))))
+    first = selected.orderBy(*order).limit(top).select(*fields).withColumn("__n", F.monotonically_increasing_id())  # `top` rows of one partition
+    listed = first.agg(F.sort_array(F.collect_list(F.struct("__n", *fields))).alias("top_sequences"))
+    return total.crossJoin(selected.agg(F.count("*").alias("selected_candidate_count"))).crossJoin(listed)  # one row each
+
+
 def sequence_packages(selected: DataFrame, context: DataFrame, fields: Sequence[str]) -> DataFrame:
     from shotlens.operators.interval import collect_range
 

@@ -12,6 +12,8 @@ from shotlens.functions.text import first_distinct, target_name
 from shotlens.operators.windows import anchor_range, timeline
 from shotlens.providers import TextModel
 
+# What a gaze may be meant as.
+INTENTS = ("ADDRESS", "LISTEN", "THINK", "AVOID", "REACT", "OBSERVE")
 EVENT = "struct<shot_id:string,order_in_shot:string,phase:string,duration_ratio:string,target:string,gaze_intent:string,evidence:string>"
 ANSWER = f"struct<sequence_id:string,movie_id:string,main_char:string,events:array<{EVENT}>>"
 
@@ -24,7 +26,7 @@ def packages_for_tasks(packages: DataFrame, most_speakers: int | None = 1) -> Da
     return out.withColumn("prompt", prompt(F.struct("sequence_id", "movie_id", "main_char", "pre_script", "script_action_preview", "active_speakers", "shots"))).withColumn("cache_key", stable_key(F.col("sequence_id"), F.col("main_char"), F.col("prompt")))
 
 
-def prompt(package: Column, intents: Sequence[str] = ("ADDRESS", "LISTEN", "REACT", "SEARCH", "AVOID", "THINK"), targets: Sequence[str] = ("CHARACTER", "OBJECT", "OFFSCREEN", "DOWN", "UP", "LEFT", "RIGHT", "GROUP")) -> Column:
+def prompt(package: Column, intents: Sequence[str] = INTENTS, targets: Sequence[str] = ("CHARACTER", "OBJECT", "OFFSCREEN", "DOWN", "UP", "LEFT", "RIGHT", "GROUP")) -> Column:
     return F.concat_ws("\n", F.lit("Answer with one JSON object: sequence_id, movie_id, main_char and events (shot_id, order_in_shot, phase, duration_ratio, target, gaze_intent, evidence)."), F.lit("gaze_intent is one of: " + ", ".join(intents)), F.lit("Without a named character, target is one of: " + ", ".join(targets)), F.to_json(package))
 
 
@@ -87,10 +89,19 @@ def apply_answers(rows: DataFrame, answers: DataFrame, dialogue: DataFrame, keys
     return out.withColumns(new).drop("confidence", "segment_idx", "__speaker", "__dialogue")
 
 
-def repair_ranges(context: DataFrame, sizes: DataFrame, radius: int = 8) -> DataFrame:
-    """For each row to repair the dialogue segments [range_low, range_high] that an answer may choose from. One pass: an
-    accepted answer does not move the ranges of later rows. sizes: movie_id, n_segments."""
-    placed = anchor_range(context.join(sizes, "movie_id"), ["movie_id"], "row_idx", "script_block_start_idx", "n_segments", radius)
+def repair_ranges(context: DataFrame, sizes: DataFrame, radius: int = 8, accepted: str | None = None) -> DataFrame:
+    """For each row to repair the dialogue segments [range_low, range_high] that an answer may choose from. sizes: movie_id,
+    n_segments. `accepted` is a column with the segment of a row's accepted answer: rows are then asked in their order,
+    and an accepted row is an anchor for the rows after it."""
     from shotlens.plans.context import repair_rows
 
+    placed = anchor_range(context.join(sizes, "movie_id"), ["movie_id"], "row_idx", "script_block_start_idx", "n_segments", radius, later=accepted)
     return repair_rows(placed, order="row_idx")
+
+
+def accepted_segments(rows: DataFrame, answers: DataFrame, dialogue: DataFrame, keys: Sequence[str], place: str, threshold: float) -> DataFrame:
+    """Rows with `accepted`: the segment of the answer (keys, place, match, segment_idx, confidence 0-100), where it
+    matches, reaches the threshold and names an existing segment."""
+    good = answers.where(F.col("match") & (F.coalesce("confidence", F.lit(0.0)) >= threshold * 100) & F.col("segment_idx").isNotNull())
+    hit = good.join(dialogue.select(*keys, "segment_idx").distinct(), [*keys, "segment_idx"], "left_semi").select(*keys, place, F.col("segment_idx").alias("accepted"))
+    return rows.join(hit, [*keys, place], "left")

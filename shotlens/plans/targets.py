@@ -12,6 +12,7 @@ from shotlens.functions.geometry import side_of
 from shotlens.functions.numeric import clamp, direction_bucket, finite_float
 from shotlens.functions.text import normalize_label
 from shotlens.operators.folds import carry_choice
+from shotlens.operators.interval import contained
 from shotlens.operators.windows import adjacent_values, neighbour_union, smooth_isolated
 
 # Rank of the candidate types in ties, source of a tie's winner, types that name nobody.
@@ -33,11 +34,11 @@ class TargetRules:
     offscreen: bool = True
 
 
-def bin_boxes(tracks: DataFrame, bins: DataFrame) -> DataFrame:
+def bin_boxes(tracks: DataFrame, bins: DataFrame, width: float = 0.5) -> DataFrame:
     """Mean centre of every track of a shot in every bin of it: shot_id, track, bin_start_sec, cx. Boxes meet bins by an
-    equi-join on the shot and a range test; bins of a shot are few."""
+    equi-join on the shot and cells of `width` seconds, the usual width of a bin (others are right too)."""
     spans = bins.select("shot_id", "bin_start_sec", "bin_end_sec").distinct()
-    return tracks.join(spans, "shot_id").where((F.col("timestamp_sec") >= F.col("bin_start_sec")) & (F.col("timestamp_sec") < F.col("bin_end_sec"))).groupBy("shot_id", F.col("local_track_id").alias("track"), "bin_start_sec").agg(F.avg("bbox_cx").alias("cx"))
+    return contained(tracks, spans, ["shot_id"], "timestamp_sec", "bin_start_sec", "bin_end_sec", width).groupBy("shot_id", F.col("local_track_id").alias("track"), "bin_start_sec").agg(F.avg("bbox_cx").alias("cx"))
 
 
 def reverse_labels(shots: DataFrame, identities: DataFrame, least: float = 0.60) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shotlens.catalog import relational, script, video
+from shotlens.catalog import relational, script, stages, video
 
-_PARTS = (script, relational, video)
+_PARTS = (script, relational, video, stages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -48,10 +48,12 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under spark.checkpoint.dir, the folder that driver and executors share; deleted when the
-    application ends. Only where that setting is unset (tests on one machine) a temporary folder takes its place."""
+    application ends. Only where that setting is unset and the master is local a temporary folder takes its place."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or os.environ.get("SHOTLENS_SHARED_DIR")
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.environ["SHOTLENS_SHARED_DIR"] = tempfile.mkdtemp(prefix="shotlens-shared-")
     path = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/shotlens-{uuid.uuid4().hex}/{name}")
     fs = path.getFileSystem(sc._jsc.hadoopConfiguration())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from shotlens.functions.jsonish import parse_list
 from shotlens.functions.numeric import safe_float
 from shotlens.functions.text import clean_text, padded, unique_join, utterance_count
+from shotlens.session import ship
 
 SUBTITLE = "struct<shot:long,duration:array<double>,sentences:array<string>>"
 ANNOTATION = f"movie_id string, cast array<struct<id:string,shot_idx:string,pid:string,possible_pids:array<string>,resolution:array<double>,body:struct<bbox:array<double>>>>, story array<struct<id:string,description:string,subtitle:array<{SUBTITLE}>>>"
@@ -43,11 +45,34 @@ def read_csv_or_empty(spark: SparkSession, path: str, columns: Sequence[str]) ->
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, strict: bool = True) -> DataFrame:
-    """JSON lines; blank lines go. Strict: a line that is no object fails the job; else it is dropped."""
-    reader = spark.read.option("mode", "FAILFAST" if strict else "DROPMALFORMED")
+    """JSON lines; blank lines go. Strict: a line that is no JSON raises an error with its file and number, found by a scan
+    before any work; else it is dropped."""
+    reader = spark.read.option("mode", "DROPMALFORMED")
+    if strict:
+        lines = spark.read.text(path).select("value", F.input_file_name().alias("file")).where("trim(value) <> ''")
+        bad = lines.where(F.try_parse_json("value").isNull()).select("file").limit(1).collect()
+        if bad:
+            ship(spark)
+            numbered = spark.read.text(bad[0]["file"]).rdd.zipWithIndex()  # only to name the line of an error
+            line = numbered.filter(lambda x: x[0][0].strip() and not _is_json(x[0][0])).first()[1] + 1
+            raise ValueError(f"{bad[0]['file']}: line {line} is no JSON")
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def _is_json(line: str) -> bool:
+    try:
+        json.loads(line)
+    except ValueError:
+        return False
+    return True
+
+
+def movie_root(table_path: str, movie_id: str) -> str:
+    """The folder of a movie's outputs from the path of its final table."""
+    folder, _, _ = table_path.rpartition("/")
+    return folder.rpartition("/")[0] if folder.rpartition("/")[2] == "final_proxy" else f"outputs/video_proxy/{movie_id}"
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Whole documents, one per file."""
     return spark.read.schema(schema).json(path, multiLine=True)
@@ -72,7 +97,7 @@ def read_script(spark: SparkSession, path: str) -> DataFrame:
     """movie_id (from the file's name) and text, whole; bytes that are no UTF-8 are replaced and go."""
     f = spark.read.format("binaryFile").load(path)
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return f.select(stem.alias("movie_id"), F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit("")).alias("text"))
+    return f.select(stem.alias("movie_id"), F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")).alias("text"))
 
 
 def read_shots(spark: SparkSession, path: str) -> DataFrame:

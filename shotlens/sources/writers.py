@@ -26,9 +26,12 @@ def flat(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.select(*out)
 
 
-def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, mode: str = "fail", order: Sequence[str] = ()) -> None:
-    """A folder of CSV parts; with `order` sorted by ranges, so that the parts' names follow the order."""
+def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, mode: str = "fail", order: Sequence[str] = (), bom: bool = False) -> None:
+    """A folder of CSV parts; with `order` sorted by ranges, so that the parts' names follow the order; with `bom` each
+    part begins with a byte-order mark, as spreadsheets want it."""
     out = flat(df.orderBy(*order) if order else df, columns)
+    if bom:
+        out = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0])
     out.write.mode(MODES[mode]).csv(path, header=True, quote='"', escape='"', emptyValue="")
 
 

@@ -1,20 +1,25 @@
 """Time bins, sessions and last choices over streams of frames, with watermarks and checkpoints.
 
-`run_available` drives a query over what is there now and returns what it wrote: append mode to Parquet, so that a run that
-stops goes on from its checkpoint. `run_updates` returns every group's last state instead, so that no group has to be
+`run_available` drives a query over what is there now and returns what it wrote: append mode to Parquet; given a lasting
+folder, a run goes on from the checkpoint of the one before. `run_updates` returns every group's last state instead, so that no group has to be
 closed by a watermark."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from shotlens.plans.tracks import BinRules, quality
 from shotlens.session import shared_dir
 
+#: Milliseconds of event time after which the memory of a silent key is dropped.
+SILENCE_MS = 7 * 86_400_000
+
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
     """A stream of a Parquet table's files (`path`: the table, a file or a folder of files)."""
@@ -42,36 +47,81 @@ def live_sessions(frames: DataFrame, keys: Sequence[str], at: str, gap: str, lat
     return frames.withWatermark(at, late).groupBy(*keys, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("track_len")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "track_len")
 
 
-def live_last_choice(rows: DataFrame, key: str, order: str, choice: str) -> DataFrame:
-    """Each row with the last non-null choice before it in its stream: state for a key is one text."""
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        got = pd.concat(list(batches)).sort_values(order, kind="stable")
-        before = []
-        for c in got[choice]:
-            before.append(last)
-            if c is not None and c == c:
-                last = c
-        state.update((last,))
-        yield pd.DataFrame({key: k[0], order: got[order], "previous": before})
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(key, order, choice).groupBy(key).applyInPandasWithState(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, previous string", "last string", "append", "NoTimeout")
-
-
-def run_available(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Process what is there, in as many batches as it takes, and read the result."""
-    to = shared_dir(spark, name)
+def in_order(rows: DataFrame, key: str, at: str, value: str, late: str, name: str, step: Callable[[list, list[tuple]], tuple[list, list[tuple]]]) -> DataFrame:
+    """Each key's rows in the order of their times, in whatever batches they come: `key`, `at` and `name` (text).
+
+    A row waits in the key's state until the watermark, `late` behind the latest time, has passed it; `step` takes what it
+    returned last (a list of texts, empty at first) and the rows (time, value) that are now due, in order, and gives its new
+    memory and the rows (time, text) to send. The memory of a key without rows for SILENCE_MS goes."""
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        memory, waiting = json.loads(state.get[0]) if state.exists else ([], [])
+        for rows in batches:
+            waiting += [[int(t), None if v is None or v != v else str(v)] for t, v in zip(rows["__us"].tolist(), rows[value].tolist(), strict=True)]
+        mark = state.getCurrentWatermarkMs()
+        due = sorted(x for x in waiting if x[0] <= mark * 1000)
+        memory, out = step(memory, [tuple(x) for x in due])
+        waiting = sorted(x for x in waiting if x[0] > mark * 1000)
+        if waiting:
+            state.update((json.dumps([memory, waiting]),))
+            state.setTimeoutTimestamp(max(mark + 1, waiting[0][0] // 1000 + 1))
+        elif state.hasTimedOut and not due:
+            state.remove()
+        else:
+            state.update((json.dumps([memory, []]),))
+            state.setTimeoutTimestamp(mark + 1 + SILENCE_MS)
+        yield pd.DataFrame({key: [k[0]] * len(out), "__us": [t for t, _ in out], name: [v for _, v in out]})
+
+    kind = rows.schema[key].dataType.simpleString()
+    timed = rows.select(key, at, value).withWatermark(at, late).withColumn("__us", F.unix_micros(at))
+    got = timed.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, __us long, `{name}` string", "kept string", "append", "EventTimeTimeout")
+    return got.select(key, F.timestamp_micros("__us").alias(at), name)
+
+
+def live_last_choice(rows: DataFrame, key: str, at: str, choice: str, late: str) -> DataFrame:
+    """Each row with the last non-null choice before it in its stream."""
+
+    def step(memory: list, due: list[tuple]) -> tuple[list, list[tuple]]:
+        out = []
+        for t, v in due:
+            out.append((t, memory[0] if memory else None))
+            memory = [v] if v is not None else memory
+        return memory, out
+
+    return in_order(rows, key, at, choice, late, "previous", step)
+
+
+def live_smoothing(rows: DataFrame, key: str, at: str, choice: str, late: str) -> DataFrame:
+    """Each row's choice; a missing one between two equal ones takes their value. A row is sent when the row after it is
+    due, so that the last row of a stream waits for another."""
+
+    def step(memory: list, due: list[tuple]) -> tuple[list, list[tuple]]:
+        out = []  # memory: the choice before the pending row, its time and its choice
+        for t, v in due:
+            if memory:
+                before, at_, mine = memory
+                out.append((at_, before if mine is None and v is not None and v == before else mine))
+                memory = [mine, t, v]
+            else:
+                memory = [None, t, v]
+        return memory, out
+
+    return in_order(rows, key, at, choice, late, "smoothed", step)
+
+
+def run_available(spark: SparkSession, stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Process what is there, in as many batches as it takes, and read the result. With a `folder` that outlives the
+    application a later run goes on where the last one ended; without one each run is new."""
+    to = f"{folder.rstrip('/')}/{name}" if folder else shared_dir(spark, name)
     q = stream.writeStream.format("parquet").option("path", to).option("checkpointLocation", f"{to}-checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(to)
 
 
-def run_updates(spark: SparkSession, stream: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+def run_updates(spark: SparkSession, stream: DataFrame, keys: Sequence[str], name: str, folder: str | None = None) -> DataFrame:
     """Process what is there, in as many batches as it takes, and read the last state of each group: every batch writes the
-    groups that it changed to a folder of its own, which a repeated batch overwrites."""
-    to = shared_dir(spark, name)
+    groups that it changed to a folder of its own, which a repeated batch overwrites. `folder` is as in run_available."""
+    to = f"{folder.rstrip('/')}/{name}" if folder else shared_dir(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{to}/batch={number}")
