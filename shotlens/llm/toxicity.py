@@ -159,8 +159,13 @@ class Terms:
         except KeyError:
             get = self.no.get
             for w in set(words):
-                if w not in cache:
-                    cache[w] = array("i", [n for t in terms_of(w.decode("utf-8", "replace")) if (n := get(t)) is not None]).tobytes()
+                if w in cache:
+                    continue
+                bare = w.rstrip(b".,;:!?").decode("utf-8", "replace").lower()
+                # one word, as most pieces are, has its terms at once
+                terms = (bare, *(bare[:n] + "-" for n in PREFIXES if len(bare) > n)) if bare.isalpha() else terms_of(w.decode("utf-8", "replace"))
+                found = [n for t in terms if (n := get(t)) is not None]
+                cache[w] = array("i", found).tobytes() if found else b""
             parts = [cache[w] for w in words]
         return np.frombuffer(b"".join(parts), np.int32)
 
