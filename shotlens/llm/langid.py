@@ -31,7 +31,9 @@ SCRIPTS = (
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 3_000_000
 #: Cost of a change of language between two words, share of a language's letters from which a script is one of its own,
 #: worst score of a word against the best language (so that one odd word doesn't decide), words in the cache.
-SWITCH, OWN_SCRIPT, FLOOR, CACHE = 8.0, 0.01, -12.0, 200_000
+SWITCH, OWN_SCRIPT, FLOOR, CACHE = 8.0, 0.01, -12.0, 100_000
+#: Texts that are labelled at a time and bytes of them (or one longer text), and new words scored at a time.
+TEXTS, TEXT_BYTES, NEW_WORDS = 2000, 1 << 23, 16_384
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")
 
@@ -112,7 +114,7 @@ class Labeller:
         self.chunks: dict[bytes, bytes] = {}  # what white space separates: the numbers of its words
         self.words: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.langs)))
-        self.size = np.zeros(0)
+        self.size, self.count = np.zeros(0), 0
 
     def _add(self, chunks: list[bytes]) -> None:
         words, new = self.words, []
@@ -127,8 +129,8 @@ class Labeller:
                     new.append(w)
                 numbers.append(n)
             self.chunks[chunk] = numbers.tobytes()
-        if new:
-            self._score(new)
+        for k in range(0, len(new), NEW_WORDS):
+            self._score(new[k : k + NEW_WORDS])
 
     def _score(self, words: list[str]) -> None:
         get, flat, starts = self.m.gram_no.get, [], []
@@ -141,15 +143,19 @@ class Labeller:
             if own is not None and not own.all() and own.any():
                 score[k, ~own] = score[k, own].max() + FLOOR
         score = np.maximum(score - score.max(1, keepdims=True), FLOOR)
-        self.scores = np.concatenate([self.scores, score])
-        self.size = np.concatenate([self.size, [len(w) for w in words]])
+        end = self.count + len(words)
+        if end > len(self.scores):  # room grows by halves
+            room = max(end, 3 * len(self.scores) // 2)
+            self.scores = np.concatenate([self.scores, np.zeros((room - len(self.scores), self.scores.shape[1]))])
+            self.size = np.concatenate([self.size, np.zeros(room - len(self.size))])
+        self.scores[self.count : end], self.size[self.count : end], self.count = score, [len(w) for w in words], end
 
     def label(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
         """For each text the letters that got each language, and the labels of its words."""
         if len(self.words) > CACHE or len(self.chunks) > 2 * CACHE:
             self.chunks.clear()
             self.words.clear()
-            self.scores, self.size = self.scores[:0], self.size[:0]
+            self.scores, self.size, self.count = self.scores[:0], self.size[:0], 0
         chunks = self.chunks
         split = [t.split() for t in texts]
         new: set[bytes] = set()
@@ -200,6 +206,19 @@ class Labeller:
         return letters, back
 
 
+def groups(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in their order, TEXTS and TEXT_BYTES at a time."""
+    part, size = [], 0
+    for t in texts:
+        if part and (len(part) >= TEXTS or size + len(t) > TEXT_BYTES):
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def identify(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """The id (and the columns in `keep`), lang_pred (the language of most letters; of equal ones the first by name),
     score (its share of the letters), and with `spans` the runs of words with one label.
@@ -218,7 +237,8 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "
         for b in batches:
             texts = column_bytes(b, "__text")
             if labeller:
-                letters, labels = labeller.label(texts)
+                parts = [labeller.label(part) for part in groups(texts)]
+                letters, labels = np.concatenate([p[0] for p in parts] or [np.zeros((0, len(m.langs)))]), [x for p in parts for x in p[1]]
                 whole = letters.sum(1)
                 best = letters.argmax(1)
                 pred = [m.langs[k] if n else UNKNOWN for k, n in zip(best, whole, strict=True)]
