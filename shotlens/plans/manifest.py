@@ -60,3 +60,10 @@ def allowed_only(df: DataFrame, allowed: DataFrame, keys: Sequence[str]) -> Data
 
 def missing_keys(wanted: DataFrame, there: DataFrame, keys: Sequence[str]) -> DataFrame:
     return wanted.select(*keys).distinct().join(there.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def must_match(df: DataFrame, there: DataFrame, keys: Sequence[str], most: int = 5) -> None:
+    """Raise ValueError with the first `most` keys that `there` doesn't have."""
+    gone = missing_keys(df, there, keys).orderBy(*keys).limit(most).collect()
+    if gone:
+        raise ValueError("no match for " + ", ".join("/".join(str(r[k]) for k in keys) for r in gone))

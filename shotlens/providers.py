@@ -4,6 +4,9 @@ A provider takes and returns a DataFrame; a real one works in `mapInPandas` or `
 
 from __future__ import annotations
 
+import re
+import time
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -49,6 +52,23 @@ class FakeVideo:
         return sample_frames(self.info(clips), sample_fps)
 
 
+class FakeDetector:
+    """Two faces a frame, side by side, that move by a pixel a frame."""
+
+    def detect(self, frames: DataFrame) -> DataFrame:
+        x = F.col("frame_idx").cast("double")
+        face = lambda left, conf: F.struct((left + x).alias("x1"), F.lit(40.0).alias("y1"), (left + x + 60).alias("x2"), F.lit(100.0).alias("y2"), F.lit(conf).alias("det_conf"))
+        return frames.select("*", F.explode(F.array(face(F.lit(40.0), 0.9), face(F.lit(400.0), 0.8))).alias("f")).select(*frames.columns, "f.*")
+
+
+class FakeGaze:
+    """Every crop looks to the left, surely."""
+
+    def estimate(self, crops: DataFrame) -> DataFrame:
+        angles = {c: F.lit(v) for c, v in (("gaze_angle_x", -0.5), ("gaze_angle_y", 0.0), ("pose_Rx", 0.0), ("pose_Ry", -0.4), ("pose_Rz", 0.0))}
+        return crops.withColumns({"success": F.lit(1), "confidence": F.lit(0.95)} | angles)
+
+
 class FakeText:
     """Answers that name no event: a valid object without a claim."""
 
@@ -68,3 +88,32 @@ def sample_frames(clips: DataFrame, sample_fps: float) -> DataFrame:
     step = F.greatest(F.lit(1).cast("long"), F.bround(F.col("fps") / F.lit(sample_fps)).cast("long"))
     some = clips.where("n_frames > 0").withColumn("__step", step).select("*", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n_frames") - 1, F.col("__step"))).alias("sample_order", "frame_idx"))
     return some.withColumn("timestamp_sec", F.col("frame_idx") / F.col("fps")).drop("__step")
+
+
+def available(*modules: str) -> dict[str, bool]:
+    """Which optional Python modules can be imported, without importing them."""
+    import importlib.util
+
+    return {m: importlib.util.find_spec(m) is not None for m in modules}
+
+
+def with_retry(call: Callable[[], str], is_limit: Callable[[Exception], bool], wait: Callable[[Exception], float], attempts: int = 5, sleep: Callable[[float], None] = time.sleep) -> str:
+    """The call's answer; an error that `is_limit` holds for is tried again after `wait` seconds, `attempts` times in all.
+    Any other error, and the last one, is raised."""
+    for attempt in range(attempts):
+        try:
+            return call()
+        except Exception as e:
+            if attempt == attempts - 1 or not is_limit(e):
+                raise
+            sleep(wait(e))
+    raise ValueError("at least one attempt is needed")
+
+
+def wait_seconds(message: str, default: float = 3.0) -> float:
+    """The delay that an error's text asks for ("try again in 1.5s"), half a second at least."""
+    found = re.search(r"try again in ([0-9.]+)\s*s", message, re.I)
+    try:
+        return max(0.5, float(found[1])) if found else max(0.5, default)
+    except ValueError:
+        return max(0.5, default)

@@ -68,3 +68,17 @@ def audit_html(samples: DataFrame, columns: Sequence[str], title: str, most: int
     cell = lambda x: f"<td>{html.escape('' if x is None else str(x))}</td>"
     head = "".join(f"<th>{html.escape(c)}</th>" for c in columns)
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table><tr>{head}</tr>" + "".join("<tr>" + "".join(map(cell, r)) + "</tr>" for r in rows) + "</table></body></html>"
+
+
+def write_gallery(protos: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A gallery's vectors as Parquet and an index of everything else as CSV."""
+    vectors = [f.name for f in protos.schema if isinstance(f.dataType, T.ArrayType)]
+    write_parquet(protos, f"{path.rstrip('/')}/vectors", mode)
+    write_csv(protos.drop(*vectors), f"{path.rstrip('/')}/index", mode=mode)
+
+
+def write_tasks(tasks: DataFrame, path: str, column: str, mode: str = "overwrite") -> None:
+    """One text (a prompt, a raw answer, a timeline as JSON) of each task, in a folder for its sequence and character."""
+    text = F.to_json(column) if not isinstance(tasks.schema[column].dataType, T.StringType) else F.col(column)
+    rows = tasks.select("sequence_id", F.col("main_char"), F.coalesce(text, F.lit("")).alias("value"))
+    rows.write.mode(MODES[mode]).partitionBy("sequence_id", "main_char").option("lineSep", "\n").text(path)
