@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from shotlens.llm.common import batch_of, map_arrow, prepared, table
 from shotlens.session import materialise
 
-#: Vectors that the trees are fitted on at most, trees, sample vectors of a leaf at least, vectors of a leaf aimed at.
-SAMPLE, TREES, LEAF_SAMPLE, LEAF = 16_384, 2, 8, 512
+#: Vectors that the trees are fitted on: SAMPLE, more where the table's number of leaves needs more, MAX_SAMPLE at most. Up to
+#: LEAF * MAX_SAMPLE / LEAF_SAMPLE vectors (16 million) the leaves keep their size; beyond that they grow with the table.
+SAMPLE, MAX_SAMPLE = 16_384, 262_144
+#: Trees, sample vectors of a leaf at least, vectors of a leaf aimed at.
+TREES, LEAF_SAMPLE, LEAF = 2, 8, 512
 #: Vectors of a leaf that one task holds at a time at most.
 BLOCK = 16_384
 #: Queries whose best a task holds at a time at most.
@@ -34,7 +37,7 @@ SALTS = 32
 
 @dataclass
 class Forest:
-    """Complete binary trees as arrays: node i has the children 2i + 1 and 2i + 2. Bounded by SAMPLE and TREES."""
+    """Complete binary trees as arrays: node i has the children 2i + 1 and 2i + 2. Bounded by MAX_SAMPLE and TREES."""
 
     normals: np.ndarray  # (trees, inner nodes, dimensions)
     offsets: np.ndarray  # (trees, inner nodes)
@@ -164,8 +167,9 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, queries: Column,
     asking = rows.where("asks").select("id", "vec")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
     total, longest = data.agg(F.count("*"), F.max(norm)).head()
-    sample = data.select("key", "vec").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vec").toArrow()  # SAMPLE rows
-    forest = fit_forest(lift(np.array(sample.column(0).to_pylist()), longest), total)
+    size = min(MAX_SAMPLE, max(SAMPLE, LEAF_SAMPLE * total // LEAF))
+    sample = data.select("key", "vec").orderBy(F.xxhash64("key"), "key").limit(size).select("vec").toArrow()  # MAX_SAMPLE rows at most
+    forest = fit_forest(lift(np.asarray(sample.column(0).combine_chunks().flatten(), np.float64).reshape(sample.num_rows, -1), longest), total)
     shared = spark.sparkContext.broadcast(forest)
     leaves = _leaves_for(spark, shared, data, asking, k, longest, recall)
 
@@ -188,7 +192,7 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, queries: Column,
                 yield pa.RecordBatch.from_arrays([pa.array([i for x in found for i in x], pa.int64()), *(b.column(b.schema.get_field_index(c)).take(row) for c in ("id", "vec"))], names=["leaf", "key", "vec"])
 
     members = materialise(spark, map_arrow(data, route, f"leaf long, key {kind}, vec array<double>, ids array<{kind}>"), "leaves")
-    sizes = members.groupBy("leaf").count().where(F.col("count") > BLOCK).collect()  # leaves are bounded by SAMPLE
+    sizes = members.groupBy("leaf").count().where(F.col("count") > BLOCK).collect()  # leaves are bounded by MAX_SAMPLE
     blocks = {r["leaf"]: -(-r["count"] // BLOCK) for r in sizes}
     many = F.coalesce(F.element_at(F.create_map(*(F.lit(x).cast("long") for p in blocks.items() for x in p)), F.col("leaf")), F.lit(1)) if blocks else F.lit(1)
     probes = map_arrow(asking.repartition(spark.sparkContext.defaultParallelism), ask, f"leaf long, key {kind}, vec array<double>")
