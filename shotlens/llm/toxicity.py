@@ -73,7 +73,7 @@ class Index:
         position to leave out.
 
         The cells of the query's terms bound what the examples of a block can reach. Blocks are read from the highest
-        bound down, FIRST and then ever more at a time, until no later one can reach the k-th cosine found. A cosine is the
+        bound down: the FIRST, and then at once all that can reach the k-th cosine found there. A cosine is the
         sum over the common terms in their order, so that equal examples have equal ones."""
         if not len(terms):
             return np.empty(0, int), np.empty(0)
@@ -93,7 +93,7 @@ class Index:
             score += np.bincount(self.doc[here], self.by_term[here] * np.repeat(w[own], sizes), minlength=len(score))
             if skip >= 0:
                 score[skip] = 0
-            read, more = read + more, 4 * more
+            read, more = read + more, len(order)
             kth = np.partition(score, -k)[-k] if len(score) >= k else 0.0
         at = np.flatnonzero((score > 0) & (score >= kth))  # ties at the end are in
         best = at[np.lexsort((self.rank[at], -score[at]))[:k]]

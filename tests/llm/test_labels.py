@@ -80,6 +80,57 @@ def test_block_max_neighbours_are_exact():
         assert sorted((-round(c, 9), ix.ids[a]) for a, c in zip(at, cos, strict=True)) == sorted(want)
 
 
+def naive_language(texts, trained, switch):
+    """The model and its predictions by plain loops: (language, score) of each text."""
+    words_of = lambda t: langid.LETTERS.findall((t or "").lower())
+    langs, count, letters = sorted({lang for _, lang in trained}), {}, {}
+    for text, lang in trained:
+        for w in words_of(text):
+            for g in langid.grams(w):
+                count.setdefault(g, dict.fromkeys(langs, 0))[lang] += 1
+            letters.setdefault(langid.script_of(w[0]), dict.fromkeys(langs, 0))[lang] += len(w)
+    total = {k: sum(c[k] for c in count.values()) for k in langs}
+    logp = lambda g, k: np.log(((count[g][k] if g in count else 0) + 0.5) / (total[k] + 0.5 * (len(count) + 1)))
+    whole = {k: sum(c[k] for c in letters.values()) for k in langs}
+
+    def word_scores(w):
+        s = {k: sum(logp(g, k) for g in langid.grams(w)) for k in langs}
+        own = {k for k in langs if letters.get(langid.script_of(w[0]), whole).get(k, 0) >= langid.OWN_SCRIPT * max(whole[k], 1)}
+        if own and len(own) < len(langs):
+            s = {k: v if k in own else max(s[o] for o in own) + langid.FLOOR for k, v in s.items()}
+        return [max(s[k] - max(s.values()), langid.FLOOR) for k in langs]
+
+    out = []
+    for text in texts:
+        words = words_of(text)
+        if not words:
+            out.append(("und", 0.0))
+            continue
+        sums = np.zeros(len(langs))
+        for w, k in zip(words, viterbi([word_scores(w) for w in words], switch), strict=True):
+            sums[k] += len(w)
+        out.append((langs[int(sums.argmax())], sums.max() / sums.sum()))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    rng = random.Random(12)
+    alphabets = {"aa": "abcdeio", "bb": "bcdfuxyz", "cc": "абвгдеио"}
+    word = lambda a: "".join(rng.choice(alphabets[a]) for _ in range(rng.randint(1, 7)))
+    rows = [(i, " ".join(word(lang if rng.random() < 0.8 else rng.choice(list(alphabets))) for _ in range(rng.randint(1, 60))), lang) for i in range(150) for lang in [rng.choice(list(alphabets))]]
+    rows += [(200, None, "aa"), (201, "123 !", "bb"), (202, "abc", None), (None, "abc abc", "aa"), (203, " ".join(word("bb") for _ in range(20_000)), "bb"), (7, rows[7][1], rows[7][2])]
+    docs = spark.createDataFrame([(*r, 0.0) for r in rows], "doc_id long, text string, lang string, score double")
+    model = fit(spark, docs, F.col("doc_id") % 3 != 0)
+    seen = sorted({(i, t, lang) for i, t, lang in rows if i is not None and i % 3 and t is not None and lang}, key=str)
+    repeated = [(t, lang) for i, t, lang in rows if i is not None and i % 3 and t is not None and lang]
+    assert len(repeated) == len(seen) + 1  # a repeated row counts twice
+    want = naive_language([t for _, t, _ in rows], repeated, langid.SWITCH)
+    got = {(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in identify(spark, docs, model).collect()}
+    assert got == {(i, lang, round(s, 9)) for (i, _, _), (lang, s) in zip(rows, want, strict=True)}
+    equal = Model(["a", "b"], {"x": 0}, np.zeros((2, 2)), {})
+    assert identify(spark, spark.createDataFrame([(1, "x y x")], "doc_id long, text string"), equal).head()["lang_pred"] == "a"  # of equal languages the first
+
+
 def test_calibration_rises():
     rng = np.random.default_rng(2)
     v = rng.random(500)
@@ -158,6 +209,44 @@ def test_toxicity_against_brute_force(spark):
     assert 0 < sum(len(texts[i]) for i in bounded.index.ids) <= 3000
 
 
+def test_pipeline_over_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows, copies and near copies; then empty tables. The kept documents are
+    told by what the stages are to do, and their tokens by the library."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdeinorst") for _ in range(rng.randint(2, 8)))
+    rows, labels = [], []
+    for i in range(240):
+        y = int(i % 6 == 0)
+        words = [word() for _ in range(40)]
+        words[3:6] = rng.sample(["vileone", "viletwo", "vilethree", "vilestuff"], 3) if y else words[3:6]
+        rows.append((i, " ".join(words), "en", "web", 1))
+        labels.append((i, 1, y))
+    copy = rows[1][1].split()
+    rows += [(300, rows[1][1], "en", None, None), (301, " ".join([*copy, word()]), None, "web", 1), (2, rows[2][1], "en", "web", 1), (302, None, None, None, None), (303, "", "en", "web", 0), (304, "12 34", "en", "web", 5), (None, rows[5][1], "en", "web", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([*labels, (None, 1, 1), (301, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    keeps = [r for r in rows if r[1] and any(c.isalpha() for c in r[1]) and not (r[0] is not None and r[0] < 240 and r[0] % 6 == 0) and r[0] not in (300, 301)]
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = sorted((str(i), len(tok.encode(t, add_special_tokens=False).ids) + 1) for i, t, *_ in keeps)
+    pieces: dict = {}
+    for r in got:
+        pieces[str(r["doc_id"])] = pieces.get(str(r["doc_id"]), 0) + r["length"]
+    sums: dict = {}
+    for i, n in want:
+        sums[i] = sums.get(i, 0) + n
+    assert pieces == sums
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_pipeline_stages(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 300").cache()
