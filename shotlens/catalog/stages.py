@@ -194,13 +194,13 @@ def calibration_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.top_up(rows.where("event_id % 97 = 0"), rows.where("event_id % 97 <> 0"), "event_id", rank, "event_id", 300).select("event_id", rank.alias("rank"))
 
 
-@query("comparison_samples", f"""WITH f AS (SELECT *, {_NOTE} AS note, {_SIDES} FROM ({_FINAL})), r AS (SELECT *, {_RANK} AS rank, CASE WHEN status IN ('assigned', 'ambiguous') THEN status ELSE reason END AS bucket, event_id % 331 = 7 AS wrong FROM f),
+@query("comparison_samples", f"""WITH f AS (SELECT *, {_NOTE} AS note, {_SIDES} FROM ({_FINAL})), r AS (SELECT *, {_RANK} AS rank, CASE WHEN status IN ('assigned', 'ambiguous') THEN status ELSE reason END AS bucket, event_id % 31 = 7 AS wrong FROM f),
 a AS (SELECT event_id FROM r WHERE bucket = 'assigned' AND NOT wrong ORDER BY rank DESC, event_id LIMIT 10), b AS (SELECT event_id FROM r WHERE wrong AND event_id NOT IN (FROM a) ORDER BY rank DESC, event_id LIMIT 5),
 h AS (SELECT event_id FROM r WHERE bucket = 'low_score' AND event_id NOT IN (FROM a UNION ALL FROM b) ORDER BY rank DESC, event_id LIMIT 5), i AS (SELECT event_id FROM r WHERE bucket IN ('low_margin', 'ambiguous') AND event_id NOT IN (FROM a UNION ALL FROM b UNION ALL FROM h) ORDER BY rank DESC, event_id LIMIT 5)
 SELECT event_id, 'assigned' AS sample_subtype FROM a UNION ALL SELECT event_id, 'wrong_target' FROM b UNION ALL SELECT event_id, 'low_score' FROM h UNION ALL SELECT event_id, 'low_margin_ambiguous' FROM i""")
 def comparison_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five rows are wrong targets in every table of over 1,663 rows, so that none is filled up with risky ones."""
-    rows = _reviewed(spark, sf_dir).withColumns({"sample_bucket": F.when(F.col("proxy_status").isin("assigned", "ambiguous"), F.col("proxy_status")).otherwise(F.col("failure_reason")), "human_label": F.when(F.col("event_id") % 331 == 7, "wrong_target").otherwise("correct")})
+    """Five rows are wrong targets in every table of over 131 rows, so that none is filled up with risky ones."""
+    rows = _reviewed(spark, sf_dir).withColumns({"sample_bucket": F.when(F.col("proxy_status").isin("assigned", "ambiguous"), F.col("proxy_status")).otherwise(F.col("failure_reason")), "human_label": F.when(F.col("event_id") % 31 == 7, "wrong_target").otherwise("correct")})
     chosen, _ = qa.comparison_samples(rows, "event_id", "event_id")
     return chosen.select("event_id", "sample_subtype")
 

@@ -217,7 +217,8 @@ o AS (SELECT conv_id, shot_id, shot_idx, trk, reason, CASE reason WHEN 'assigned
 @query("target_assign", f"WITH {_ASSIGN} SELECT shot_id, trk AS local_track_id, target_type, target_id, status AS proxy_status, reason AS failure_reason, round(conf, 4) AS proxy_confidence FROM o")
 def target_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins, tr, ident, sh = _stage(spark, sf_dir)
-    a = targets.assignments(bins, targets.candidates(bins, tr, ident, sh), ident, sh)
+    c = materialise(spark, targets.candidates(bins, tr, ident, sh), "candidates")  # the fold and the join around it both read them
+    a = targets.assignments(bins, c, ident, sh)
     return a.select("shot_id", "local_track_id", "target_type", "target_id", "proxy_status", "failure_reason", F.round("proxy_confidence", 4).alias("proxy_confidence"))
 
 
@@ -303,9 +304,11 @@ def direction_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH s AS (SELECT vec_id AS id, label FROM embeddings), j AS (SELECT s.id, s.label, l.quality, l.toxic FROM s LEFT JOIN labels l ON l.doc_id = s.id)
 SELECT label, count(*) AS samples, count(quality) AS reviewed, count(*) FILTER (WHERE quality = 1) AS agree, count(*) FILTER (WHERE quality IS NULL) AS missing, greatest(0, 30 - count(quality)) AS shortfall FROM j GROUP BY label""")
 def evidence_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    j = s.join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return j.groupBy("label").agg(F.count("*").alias("samples"), F.count("quality").alias("reviewed"), F.count_if(F.col("quality") == 1).alias("agree"), F.count_if(F.col("quality").isNull()).alias("missing"), F.greatest(F.lit(0).cast("long"), 30 - F.count("quality")).alias("shortfall"))
+    four = lambda n: [(F.col(n) % k).alias(c) for k, c in ((2, "movie_id"), (3, "sequence_id"), (5, "shot_id"))]
+    s = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("bin_idx"), *four("vec_id"), "label")
+    e = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("bin_idx"), *four("doc_id"), "quality")
+    rows = qa.evidence_rows(s, e, ["movie_id", "sequence_id", "shot_id", "bin_idx"])
+    return qa.evidence_summary(rows, ["label"], "quality", F.col("quality") == 1, 30)
 
 
 @query("unit_cosine", "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cos FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

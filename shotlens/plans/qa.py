@@ -72,6 +72,17 @@ def calibration(df: DataFrame, human: str, gaze: str, pose: str, groups: Sequenc
     )
 
 
+def evidence_rows(samples: DataFrame, evidence: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every sample with what another source says about it; of several rows with its keys (movie, sequence, shot and bin)
+    any one."""
+    return samples.join(evidence.dropDuplicates(list(keys)), list(keys), "left")
+
+
+def evidence_summary(rows: DataFrame, groups: Sequence[str], seen: str, agrees: Column, quota: int) -> DataFrame:
+    """For each group: samples, those with evidence in `seen`, those that agree, those without, and how many the quota lacks."""
+    return rows.groupBy(*groups).agg(F.count("*").alias("samples"), F.count(seen).alias("reviewed"), F.count_if(agrees).alias("agree"), F.count_if(F.col(seen).isNull()).alias("missing"), F.greatest(F.lit(0).cast("long"), quota - F.count(seen)).alias("shortfall"))
+
+
 def note_priority(note: Column, gaze: Column, pose: Column, quality: Column) -> Column:
     n = F.lower(F.coalesce(note, F.lit("")))
     plus = lambda c, x: F.when(c, x).otherwise(0)

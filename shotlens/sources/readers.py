@@ -153,6 +153,11 @@ def read_reviewed(spark: SparkSession, path: str, label: str = "human_label") ->
     return read_csv_or_empty(spark, path, [label]).where(F.trim(F.coalesce(label, F.lit(""))) != "")
 
 
+def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """path, length (bytes) and modified of a folder's files; their content isn't read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length", F.col("modificationTime").alias("modified"))
+
+
 def pick_video(spark: SparkSession, folder: str, movie_id: str, suffixes: Sequence[str] = (".mp4", ".mkv", ".avi", ".mov")) -> str | None:
     """The movie's file in a folder: the exact stem first, then the shortest name that starts with the id."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{movie_id}*")

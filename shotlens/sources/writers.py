@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 from collections.abc import Sequence
 
@@ -60,14 +61,20 @@ def summary_json(row: DataFrame) -> str:
     return json.dumps(json.loads(first["j"]) if first else {}, ensure_ascii=False, indent=2)
 
 
-def audit_html(samples: DataFrame, columns: Sequence[str], title: str, most: int = 500) -> str:
-    """A small page with a table of audit samples, `most` rows at most (a report's size is its feature)."""
-    import html
+def report_html(title: str, sections: dict[str, DataFrame], most: int = 500) -> str:
+    """A page with a table for each section (summaries, calibration, samples), `most` rows of each at most: a report's size
+    is its feature."""
+    cell = lambda x, tag="td": f"<{tag}>{html.escape('' if x is None else str(x))}</{tag}>"
+    body = ""
+    for name, df in sections.items():
+        rows = df.limit(most).collect()
+        body += f"<h2>{html.escape(name)}</h2><table><tr>" + "".join(cell(c, "th") for c in df.columns) + "</tr>" + "".join("<tr>" + "".join(map(cell, r)) + "</tr>" for r in rows) + "</table>"
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{body}</body></html>"
+
 
-    rows = samples.select(*columns).limit(most).collect()
-    cell = lambda x: f"<td>{html.escape('' if x is None else str(x))}</td>"
-    head = "".join(f"<th>{html.escape(c)}</th>" for c in columns)
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table><tr>{head}</tr>" + "".join("<tr>" + "".join(map(cell, r)) + "</tr>" for r in rows) + "</table></body></html>"
+def audit_html(samples: DataFrame, columns: Sequence[str], title: str, most: int = 500) -> str:
+    """A page with a table of audit samples."""
+    return report_html(title, {"Samples": samples.select(*columns)}, most)
 
 
 def write_gallery(protos: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -86,6 +86,7 @@ def test_documents_scripts_and_videos(spark, tmp_path):
     for name in ("tt1_long.mp4", "tt1.mkv", "tt1b.mp4"):
         (tmp_path / name).write_bytes(b"")
     assert readers.pick_video(spark, str(tmp_path), "tt1").endswith("/tt1.mkv") and readers.pick_video(spark, str(tmp_path), "tt9") is None
+    assert {r["path"].rsplit("/", 1)[1]: r["length"] for r in readers.files(spark, str(tmp_path), "*.txt").collect()} == {"tt1.txt": 20}
     with pytest.raises(FileNotFoundError, match="nothing"):
         readers.require(spark, str(tmp_path), f"{tmp_path}/nothing")
     assert readers.movie_root("out/m/final_proxy/t.csv", "m") == "out/m" and readers.movie_root("t.csv", "m") == "outputs/video_proxy/m"
