@@ -25,7 +25,7 @@ from shotlens.llm.common import batch_of, column_bytes, map_arrow, prepared, tab
 #: A word of Latin letters, which neither normalising nor splitting changes or cuts, with a mark that may follow it.
 _WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([,.]?)")
 #: Entries of the cache of pieces at most, and bytes of a piece from which tree concatenation takes over.
-CACHE, LEAF = 400_000, 2048
+CACHE, LEAF = 200_000, 2048
 #: Characters of a text beyond which its parts are encoded by several tasks.
 PARALLEL_CHARS = 4_000_000
 #: UTF-8 of what any reading of "white space" may hold: after a space these make no boundary.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shotlens.session import ship
 
 #: Rows and bytes of an Arrow batch at most; a single longer row makes a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:

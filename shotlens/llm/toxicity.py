@@ -34,7 +34,7 @@ NEIGHBOURS, BLOCK, FIRST = 15, 128, 2
 #: What keeps the weight of a neighbour at distance 0 finite, votes of the base rate.
 NEAR, PRIOR = 0.05, 0.5
 PREFIXES = (5,)
-THRESHOLD, CACHE = 0.7, 200_000
+THRESHOLD, CACHE = 0.7, 120_000
 LETTERS = regex.compile(r"\p{L}+")
 
 
