@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotlens.llm.common import batch_of, column_bytes, column_list, crc_fold, map_arrow, prepared, table
+from shotlens.llm.common import batch_of, column_bytes, column_list, crc_fold, joined, map_arrow, prepared, table
 
 #: First and last code point of the letters of each script that is told apart.
 SCRIPTS = (
@@ -234,7 +234,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         labeller = Labeller(m, switch) if m.langs else None
-        for b in batches:
+        for b in joined(batches, TEXTS, TEXT_BYTES):
             texts = column_bytes(b, "__text")
             if labeller:
                 parts = [labeller.label(part) for part in groups(texts)]
