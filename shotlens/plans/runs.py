@@ -1,5 +1,6 @@
 """Whole runs: one function for the text stages and one for the video stages, with typed parameters. A run returns its
-tables by name; nothing is computed before one of them is used or written."""
+tables by name. Tables that several others come from are written to the shared folder once; the rest is computed where it is
+used."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from shotlens.operators.alignment import AlignmentRules
 from shotlens.plans import candidates, context, identity, llm, manifest, targets, tracks
 from shotlens.providers import TextModel
+from shotlens.session import materialise
 from shotlens.sources.readers import typed_context
 from shotlens.sources.writers import write_parquet
 
@@ -41,12 +43,14 @@ def text_run(shots: DataFrame, scripts: DataFrame, run: TextRun = TextRun(), cac
     rows = context.numbered_shots(shots)
     said, chunks = context.parse_script(scripts)
     steps = context.alignment_steps(rows, said, chunks, run.alignment)
-    full = typed_context(context.full_context(rows, steps, run.alignment.confident))
-    every = candidates.candidate_sequences(full, run.windows)
+    spark = shots.sparkSession
+    steps = materialise(spark, steps, "steps")
+    full = materialise(spark, typed_context(context.full_context(rows, steps, run.alignment.confident)), "context")
+    every = materialise(spark, candidates.candidate_sequences(full, run.windows), "all-candidates")
     chosen = candidates.select_sequences(every, run.most_sequences)
-    packages = candidates.sequence_packages(chosen, full, SHOT_FIELDS)
+    packages = materialise(spark, candidates.sequence_packages(chosen, full, SHOT_FIELDS), "packages")
     tasks = llm.packages_for_tasks(packages, run.speakers_per_sequence)
-    cached = cache if cache is not None else shots.sparkSession.createDataFrame([], "cache_key string, answer string, ord long")
+    cached = cache if cache is not None else spark.createDataFrame([], "cache_key string, answer string, ord long")
     answers = llm.answers_for(tasks, cached, model)
     parsed = answers.select("sequence_id", "movie_id", "main_char", llm.parse_answer(F.col("answer"), F.col("sequence_id"), F.col("movie_id"), F.col("main_char")).alias("answer"))
     of = packages.select("sequence_id", F.explode("shots").alias("s")).select("sequence_id", "s.shot_id", "s.shot_start_time", "s.shot_end_time")
@@ -61,9 +65,10 @@ def video_run(shots: DataFrame, frames: DataFrame, boxes: DataFrame, identities:
     wanted = manifest.stage_filter(shots, run.stages)
     manifest.must_match(frames, shots, ["sequence_id", "shot_id"])
     kept = manifest.allowed_only(frames, wanted, ["sequence_id", "shot_id"])
-    bins = tracks.time_bins(kept, ["sequence_id", "shot_id", "shot_idx", "local_track_id"], F.col("timestamp_sec"), run.bins)
-    cands = targets.candidates(bins, boxes, identities, wanted, run.targets)
-    assigned = targets.assignments(bins, cands, identities, wanted, run.targets)
+    spark = shots.sparkSession
+    bins = materialise(spark, tracks.time_bins(kept, ["sequence_id", "shot_id", "shot_idx", "local_track_id"], F.col("timestamp_sec"), run.bins), "bins")
+    cands = materialise(spark, targets.candidates(bins, boxes, identities, wanted, run.targets), "target-candidates")
+    assigned = materialise(spark, targets.assignments(bins, cands, identities, wanted, run.targets), "assignments")
     final = targets.final_table(bins, identities, assigned, wanted, boxes, cands)
     return {"bins": bins, "target_candidates": cands, "assignments": assigned, "final": final, "sequences": targets.sequence_report(assigned)}
 
