@@ -10,8 +10,11 @@ from shotlens.llm.ann import op1_nearest
 from shotlens.llm.bpe import op6_bpe
 from shotlens.llm.html_text import op5_html_text
 from shotlens.llm.langid import op8_language
+from shotlens.llm.merkle import OP11_SQL, op11_merkle
 from shotlens.llm.neardup import OP4_SQL, op4_near_duplicates
 from shotlens.llm.packing import op2_packing
+from shotlens.llm.quality import OP12_SQL, op12_quality
+from shotlens.llm.resample import OP13_SQL, op13_resample
 from shotlens.llm.search import op7_bm25_search
 from shotlens.llm.toxicity import op10_toxicity
 from shotlens.llm.url_filter import OP9_SQL, op9_url_filter
@@ -30,8 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
+        "op11_merkle": op11_merkle,
+        "op12_quality": op12_quality,
+        "op13_resample": op13_resample,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_bundles": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op9_url_filter": OP9_SQL}
+    return {"op3_warc_bundles": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op9_url_filter": OP9_SQL, "op11_merkle": OP11_SQL, "op12_quality": OP12_SQL, "op13_resample": OP13_SQL}
