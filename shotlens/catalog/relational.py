@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shotlens.catalog.views import V_FRAME, V_SHOT, frames, shots, table
 from shotlens.functions.timecode import bin_index, frame_to_sec, sec_to_frame
 from shotlens.operators.asof import asof_join, nearest_join
-from shotlens.operators.folds import non_overlapping
+from shotlens.operators.nonoverlap import non_overlapping
 from shotlens.operators.ranking import argmax_first_seen, keep_first, keep_last, top_k
 from shotlens.operators.windows import adjacent_values, change_count, consecutive_windows, neighbour_union, smooth_isolated, timeline
 from shotlens.plans.candidates import sequence_score
@@ -63,6 +63,14 @@ def nearest_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_join(f.where("kind = 'error'").drop("kind"), f.where("kind = 'click'").drop("kind"), ["stream"], "t", "t", {"event_id": "click_id"}, ["event_id"]).select("event_id", "click_id")
 
 
+# Epoch seconds, whole ones, so that many rows share a place: there the click of the least id at the same place counts.
+@query("nearest_epoch", f"""WITH {V_FRAME}, a AS (SELECT stream, event_id, kind, 1.7e9 + floor(t / 3600) * 3600 AS t FROM v_frame), e AS (SELECT * FROM a WHERE kind = 'error'), c AS (SELECT * FROM a WHERE kind = 'click')
+SELECT e.event_id, min_by(c.event_id, {{'d': abs(c.t - e.t), 'later': CAST(c.t >= e.t AS INT), 'id': c.event_id}}) AS click_id, min(abs(c.t - e.t)) AS gap FROM e LEFT JOIN c USING (stream) GROUP BY e.event_id""")
+def nearest_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir).select("stream", "event_id", (1.7e9 + F.floor(F.col("t") / 3600) * 3600).alias("t"), "kind")
+    return nearest_join(f.where("kind = 'error'").drop("kind"), f.where("kind = 'click'").drop("kind"), ["stream"], "t", "t", {"event_id": "click_id"}, ["event_id"]).select("event_id", "click_id", "gap")
+
+
 @query("semi_allowed", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def semi_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))

@@ -10,7 +10,7 @@ from shotlens.catalog.views import V_BOX, V_FRAME, V_SHOT, boxes, frames, shots,
 from shotlens.functions.geometry import expected_angle
 from shotlens.functions.jsonish import parse_candidates
 from shotlens.functions.text import normalize_for_match
-from shotlens.operators.folds import carry_choice
+from shotlens.operators.recurrence import carry_choice
 from shotlens.operators.similarity import token_join
 from shotlens.plans import candidates, context, identity, llm, qa, targets, tracks
 from shotlens.providers import FakeText
@@ -269,8 +269,8 @@ def single_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cast_names_to_pids(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("doc_id") % 4
     d = table(spark, sf_dir, "documents").select("doc_id", F.when(m == 0, "nm7").when(m == 1, " others ").when(m == 2, F.concat(F.lit("the "), F.coalesce("lang", F.lit("")), F.lit("!"))).otherwise("No One").alias("pid"))
-    langs = [r["lang"] for r in table(spark, sf_dir, "documents").select("lang").distinct().limit(1000).collect()]
-    names = spark.createDataFrame([(f"THE {(x or '').upper()}".strip(), f"nm{(x or '').upper()}") for x in langs], "norm string, pid string")
+    lang = F.upper(F.coalesce("lang", F.lit("")))
+    names = table(spark, sf_dir, "documents").select(F.trim(F.concat(F.lit("THE "), lang)).alias("norm"), F.concat(F.lit("nm"), lang).alias("pid")).distinct()
     return identity.canonical_pids(d, "pid", names).select("doc_id", "pid")
 
 

@@ -9,6 +9,7 @@ from shotlens.catalog.views import V_BOX, V_FRAME, V_SHOT, boxes, frames, shots,
 from shotlens.functions.geometry import body_score, box, centre_distance, cosine, dot, iou, unit
 from shotlens.functions.numeric import direction_bucket
 from shotlens.operators.folds import greedy_pairs
+from shotlens.operators.gallery import nearest_two
 from shotlens.operators.interval import contained
 from shotlens.operators.sampling import bucket_sample, quotas
 from shotlens.operators.similarity import best_match, mean_unit
@@ -82,6 +83,22 @@ def cosine_top2_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("vec_id", F.round("top_score", 4).alias("top_score"), F.round("second_score", 4).alias("second_score"), "label")
 
 
+# Every vector against a quarter of the table, less one label that differs from vector to vector.
+@query("gallery_search", """
+WITH g AS (SELECT label, vec_id AS proto, embedding AS gv FROM embeddings WHERE vec_id % 4 = 0),
+s AS (SELECT e.vec_id, g.label, g.proto, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(g.gv AS DOUBLE[])) AS score FROM embeddings e JOIN g ON g.label <> e.label % 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, proto DESC) AS i FROM s)
+SELECT vec_id, round(max(score) FILTER (WHERE i = 1), 4) AS top_score, round(max(score) FILTER (WHERE i = 2), 4) AS second_score, CASE WHEN max(score) FILTER (WHERE i = 1) >= 0.2 AND max(score) FILTER (WHERE i = 1) - max(score) FILTER (WHERE i = 2) >= 0.001 THEN max(label) FILTER (WHERE i = 1) END AS label FROM r GROUP BY vec_id""")
+def gallery_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two nearest of a gallery by pivots and rings; each vector may match some labels only."""
+    e = table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("string"))
+    g = e.where("vec_id % 4 = 0").select(F.col("vec_id").alias("proto"), "label", "embedding")
+    labels = g.agg(F.sort_array(F.collect_set("label")).alias("every"))  # one row
+    q = e.crossJoin(F.broadcast(labels)).select("vec_id", "embedding", F.filter("every", lambda x: x != (F.col("label").cast("int") % 3).cast("string")).alias("may"))
+    m = nearest_two(q, g, "vec_id", "embedding", "proto", "label", 0.2, 0.001, allow="may")
+    return m.select("vec_id", F.round("top_score", 4).alias("top_score"), F.round("second_score", 4).alias("second_score"), F.col("label").cast("int").alias("label"))
+
+
 @query("centroid_renorm", """
 WITH u AS (SELECT label, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
 d AS (SELECT label, i, avg(v[i]) AS m FROM u, unnest(range(1, 65)) t(i) WHERE r <= 8 GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM d GROUP BY label)
@@ -129,6 +146,15 @@ def expression_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bins(spark, sf_dir).select("stream", "bin_idx", "expression_proxy")
 
 
+# A seventh of the frames has no time, and some of these no number either: they count by number, at 30 frames a second.
+@query("bins_without_times", f"""WITH {V_FRAME}, n AS (SELECT stream, conf, success, CASE WHEN k % 7 <> 0 THEN t WHEN k % 14 = 0 THEN floor(t * 30) / 30 ELSE 0 END + 100 AS sec FROM v_frame)
+SELECT stream, CAST(floor(sec / 86400) AS BIGINT) AS bin_idx, count(*) AS n_frames_total, count(*) FILTER (WHERE success = 1) AS n_frames_valid, round(avg(conf) FILTER (WHERE success = 1), 6) AS confidence_mean FROM n GROUP BY ALL""")
+def bins_without_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir).select("stream", "success", F.col("conf").alias("confidence"), F.when(F.col("k") % 7 != 0, F.col("t")).alias("timestamp"), F.when(F.col("k") % 2 == 0, F.floor(F.col("t") * 30)).alias("frame"), F.lit(100.0).alias("crop_start_sec"))
+    out = tracks.time_bins(f, ["stream"], tracks.shot_time(f), tracks.BinRules(width=86_400), pose=[], gaze=[])
+    return out.select("stream", "bin_idx", "n_frames_total", "n_frames_valid", "confidence_mean")
+
+
 @query("crop_envelope", f"""WITH {V_FRAME}, {V_BOX}, e AS (SELECT shot, det, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS track_len FROM v_box GROUP BY ALL),
 s AS (SELECT *, CAST(round_even(least(greatest(x2 - x1, y2 - y1) * 1.5, 640, 360), 0) AS BIGINT) AS s0 FROM e), c AS (SELECT *, greatest(2, s0 - s0 % 2) AS side FROM s),
 p AS (SELECT *, CAST(round_even(greatest(0, least((x1 + x2) / 2 - side / 2.0, 640 - side)), 0) AS BIGINT) AS px, CAST(round_even(greatest(0, least((y1 + y2) / 2 - side / 2.0, 360 - side)), 0) AS BIGINT) AS py FROM c)
@@ -144,6 +170,24 @@ def greedy_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track_boxes(boxes(spark, sf_dir), ["shot"], "frame", ["x1", "y1", "x2", "y2"], "conf", "event_id", 640, 360, TrackRules(least_length=2)).select("shot", "frame", "event_id", "local_track_id", "track_len", F.round("track_conf", 6).alias("track_conf"))
 
 
+@query("live_tracker", None)
+def live_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracks of greedy_tracker from a stream of files (no SQL twin: a test holds it against greedy_tracker)."""
+    from shotlens.session import shared_dir
+    from shotlens.streaming.live import run_to_end
+    from shotlens.streaming.tracks import finished_tracks, keyed_state, live_tracks
+
+    b = boxes(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.col("frame") + 1_704_067_200)).select("shot", "at", "frame", "event_id", "x1", "y1", "x2", "y2", "conf")
+    source = shared_dir(spark, "boxes")
+    b.repartition(8, F.floor(F.col("frame") / 8)).write.parquet(source)  # files in no order of time
+    closing = spark.range(1).select(F.lit(-1).cast("long").alias("shot"), F.timestamp_seconds(F.lit(1_904_067_200)).alias("at"), F.lit(10**9).alias("frame"), F.col("id").alias("event_id"), *(F.lit(0.0).alias(c) for c in ("x1", "y1", "x2", "y2", "conf")))
+    follow = lambda rows: live_tracks(rows, "shot", "at", "frame", ["x1", "y1", "x2", "y2"], "conf", "event_id", 640, 360, 1000, "30 days", TrackRules(least_length=2))
+    with keyed_state(spark):
+        sent = run_to_end(spark, source, follow, closing, "live-tracks", files_per_trigger=3)
+    out = finished_tracks(sent, "shot", 2)
+    return out.select("shot", F.col("frame").cast("int").alias("frame"), F.col("box_id").alias("event_id"), "local_track_id", "track_len", F.round("track_conf", 6).alias("track_conf"))
+
+
 @query("identity_cascade", """
 WITH t AS (SELECT vec_id, label, vec_id % 4 AS shot, 'trk_' || lpad(CAST(vec_id AS VARCHAR), 5, '0') AS local_track_id FROM embeddings),
 b AS (SELECT vec_id, 'nm' || label AS pid, round(0.55 + (vec_id % 40) / 100.0, 2) AS score FROM t WHERE vec_id % 3 = 0), g AS (SELECT vec_id, 'nm' || (label + 1) AS pid, round(least(0.95, 0.6 + (vec_id % 50) / 100.0), 2) AS conf FROM t WHERE vec_id % 5 = 0)

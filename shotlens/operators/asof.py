@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _carried(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, forward: bool, order: Sequence[str]) -> DataFrame:
-    """Left rows with `__hit`: the last strictly earlier right row, or the first strictly later one."""
+def _carried(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, forward: bool, order: Sequence[str], same_place: bool = False) -> DataFrame:
+    """Left rows with `__hit`: the last strictly earlier right row, or the first strictly later one; with `same_place` one
+    at the very same place counts too."""
     r = right.select(*keys, F.col(right_at).alias("__at"), F.lit(0 if not forward else 1).alias("__side"), F.struct(*right.columns).alias("__row"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("__left"), F.struct(*[F.col(c) for c in order]).alias("__tie") if order else F.struct(F.lit(0)).alias("__tie"))
     tie = r.schema["__tie"].dataType
-    lside = F.lit(-1 if not forward else 2)  # strict: rows at the very same place come after the left row, or before it
+    lside = F.lit(-1 if forward == same_place else 2)  # the left row's side among right rows at the very same place
     l = left.select(*keys, F.col(left_at).alias("__at"), lside.alias("__side"), F.lit(None).cast(r.schema["__row"].dataType).alias("__row"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(tie).alias("__tie"))  # noqa: E741
     both = l.unionByName(r)
     if forward:
@@ -26,13 +27,14 @@ def _carried(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: st
     return both.withColumn("__hit", F.last("__row", ignorenulls=True).over(w)).where("__left IS NOT NULL")
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, take: dict[str, str], tolerance: float | None = None, forward: bool = False, order: Sequence[str] = (), gap: str = "gap") -> DataFrame:
-    """Every left row with columns of the nearest right row strictly before it (strictly after, with `forward`).
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, take: dict[str, str], tolerance: float | None = None, forward: bool = False, order: Sequence[str] = (), gap: str = "gap", same_place: bool = False) -> DataFrame:
+    """Every left row with columns of the nearest right row strictly before it (strictly after, with `forward`; or at the
+    very same place, with `same_place`).
 
     `take` maps right columns to output names. Beyond `tolerance` they are null, as is `gap`. Of right rows at one place
     the one with the least `order` counts. Rows whose keys or places are null find nothing.
     """
-    found = _carried(left, right, keys, left_at, right_at, forward, order)
+    found = _carried(left, right, keys, left_at, right_at, forward, order, same_place)
     hit, at = F.col("__hit"), F.col(f"__left.{left_at}")
     distance = (hit[right_at] - at) if forward else (at - hit[right_at])
     ok = hit.isNotNull() & distance.isNotNull()
@@ -44,13 +46,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: s
 def nearest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, take: dict[str, str], order: Sequence[str] = (), gap: str = "gap") -> DataFrame:
     """Every left row with the right row nearest to it on either side; ties go to the earlier one."""
     names = list(take.values())
-    back = asof_join(left.withColumn("__from", F.col(left_at)), right, keys, "__from", right_at, {**{c: f"__b_{n}" for c, n in take.items()}}, order=order, gap="__b_gap")
-    # a right row at the very same place is at distance 0: it is after a place that is a little earlier
-    exact = asof_join(back.withColumn("__before", F.col(left_at) - _step(left, left_at)), right, keys, "__before", right_at, {**{c: f"__f_{n}" for c, n in take.items()}, right_at: "__f_at"}, forward=True, order=order, gap="__ignored")
-    f_gap = F.col("__f_at") - F.col(left_at)
-    use_back = F.col("__b_gap").isNotNull() & (f_gap.isNull() | (F.col("__b_gap") <= f_gap))
-    return exact.select(*left.columns, *(F.when(use_back, F.col(f"__b_{n}")).otherwise(F.col(f"__f_{n}")).alias(n) for n in names), F.when(use_back, F.col("__b_gap")).otherwise(f_gap).alias(gap))
-
-
-def _step(df: DataFrame, column: str) -> Column:
-    return F.lit(1) if df.schema[column].dataType.typeName() in ("integer", "long", "short") else F.lit(1e-9)
+    back = asof_join(left, right, keys, left_at, right_at, {c: f"__b_{n}" for c, n in take.items()}, order=order, gap="__b_gap")
+    both = asof_join(back, right, keys, left_at, right_at, {c: f"__f_{n}" for c, n in take.items()}, forward=True, order=order, gap="__f_gap", same_place=True)
+    use_back = F.col("__b_gap").isNotNull() & (F.col("__f_gap").isNull() | (F.col("__b_gap") <= F.col("__f_gap")))
+    return both.select(*left.columns, *(F.when(use_back, F.col(f"__b_{n}")).otherwise(F.col(f"__f_{n}")).alias(n) for n in names), F.when(use_back, F.col("__b_gap")).otherwise(F.col("__f_gap")).alias(gap))

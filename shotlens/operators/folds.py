@@ -1,6 +1,6 @@
 """Order-dependent choices as folds over a sorted array: they stay in the JVM, one array per group.
 
-A group is a movie's candidate windows, a shot's box pairs or a track's bins: some thousand structs at most.
+A group is a shot's box pairs: some hundred structs at most.
 """
 
 from __future__ import annotations
@@ -12,36 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 
-def _let(value: Column, use) -> Column:
-    """Bind a value inside a lambda, so that it is computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _sortable(df: DataFrame) -> tuple[DataFrame, list[Column]]:
     """The table with its maps as arrays of entries, by which rows can be sorted, and the columns as they were."""
     maps = [f.name for f in df.schema if isinstance(f.dataType, MapType)]
     return df.withColumns({c: F.map_entries(c) for c in maps}), [F.map_from_entries(c).alias(c) if c in maps else F.col(c) for c in df.columns]
 
 
-def non_overlapping(df: DataFrame, keys: Sequence[str], order: Sequence[Column], low: str, high: str, most: int | None = None) -> DataFrame:
-    """Greedy choice in the given order: a row is taken unless it shares a place in [low, high] with one taken before.
-
-    `order` must be total (columns to sort rising). With `most` at least one row is taken, even if it is 0."""
-    names = [f"__o{i}" for i in range(len(order))]
-    rows, back = _sortable(df)
-    start = F.array().cast(rows.select(F.array(F.struct(*rows.columns)).alias("x")).schema["x"].dataType)
-    rows = rows.withColumns(dict(zip(names, order, strict=True)))
-    item = F.struct(*names, F.struct(*df.columns).alias("__row"))
-
-    def step(taken: Column, x: Column) -> Column:
-        clash = F.exists(taken, lambda t: (t[low] <= x["__row"][high]) & (x["__row"][low] <= t[high]))
-        full = F.lit(False) if most is None else F.size(taken) >= max(1, most)
-        return F.when(clash | full, taken).otherwise(F.concat(taken, F.array(x["__row"])))
-
-    groups = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("__items"))
-    return groups.select(F.explode(F.aggregate("__items", start, step)).alias("__row")).select("__row.*").select(*back)
-
-
 def greedy_pairs(df: DataFrame, keys: Sequence[str], order: Sequence[Column], left: str, right: str) -> DataFrame:
     """Greedy one-to-one match: pairs in the given total order, each left and right side once in a group."""
     names = [f"__o{i}" for i in range(len(order))]
@@ -56,38 +32,3 @@ def greedy_pairs(df: DataFrame, keys: Sequence[str], order: Sequence[Column], le
 
     groups = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("__items"))
     return groups.select(F.explode(F.aggregate("__items", start, step)).alias("__row")).select("__row.*").select(*back)
-
-
-def carry_choice(df: DataFrame, keys: Sequence[str], order: Sequence[str], fixed: str, ties: str) -> DataFrame:
-    """The recurrence of a tie-break that remembers the stream's last choice.
-
-    Each row has `fixed`, a struct<id,...> or null, and `ties`, an array of struct<k1, k2, k4, k5, id, row> to choose from
-    where fixed is null. The key of a tie is (k1, k2, id is the last choice, k4, k5); the largest wins if it is strictly
-    larger than the second. Out: the keys, the order columns, chosen (struct or null) and by_tie."""
-    kind = df.schema[fixed].dataType
-    item = F.struct(*order, F.col(fixed).alias("fixed"), F.col(ties).alias("ties"))
-    out_kind = F.array(F.struct(*(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order), F.lit(None).cast(kind).alias("chosen"), F.lit(None).cast("boolean").alias("by_tie")))
-    start = F.struct(F.lit("").alias("last"), F.filter(out_kind, lambda x: F.lit(False)).alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        keyed = F.sort_array(F.transform(x["ties"], lambda t: F.struct(t["k1"].alias("k1"), t["k2"].alias("k2"), ((state["last"] != "") & (t["id"] == state["last"])).cast("int").alias("k3"), t["k4"].alias("k4"), t["k5"].alias("k5"), t["row"].alias("row"))), asc=False)
-
-        def key(t: Column) -> Column:
-            return F.struct(t["k1"], t["k2"], t["k3"], t["k4"], t["k5"])
-
-        def place(s: Column) -> Column:
-            strict = (F.size(s) == 1) | ((F.size(s) > 1) & (key(s[0]) > key(F.try_element_at(s, F.lit(2)))))
-            by_tie = x["fixed"].isNull() & F.coalesce(strict, F.lit(False))
-            chosen = F.coalesce(x["fixed"], F.when(by_tie, F.try_element_at(s, F.lit(1))["row"]))
-            return _let(
-                chosen,
-                lambda c: F.struct(
-                    F.when(c.isNotNull(), c["id"]).otherwise(state["last"]).alias("last"),
-                    F.concat(state["out"], F.array(F.struct(*(x[o].alias(o) for o in order), c.alias("chosen"), by_tie.alias("by_tie")))).alias("out"),
-                ),
-            )
-
-        return _let(keyed, place)
-
-    groups = df.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("__items"))
-    return groups.select(*keys, F.explode(F.aggregate("__items", start, step, lambda s: s["out"])).alias("__r")).select(*keys, "__r.*")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotlens.functions.text import clean_speaker_name, is_narration, is_singing, sequence_id, truncate, unique_join, visual_cues
-from shotlens.operators.folds import non_overlapping
+from shotlens.operators.nonoverlap import non_overlapping
 from shotlens.operators.windows import change_count, consecutive_windows
 
 

@@ -72,10 +72,12 @@ def calibration(df: DataFrame, human: str, gaze: str, pose: str, groups: Sequenc
     )
 
 
-def evidence_rows(samples: DataFrame, evidence: DataFrame, keys: Sequence[str]) -> DataFrame:
+def evidence_rows(samples: DataFrame, evidence: DataFrame, keys: Sequence[str], order: Sequence[Column | str] = ()) -> DataFrame:
     """Every sample with what another source says about it; of several rows with its keys (movie, sequence, shot and bin)
-    any one."""
-    return samples.join(evidence.dropDuplicates(list(keys)), list(keys), "left")
+    the last in `order`, then by all other columns."""
+    rest = [c for c in evidence.columns if c not in keys]
+    first = evidence.groupBy(*keys).agg(F.max(F.struct(*(F.expr(c) if isinstance(c, str) else c for c in order), F.struct(*rest).alias("__row")))["__row"].alias("__row"))
+    return samples.join(first.select(*keys, "__row.*"), list(keys), "left")
 
 
 def evidence_summary(rows: DataFrame, groups: Sequence[str], seen: str, agrees: Column, quota: int) -> DataFrame:

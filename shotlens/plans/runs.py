@@ -59,14 +59,14 @@ def text_run(shots: DataFrame, scripts: DataFrame, run: TextRun = TextRun(), cac
 
 def video_run(shots: DataFrame, frames: DataFrame, boxes: DataFrame, identities: DataFrame, run: VideoRun = VideoRun()) -> dict[str, DataFrame]:
     """From a manifest (sequence_id, shot_id, shot_idx, stage_type, aligned_speakers, active_speakers), measured frames
-    (sequence_id, shot_id, shot_idx, local_track_id, timestamp_sec and what tracks.time_bins reads), tracked boxes (shot_id,
+    (sequence_id, shot_id, shot_idx, local_track_id, timestamp_sec, or frame where that is null, and what tracks.time_bins reads), tracked boxes (shot_id,
     local_track_id, timestamp_sec, bbox_cx, track_conf) and identities to the final table. Frames of shots that aren't in the
     manifest are an error, those of stage types that aren't wanted go."""
     wanted = manifest.stage_filter(shots, run.stages)
     manifest.must_match(frames, shots, ["sequence_id", "shot_id"])
     kept = manifest.allowed_only(frames, wanted, ["sequence_id", "shot_id"])
     spark = shots.sparkSession
-    bins = materialise(spark, tracks.time_bins(kept, ["sequence_id", "shot_id", "shot_idx", "local_track_id"], F.col("timestamp_sec"), run.bins), "bins")
+    bins = materialise(spark, tracks.time_bins(kept, ["sequence_id", "shot_id", "shot_idx", "local_track_id"], tracks.shot_time(kept, "timestamp_sec", start=""), run.bins), "bins")
     cands = materialise(spark, targets.candidates(bins, boxes, identities, wanted, run.targets), "target-candidates")
     assigned = materialise(spark, targets.assignments(bins, cands, identities, wanted, run.targets), "assignments")
     final = targets.final_table(bins, identities, assigned, wanted, boxes, cands)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shotlens.functions.geometry import side_of
 from shotlens.functions.numeric import clamp, direction_bucket, finite_float
 from shotlens.functions.text import normalize_label
-from shotlens.operators.folds import carry_choice
+from shotlens.operators.recurrence import carry_choice
 from shotlens.operators.interval import contained
 from shotlens.operators.windows import adjacent_values, neighbour_union, smooth_isolated
 

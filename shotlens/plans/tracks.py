@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotlens.functions.numeric import clamp, even_int, finite_float, ratio, safe_float
-from shotlens.functions.timecode import bin_index
+from shotlens.functions.timecode import bin_index, frame_time
 
 # Action units measured as intensities and as presence.
 AU_R = ("AU01", "AU02", "AU04", "AU05", "AU06", "AU07", "AU09", "AU10", "AU12", "AU14", "AU15", "AU17", "AU20", "AU23", "AU25", "AU26", "AU45")
@@ -64,17 +64,26 @@ def expression(r: dict[str, Column], c: dict[str, Column]) -> Column:
     )
 
 
-def time_bins(frames: DataFrame, keys: Sequence[str], shot_time: Column, rules: BinRules = BinRules(), au_r: Sequence[str] = (), au_c: Sequence[str] = (), pose: Sequence[str] = ("pose_Rx", "pose_Ry", "pose_Rz"), gaze: Sequence[str] = ("gaze_angle_x", "gaze_angle_y")) -> DataFrame:
+def shot_time(frames: DataFrame, at: str = "timestamp", frame: str = "frame", start: str = "crop_start_sec") -> Column:
+    """Seconds of a frame in its shot: its time, or by 30 frames a second its number (0 without one), after the clip's start
+    where the table has one."""
+    number = finite_float(F.col(frame)) if frame in frames.columns else F.lit(None).cast("double")
+    within = frame_time(finite_float(F.col(at)), number)
+    return safe_float(F.col(start), 0.0) + within if start in frames.columns else within
+
+
+def time_bins(frames: DataFrame, keys: Sequence[str], at: Column, rules: BinRules = BinRules(), au_r: Sequence[str] = (), au_c: Sequence[str] = (), pose: Sequence[str] = ("pose_Rx", "pose_Ry", "pose_Rz"), gaze: Sequence[str] = ("gaze_angle_x", "gaze_angle_y")) -> DataFrame:
     """Tumbling bins of per-frame measurements: counts, ratios, mean and median confidence, mean and population deviation of
     gaze over valid frames and of pose over frames with all angles, action units over all frames, and the quality label.
 
-    One hash aggregate that is combined before its shuffle (the median keeps a bin's values). Frames without a time go."""
+    One hash aggregate that is combined before its shuffle (the median keeps a bin's values). Frames for which `at` is null go;
+    `shot_time` gives frames without a time one by their number."""
     num = lambda c: finite_float(F.col(c))
     valid = (safe_float(F.col("success"), 1.0).cast("int") == 1) & num("confidence").isNotNull()
     posed = F.lit(True)
     for c in pose:
         posed = posed & num(c).isNotNull()
-    f = frames.withColumns({"bin_idx": bin_index(shot_time, rules.width), "__v": valid, "__p": posed}).where("bin_idx IS NOT NULL")
+    f = frames.withColumns({"bin_idx": bin_index(at, rules.width), "__v": valid, "__p": posed}).where("bin_idx IS NOT NULL")
     only = lambda flag, c: F.when(F.col(flag), num(c))
     r = lambda c: F.round(c, rules.digits)
     aggs = [F.count("*").alias("n_frames_total"), F.count_if("__v").alias("n_frames_valid"), F.count_if("__p").alias("__n_pose"), F.avg(only("__v", "confidence")).alias("__conf"), r(F.median(only("__v", "confidence"))).alias("confidence_median")]

@@ -47,12 +47,13 @@ def live_sessions(frames: DataFrame, keys: Sequence[str], at: str, gap: str, lat
     return frames.withWatermark(at, late).groupBy(*keys, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("track_len")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "track_len")
 
 
-def in_order(rows: DataFrame, key: str, at: str, value: str, late: str, name: str, step: Callable[[list, list[tuple]], tuple[list, list[tuple]]]) -> DataFrame:
+def in_order(rows: DataFrame, key: str, at: str, value: str, late: str, name: str, step: Callable[[list, list[tuple]], tuple[list, list[tuple]]], finish: Callable[[list], list[tuple]] = lambda memory: []) -> DataFrame:
     """Each key's rows in the order of their times, in whatever batches they come: `key`, `at` and `name` (text).
 
     A row waits in the key's state until the watermark, `late` behind the latest time, has passed it; `step` takes what it
     returned last (a list of texts, empty at first) and the rows (time, value) that are now due, in order, and gives its new
-    memory and the rows (time, text) to send. The memory of a key without rows for SILENCE_MS goes."""
+    memory and the rows (time, text) to send. The memory of a key without rows for SILENCE_MS goes; `finish` may send what it
+    still held."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         memory, waiting = json.loads(state.get[0]) if state.exists else ([], [])
@@ -66,6 +67,7 @@ def in_order(rows: DataFrame, key: str, at: str, value: str, late: str, name: st
             state.update((json.dumps([memory, waiting]),))
             state.setTimeoutTimestamp(max(mark + 1, waiting[0][0] // 1000 + 1))
         elif state.hasTimedOut and not due:
+            out += finish(memory)
             state.remove()
         else:
             state.update((json.dumps([memory, []]),))
@@ -93,7 +95,7 @@ def live_last_choice(rows: DataFrame, key: str, at: str, choice: str, late: str)
 
 def live_smoothing(rows: DataFrame, key: str, at: str, choice: str, late: str) -> DataFrame:
     """Each row's choice; a missing one between two equal ones takes their value. A row is sent when the row after it is
-    due, so that the last row of a stream waits for another."""
+    due, the last one of a key when the key has been silent for SILENCE_MS."""
 
     def step(memory: list, due: list[tuple]) -> tuple[list, list[tuple]]:
         out = []  # memory: the choice before the pending row, its time and its choice
@@ -106,7 +108,7 @@ def live_smoothing(rows: DataFrame, key: str, at: str, choice: str, late: str) -
                 memory = [None, t, v]
         return memory, out
 
-    return in_order(rows, key, at, choice, late, "smoothed", step)
+    return in_order(rows, key, at, choice, late, "smoothed", step, lambda memory: [(memory[1], memory[2])] if memory else [])
 
 
 def run_available(spark: SparkSession, stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
@@ -118,6 +120,19 @@ def run_available(spark: SparkSession, stream: DataFrame, name: str, folder: str
     return spark.read.schema(stream.schema).parquet(to)
 
 
+def run_to_end(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], closing: DataFrame, name: str, files_per_trigger: int = 16) -> DataFrame:
+    """Process a finished table (a folder of Parquet files) to its end and read the result: what still waits for a later
+    row is let go by the rows of `closing` (of the table's columns, far later), which follow as a second run from the first
+    one's checkpoint."""
+    to, schema = shared_dir(spark, name), spark.read.parquet(path).schema
+    closing.select(*schema.names).write.parquet(f"{to}-closing")
+    for folder in (path, f"{to}-closing"):
+        above, own = folder.rstrip("/").rsplit("/", 1)
+        source = f"{above}/{{{own}}}"  # a pattern: for plain paths the file source wants the files of all runs under one
+        run_available(spark, build(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)), "sent", to)
+    return spark.read.parquet(f"{to}/sent")
+
+
 def run_updates(spark: SparkSession, stream: DataFrame, keys: Sequence[str], name: str, folder: str | None = None) -> DataFrame:
     """Process what is there, in as many batches as it takes, and read the last state of each group: every batch writes the
     groups that it changed to a folder of its own, which a repeated batch overwrites. `folder` is as in run_available."""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from shotlens.operators.alignment import AlignmentRules, _score, _spans, align, align_spans
 from shotlens.operators.asof import asof_join, nearest_join
-from shotlens.operators.folds import greedy_pairs, non_overlapping
+from shotlens.operators.folds import greedy_pairs
+from shotlens.operators.nonoverlap import non_overlapping
 from shotlens.operators.states import action_chunks, script_lines, speeches
 from shotlens.operators.tracking import TrackRules, track_boxes
 from shotlens.operators.windows import consecutive_windows, timeline
