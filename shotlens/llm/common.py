@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Callable, Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlens.session import materialise, ship
+from shotlens.session import ship
 
 #: Rows and bytes of an Arrow batch at most; a single longer row makes a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
+SPACE = re.compile(rb"[ \t-\r]")
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -53,6 +55,16 @@ def joined(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[
         yield pa.concat_batches(held)
 
 
+def pieces(text: bytes, size: int) -> Iterator[bytes]:
+    """The text cut before white space into pieces of about `size` bytes."""
+    at = 0
+    while at < len(text):
+        cut = SPACE.search(text, at + size)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 def give_back() -> None:
     """Return what Arrow's pool and the C library hold without use to the system."""
     pa.default_memory_pool().release_unused()
@@ -79,32 +91,6 @@ def crc_fold(doc_id, n: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")) if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
-#: Rows of a table of counts up to which it is broadcast; a larger one is joined.
-FEW_ROWS = 100_000
-
-
-def small(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """The table, written once and, if it has at most FEW_ROWS rows, marked for broadcast."""
-    df = materialise(spark, df, name)
-    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
-
-
-def placed(spark: SparkSession, rows: DataFrame, group: str, order: Sequence[Column | str], name: str) -> DataFrame:
-    """The rows with `place` (from 0, in the group's order) and `size` (rows of the group); `group` holds no nulls.
-
-    A group may hold most rows, so no window over it: the table is dealt by ranges of (group, *order), a row's place in its
-    range is counted in the task, and the ranges' counts, a row for each range and group, give what comes before. Rows that
-    are equal in the order get places in any order."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order)
-    dealt = materialise(spark, dealt.withColumn("__at", F.monotonically_increasing_id()), name)
-    dealt = dealt.withColumn("__range", F.shiftright("__at", 33))
-    ranges = dealt.groupBy(group, "__range").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
-    of = Window.partitionBy(group)
-    ranges = ranges.select(group, "__range", (F.sum("__n").over(of.orderBy("__range")) - F.col("__n") - F.col("__first")).alias("__before"), F.sum("__n").over(of).alias("size"))
-    return dealt.join(small(spark, ranges, f"{name}-ranges"), [group, "__range"]).withColumn("place", F.col("__at") + F.col("__before")).drop("__at", "__range", "__before")
-
-
 def places(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The places of slices, each n long, one after another."""
     return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)

@@ -31,9 +31,9 @@ STOP_WORDS = frozenset(
 )
 #: Limits of the first pass: share of link text, length of a short block, shares of stop words.
 MAX_LINKS, SHORT, LONG, LOW, HIGH = 0.25, 70, 200, 0.10, 0.20
-#: Learned stop words: longest one, share of a language's pages that it is in, pages and share of all pages from which a
-#: language counts (so that 1 / LANGUAGE_SHARE languages at most do), entries that a task counts at a time.
-STOP_LETTERS, STOP_SHARE, LANGUAGE_PAGES, LANGUAGE_SHARE, COUNTED = 6, 0.2, 50, 0.001, 200_000
+#: Learned stop words: longest one, share of a language's pages that it is in, pages without the word that are added to
+#: each language's (so that few pages prove little), entries that a task counts at a time.
+STOP_LETTERS, STOP_SHARE, PRIOR_PAGES, COUNTED = 6, 0.2, 50, 200_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -226,8 +226,8 @@ def main_text(page: str, stop_words: frozenset[str] = STOP_WORDS) -> list[str]:
 
 def function_words(spark: SparkSession, pages: DataFrame, html_col: str = "html") -> frozenset[str]:
     """Words of at most STOP_LETTERS letters that are in the share STOP_SHARE of the pages of one declared language (the
-    pages without one are a group too), counted over all pages. Their number is bounded: a page's words over that share,
-    for each language that is large enough."""
+    pages without one are a group too), to which PRIOR_PAGES are added, counted over all pages. Their number is bounded: a
+    page's words over that share, for each language code."""
     prepared(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +240,7 @@ def function_words(spark: SparkSession, pages: DataFrame, html_col: str = "html"
 
         for b in batches:
             for page in column_list(b, "page"):
-                m = _LANGUAGE.search(page, 0, 4096)
+                m = _LANGUAGE.search(page)
                 lang = m[1].lower() if m else ""
                 text = " ".join([x.text for x in blocks_of(page) if not x.bad])
                 seen[lang, ""] += 1
@@ -252,9 +252,7 @@ def function_words(spark: SparkSession, pages: DataFrame, html_col: str = "html"
     texts = pages.select(F.coalesce(F.col(html_col), F.lit("")).alias("page"))
     counted = materialise(spark, map_arrow(texts, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     sizes = counted.where("word = ''").select("lang", F.col("n").alias("pages"))
-    total = sizes.agg(F.coalesce(F.sum("pages"), F.lit(0))).head()[0]
-    large = sizes.where(F.col("pages") >= max(LANGUAGE_PAGES, LANGUAGE_SHARE * total))  # 1 / LANGUAGE_SHARE rows at most
-    found = counted.where("word <> ''").join(F.broadcast(large), "lang").where(F.col("n") >= STOP_SHARE * F.col("pages"))
+    found = counted.where("word <> ''").join(sizes, "lang").where(F.col("n") >= STOP_SHARE * (F.col("pages") + PRIOR_PAGES))
     return frozenset(found.select("word").distinct().toArrow().column(0).to_pylist())
 
 

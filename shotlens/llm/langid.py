@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotlens.llm.common import batch_of, column_bytes, column_list, crc_fold, joined, map_arrow, prepared, table
+from shotlens.llm.common import batch_of, column_bytes, column_list, crc_fold, joined, map_arrow, pieces, prepared, table
 
 #: First and last code point of the letters of each script that is told apart.
 SCRIPTS = (
@@ -34,6 +34,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 1000, 3_000_000
 SWITCH, OWN_SCRIPT, FLOOR, CACHE = 8.0, 0.01, -12.0, 100_000
 #: Texts that are labelled at a time and bytes of them (or one longer text), and new words scored at a time.
 TEXTS, TEXT_BYTES, NEW_WORDS = 2000, 1 << 23, 16_384
+#: Bytes of a text that are split at a time, and words whose letters are counted at a time.
+PIECE, PLACES = 1 << 20, 1 << 20
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")
 
@@ -156,6 +158,9 @@ class Labeller:
             self.chunks.clear()
             self.words.clear()
             self.scores, self.size, self.count = self.scores[:0], self.size[:0], 0
+        return self._viterbi([self._numbers(t) for t in texts] if max(map(len, texts), default=0) > PIECE else self._numbers_of_all(texts))
+
+    def _numbers_of_all(self, texts: list[bytes]) -> list[np.ndarray]:
         chunks = self.chunks
         split = [t.split() for t in texts]
         new: set[bytes] = set()
@@ -163,47 +168,51 @@ class Labeller:
             new.update([w for w in set(words) if w not in chunks])
         self._add(list(new))
         get = chunks.__getitem__
-        return self._viterbi([np.frombuffer(b"".join(map(get, words)), np.int32) for words in split])
+        return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in split]
+
+    def _numbers(self, text: bytes) -> np.ndarray:
+        """The numbers of a text's words, a piece of it at a time."""
+        return np.concatenate([np.empty(0, np.int32), *(x for piece in pieces(text, PIECE) for x in self._numbers_of_all([piece]))])
 
     def _viterbi(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Back-pointers are one block of a byte (two above 127 languages) for each word and language."""
         langs = len(self.m.langs)
+        kind = np.int8 if langs < 128 else np.int16
         order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
-        lengths = np.array([len(seqs[i]) for i in order])
-        labels = [np.empty(n, np.int16) for n in lengths]
+        lengths = np.array([len(seqs[i]) for i in order], np.int64)
         letters = np.zeros((len(seqs), langs))
         top = int(lengths[0]) if len(lengths) else 0
-        active = np.searchsorted(-lengths, -np.arange(top), side="left")  # texts with a word at each place
-        words = np.concatenate([seqs[i] for i in order]) if top else np.empty(0, np.int32)
-        start = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else lengths
+        words = seqs[order[0]] if len(order) == 1 else np.concatenate([seqs[i] for i in order]) if top else np.empty(0, np.int32)
+        start = np.cumsum(lengths) - lengths
         state = np.zeros((len(order), langs))
-        moved, source = [], []
+        came = np.empty((len(words), langs), kind)  # by place, then text
+        own, row = np.arange(langs, dtype=kind), np.arange(len(order))
+        n, at = len(order), 0
         for t in range(top):
-            n = active[t]
+            while lengths[n - 1] <= t:  # texts with a word at this place
+                n -= 1
             s = state[:n]
             best = s.argmax(1)
-            other = s[np.arange(n), best] - self.switch
+            other = s[row[:n], best] - self.switch
             jump = s < other[:, None]
-            moved.append(jump)
-            source.append(best)
+            came[at : at + n] = np.where(jump, best[:, None].astype(kind), own)
+            at += n
             state[:n] = np.where(jump, other[:, None], s) + self.scores[words[start[:n] + t]]
-        final = state.argmax(1)
-        out = np.empty(len(words), np.int16)
-        now = final.copy()
+        out = np.empty(len(words), kind)
+        now = state.argmax(1)
+        n = 0
         for t in range(top - 1, -1, -1):
-            n = active[t]
+            while n < len(order) and lengths[n] > t:
+                n += 1
             out[start[:n] + t] = now[:n]
-            hit = moved[t][np.arange(n), now[:n]]
-            now[:n] = np.where(hit, source[t], now[:n])
-        size = self.size[words]
+            at -= n
+            now[:n] = came[at + row[:n], now[:n]]
+        labels = [out[:0]] * len(order)
         for k, i in enumerate(order):
-            a = start[k] if len(lengths) else 0
-            part = out[a : a + lengths[k]]
-            letters[i] = np.bincount(part, weights=size[a : a + lengths[k]], minlength=langs)[:langs] if len(part) else 0
-            labels[k] = part
-        back = [labels[0]] * len(order) if order else []
-        for k, i in enumerate(order):
-            back[i] = labels[k]
-        return letters, back
+            labels[i] = part = out[start[k] : start[k] + lengths[k]]
+            for a in range(0, len(part), PLACES):
+                letters[i] += np.bincount(part[a : a + PLACES], weights=self.size[words[start[k] + a : start[k] + min(a + PLACES, len(part))]], minlength=langs)
+        return letters, labels
 
 
 def groups(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -221,7 +230,10 @@ def groups(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """The id (and the columns in `keep`), lang_pred (the language of most letters; of equal ones the first by name),
-    score (its share of the letters), and with `spans` the runs of words with one label.
+    score (its share of the letters: no probability), and with `spans` the runs of words with one label.
+
+    A task holds TEXTS texts and TEXT_BYTES of them, or one longer text; for these, each word takes 8 bytes and one more for
+    each language, and each different word its text and a score for each language.
 
     Null texts, texts without a letter and every text under a model without languages get `und` and score 0; null ids
     stay null; repeated rows are labelled each; an empty table gives an empty table; other columns are not read.

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlens.llm.common import CRC_TABLE, column_list, crc_sql, map_arrow, placed, prepared, table
+from shotlens.llm.common import CRC_TABLE, column_list, crc_sql, map_arrow, prepared, table
+from shotlens.operators.places import placed
 from shotlens.session import materialise
 
-#: Nodes of a run, and storeys of runs in a block.
-FAN, STOREYS = 8, 3
-BLOCK = FAN**STOREYS
+#: Nodes of a run, and levels of runs in a block.
+FAN, LEVELS = 8, 3
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 SIDES = "array<struct<left:string,right:string>>"
 
@@ -29,10 +29,10 @@ def digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def storeys(n: int) -> int:
-    """Levels of runs in a block whose group has n nodes: a block of a larger group always has STOREYS, even the last."""
+def height(n: int, levels: int) -> int:
+    """Levels of runs in a block whose group has n nodes: a block of a larger group always has `levels`, even the last."""
     up = 0
-    while up < STOREYS and FAN**up < n:
+    while up < levels and FAN**up < n:
         up += 1
     return up
 
@@ -112,35 +112,35 @@ def _root(nodes: Sequence[str], levels: int) -> str:
     return digest("".join(Treehash(nodes, levels - 1, 0).run())) if levels else nodes[0]
 
 
-def _blocks(spark: SparkSession, nodes: DataFrame, extra: Sequence[str], name: str) -> DataFrame:
-    """One row for each block of at most BLOCK nodes: grp, block, size (nodes of the group) and the items in order."""
-    by = nodes.groupBy("grp", F.floor(F.col("place") / BLOCK).cast("long").alias("block"))
+def _blocks(spark: SparkSession, nodes: DataFrame, extra: Sequence[str], levels: int, name: str) -> DataFrame:
+    """One row for each block of at most FAN^levels nodes: grp, block, size (nodes of the group) and the items in order."""
+    by = nodes.groupBy("grp", F.floor(F.col("place") / FAN**levels).cast("long").alias("block"))
     return materialise(spark, by.agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("place", "node", *extra))).alias("items")), name)
 
 
-def _roots(blocks: DataFrame) -> DataFrame:
+def _roots(blocks: DataFrame, levels: int) -> DataFrame:
     """The blocks' roots as nodes of the next storey."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = column_list(b, "size")
-            found = [_root([x["node"] for x in items], storeys(n)) for items, n in zip(column_list(b, "items"), sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("grp")), b.column(b.schema.get_field_index("block")), pa.array([-(-n // BLOCK) for n in sizes], pa.int64()), pa.array(found, pa.string())], names=["grp", "place", "size", "node"])
+            found = [_root([x["node"] for x in items], height(n, levels)) for items, n in zip(column_list(b, "items"), sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("grp")), b.column(b.schema.get_field_index("block")), pa.array([-(-n // FAN**levels) for n in sizes], pa.int64()), pa.array(found, pa.string())], names=["grp", "place", "size", "node"])
 
     return map_arrow(blocks, run, "grp string, place long, size long, node string")
 
 
-def _storeys_above(spark: SparkSession, nodes: DataFrame, extra: Sequence[str], name: str) -> list[DataFrame]:
+def _storeys_above(spark: SparkSession, nodes: DataFrame, extra: Sequence[str], levels: int, name: str) -> list[DataFrame]:
     """The blocks of the nodes, of their roots, and so on, until every group is one block."""
     most = nodes.agg(F.max("size")).head()[0] or 0
-    found = [_blocks(spark, nodes, extra, name)]
-    while most > BLOCK:
-        most = -(-most // BLOCK)
-        found.append(_blocks(spark, _roots(found[-1]), (), f"{name}-{len(found)}"))
+    found = [_blocks(spark, nodes, extra, levels, name)]
+    while most > FAN**levels:
+        most = -(-most // FAN**levels)
+        found.append(_blocks(spark, _roots(found[-1], levels), (), levels, f"{name}-{len(found)}"))
     return found
 
 
-def _paths_down(blocks: DataFrame, name: str, spark: SparkSession) -> DataFrame:
+def _paths_down(spark: SparkSession, blocks: DataFrame, levels: int, name: str) -> DataFrame:
     """From blocks with `up` (what stands beside the block's root up to the root of all), subroot and root: the same for
     each of their items, under the key (grp, block) that the item's own block has."""
 
@@ -150,7 +150,7 @@ def _paths_down(blocks: DataFrame, name: str, spark: SparkSession) -> DataFrame:
             out = []
             for r in rows:
                 up = r["up"] or []
-                for item, sides in zip(r["items"], Traversal([x["node"] for x in r["items"]], storeys(r["size"])), strict=True):
+                for item, sides in zip(r["items"], Traversal([x["node"] for x in r["items"]], height(r["size"], levels)), strict=True):
                     out.append({"grp": r["grp"], "block": item["place"], "up": [{"left": left, "right": right} for left, right in sides] + up, "subroot": r["subroot"], "root": r["root"]})
             yield pa.RecordBatch.from_pylist(out, schema=to)
 
@@ -159,14 +159,14 @@ def _paths_down(blocks: DataFrame, name: str, spark: SparkSession) -> DataFrame:
     return materialise(spark, map_arrow(blocks, run, f"grp string, block long, up {SIDES}, subroot string, root string"), name)
 
 
-def _group_paths(tops: DataFrame) -> DataFrame:
+def _group_paths(tops: DataFrame, levels: int) -> DataFrame:
     """For each group (an item's `name`) what stands beside its root, from the blocks over the groups' roots with `up` and `root`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for r in b.to_pylist():
-                for item, sides in zip(r["items"], Traversal([x["node"] for x in r["items"]], storeys(r["size"])), strict=True):
+                for item, sides in zip(r["items"], Traversal([x["node"] for x in r["items"]], height(r["size"], levels)), strict=True):
                     out.append({"grp": item["name"], "up": [{"left": left, "right": right} for left, right in sides] + (r["up"] or []), "subroot": item["node"], "root": r["root"]})
             yield pa.RecordBatch.from_pylist(out, schema=to)
 
@@ -181,7 +181,7 @@ def leaf_of(values: Sequence[Column]) -> Column:
     return F.sha2(F.concat(*coded).cast("binary"), 256)
 
 
-def manifest(spark: SparkSession, docs: DataFrame, columns: Sequence[str] = COLUMNS, id_col: str = "doc_id", group_col: str = "lang", changed: tuple[Column, dict[str, Column]] | None = None) -> DataFrame:
+def manifest(spark: SparkSession, docs: DataFrame, columns: Sequence[str] = COLUMNS, id_col: str = "doc_id", group_col: str = "lang", changed: tuple[Column, dict[str, Column]] | None = None, levels: int = LEVELS) -> DataFrame:
     """For each row: the id, `lang` (the group), leaf, subroot, root, proof (an array of what stands left and right at each
     level, leaf first), proof_sha256, folded_root and verified. `changed` is where rows were tampered with and which values
     the columns have then: there folded_root comes from the changed row's leaf and the proof of the row as it was.
@@ -199,24 +199,24 @@ def manifest(spark: SparkSession, docs: DataFrame, columns: Sequence[str] = COLU
         F.when(where, leaf_of([new.get(c, F.col(c)) for c in columns])).alias("other"),
     )
     kind = rows.schema["id"].dataType.simpleString()
-    rows = placed(spark, materialise(spark, rows, "leaves"), "grp", ["id", "node"], "leaves-in-order")
-    own = _storeys_above(spark, rows, ("id", "other"), "blocks")
-    subroots = _roots(own[-1]).select(F.lit("").alias("all"), F.col("grp").alias("name"), "node")
-    groups = placed(spark, subroots, "all", ["name"], "groups").select(F.col("all").alias("grp"), "place", "size", "node", "name")
-    over = _storeys_above(spark, groups, ("name",), "groups-blocks")
-    top = _roots(over[-1]).select("grp", F.col("place").alias("block"), F.array().cast(SIDES).alias("up"), F.lit(None).cast("string").alias("subroot"), F.col("node").alias("root"))
+    rows = placed(spark, materialise(spark, rows, "leaves"), ["grp"], ["id", "node"], "leaves-in-order")
+    own = _storeys_above(spark, rows, ("id", "other"), levels, "blocks")
+    subroots = _roots(own[-1], levels).select(F.lit("").alias("all"), F.col("grp").alias("name"), "node")
+    groups = placed(spark, subroots, ["all"], ["name"], "groups").select(F.col("all").alias("grp"), "place", "size", "node", "name")
+    over = _storeys_above(spark, groups, ("name",), levels, "groups-blocks")
+    top = _roots(over[-1], levels).select("grp", F.col("place").alias("block"), F.array().cast(SIDES).alias("up"), F.lit(None).cast("string").alias("subroot"), F.col("node").alias("root"))
     for k, blocks in enumerate(over[:0:-1]):
-        top = _paths_down(blocks.join(top, ["grp", "block"]), f"groups-paths-{k}", spark)
-    down = materialise(spark, _group_paths(over[0].join(top, ["grp", "block"])), "paths-of-groups").withColumn("block", F.lit(0).cast("long"))
+        top = _paths_down(spark, blocks.join(top, ["grp", "block"]), levels, f"groups-paths-{k}")
+    down = materialise(spark, _group_paths(over[0].join(top, ["grp", "block"]), levels), "paths-of-groups").withColumn("block", F.lit(0).cast("long"))
     for k, blocks in enumerate(own[:0:-1]):
-        down = _paths_down(blocks.join(down, ["grp", "block"]), f"paths-{k}", spark)
+        down = _paths_down(spark, blocks.join(down, ["grp", "block"]), levels, f"paths-{k}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():  # a row is a block: at most BLOCK leaves
+            for r in b.to_pylist():  # a row is a block: at most FAN^levels leaves
                 up = [(x["left"], x["right"]) for x in r["up"]]
                 ids, out = [], []
-                for item, sides in zip(r["items"], Traversal([x["node"] for x in r["items"]], storeys(r["size"])), strict=True):
+                for item, sides in zip(r["items"], Traversal([x["node"] for x in r["items"]], height(r["size"], levels)), strict=True):
                     path = sides + up
                     folded = fold(item["other"] or item["node"], path)
                     ids.append(item["id"])

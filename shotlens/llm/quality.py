@@ -16,15 +16,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotlens.llm.common import BATCH_BYTES, batch_of, column_bytes, map_arrow, prepared, small, table
+from shotlens.llm.common import BATCH_BYTES, batch_of, column_bytes, map_arrow, pieces, prepared, table
+from shotlens.operators.places import small
 from shotlens.session import materialise
 
 #: The characters that count as symbols, words of a window, fewest words, most repeated words in a hundred.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED = b"#*$%&|<>", 8, 20, 30
 #: Whole numbers up to 2^BITS have cells of their own.
 BITS = 7
-#: Weight of the whole corpus in each group's sketch, in documents: small groups lean on it, large ones hardly.
-PRIOR = 200
+#: Weight of the whole corpus in each group's sketch, in documents, but never more than the group's own: what is usual in a
+#: small group stays within its limits, and large groups hardly feel it.
+PRIOR = 50
 
 
 @dataclass(frozen=True)
@@ -58,22 +60,11 @@ def repeated_words(ids: np.ndarray, n: int = WINDOW) -> int:
     return int((np.cumsum(ends[:-1]) > 0).sum())
 
 
-def _pieces(text: bytes, size: int) -> Iterator[bytes]:
-    """The text cut at white space into pieces of about `size` bytes."""
-    at = 0
-    while at < len(text):
-        end = min(at + size, len(text))
-        while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
-            end += 1
-        yield text[at:end]
-        at = end
-
-
 def measures(text: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a whole text."""
     no: dict[bytes, int] = {}
     numbers, chars = [], 0
-    for piece in _pieces(text, BATCH_BYTES):
+    for piece in pieces(text, BATCH_BYTES):
         words = piece.split()  # bytes: at 0x20 and 0x09 to 0x0D only
         for w in set(words).difference(no):
             no[w] = len(no)
@@ -127,14 +118,14 @@ def sketches(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 def limits(spark: SparkSession, sketch: DataFrame, by: tuple[str, ...], rules: tuple[Rule, ...] = RULES, prior: int = PRIOR) -> DataFrame:
     """by and, for each rule, <rule>_low and <rule>_high: reach spreads beyond the quartiles of the group's sketch, into
-    which the whole corpus's is merged with the weight of `prior` documents. A spread is what lies between the quartiles."""
+    which the whole corpus's is merged with the weight of `prior` documents, or of the group's own if these are fewer. A spread is what lies between the quartiles."""
     whole = sketch.groupBy("rule", "cell").agg(F.sum("n").alias("all"))
     whole = materialise(spark, whole.withColumn("total", F.sum("all").over(Window.partitionBy("rule"))), "whole-sketch")
-    groups = sketch.select(*by, "rule").distinct()
+    groups = sketch.groupBy(*by, "rule").agg(F.least(F.sum("n"), F.lit(prior)).alias("prior"))
     # a group's merged weight of a cell: n * total + prior * all, whole numbers of up to 38 digits
     big = lambda c: F.col(c).cast("decimal(19,0)")
     own = sketch.join(F.broadcast(whole.select("rule", "total").distinct()), "rule").select(*by, "rule", "cell", (big("n") * big("total")).alias("w"))  # a row for each rule
-    from_all = groups.join(F.broadcast(whole), "rule").select(*by, "rule", "cell", (big("all") * F.lit(prior).cast("decimal(19,0)")).alias("w"))  # cells of four measures: some thousand rows
+    from_all = groups.join(F.broadcast(whole), "rule").select(*by, "rule", "cell", (big("all") * big("prior")).alias("w"))  # cells of four measures: some thousand rows
     merged = own.unionByName(from_all).groupBy(*by, "rule", "cell").agg(F.sum("w").alias("w"))
     of = Window.partitionBy(*by, "rule")
     upto = merged.select("*", F.sum("w").over(of.orderBy("cell")).alias("upto"), F.sum("w").over(of).alias("sum"))
@@ -189,7 +180,7 @@ m AS (SELECT u, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(co
 v AS (SELECT u, lang, source, base_failed, r.rule, CAST(1000 * r.x // greatest(n_words, 1) AS BIGINT) AS v FROM m, LATERAL (VALUES ('word_length', word_chars), ('symbols', n_symbols), ('dup_lines', n_dup_lines), ('repeat_words', n_repeat_words)) r(rule, x)),
 sk AS (SELECT lang, source, rule, (v >> greatest(length(bin(v)) - {BITS}, 0)) << greatest(length(bin(v)) - {BITS}, 0) AS cell, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
 alls AS (SELECT rule, cell, sum(n) AS a, sum(sum(n)) OVER (PARTITION BY rule) AS total FROM sk GROUP BY rule, cell),
-merged AS (SELECT g.lang, g.source, a.rule, a.cell, coalesce(sk.n, 0) * a.total + {PRIOR} * a.a AS w FROM (SELECT DISTINCT lang, source FROM sk) g CROSS JOIN alls a LEFT JOIN sk ON sk.lang IS NOT DISTINCT FROM g.lang AND sk.source IS NOT DISTINCT FROM g.source AND sk.rule = a.rule AND sk.cell = a.cell),
+merged AS (SELECT g.lang, g.source, a.rule, a.cell, coalesce(sk.n, 0) * a.total + least(g.own, {PRIOR}) * a.a AS w FROM (SELECT lang, source, rule, sum(n) AS own FROM sk GROUP BY ALL) g JOIN alls a ON a.rule = g.rule LEFT JOIN sk ON sk.lang IS NOT DISTINCT FROM g.lang AND sk.source IS NOT DISTINCT FROM g.source AND sk.rule = a.rule AND sk.cell = a.cell),
 upto AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, rule ORDER BY cell) AS upto, sum(w) OVER (PARTITION BY lang, source, rule) AS total FROM merged),
 q AS (SELECT lang, source, rule, min(cell) FILTER (WHERE 4 * upto >= total) AS q1, min(cell) FILTER (WHERE 4 * upto >= 3 * total) AS q3 FROM upto GROUP BY ALL),
 ends AS (SELECT q.*, q1 - reach * greatest(q3 - q1, least_spread) AS low, q3 + reach * greatest(q3 - q1, least_spread) AS high, has_low FROM q JOIN (VALUES {_RULES}) x(rule, least_spread, reach, has_low) USING (rule)),

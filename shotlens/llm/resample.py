@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotlens.llm.common import CRC_TABLE, crc_sql, placed, prepared, small, table
+from shotlens.llm.common import CRC_TABLE, crc_sql, prepared, table
+from shotlens.operators.places import placed, small
 from shotlens.session import materialise
 
 ORDERS, BUCKETS, SEED, LEAST_WORDS, PERCENT = 3, 10_000, 42, 20, 5
@@ -81,7 +82,7 @@ def resample(spark: SparkSession, docs: DataFrame, target: DataFrame, percent: i
     found = found.select("id", "n_features", "weight", (F.col("weight") + noise("id", seed)).alias("score"), (F.col("n_words") >= least_words).alias("fit"), F.lit("").alias("all"))
     found = materialise(spark, found, "scores")
     drawn = found.where("fit").count() * percent // 100
-    ranked = placed(spark, found, "all", [F.desc("fit"), F.desc("score"), "id"], "ranks")
+    ranked = placed(spark, found, ["all"], [F.desc("fit"), F.desc("score"), "id"], "ranks")
     rank = F.when(F.col("fit") & (F.col("place") < drawn), F.col("place") + 1)
     return ranked.select(F.col("id").alias(id_col), "n_features", "weight", "score", rank.alias("rank"))
 
