@@ -10,6 +10,7 @@ from shotlens.functions import text as T
 from shotlens.functions import timecode as C
 from shotlens.functions.jsonish import parse_cell, parse_list, stable_key
 from shotlens.functions.numeric import direction_bucket, finite_float, safe_float
+from shotlens.functions.tables import register
 from shotlens.operators.alignment import align
 from shotlens.operators.interval import collect_range, overlay
 from shotlens.operators.similarity import token_score, tokens
@@ -178,6 +179,51 @@ def other_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.md5("other_text").alias("other_md5"), F.col("other_idx").cast("long").alias("other_idx"))
 
 
+def _lines_view(spark: SparkSession, sf_dir: str) -> str:
+    register(spark)
+    lines(spark, sf_dir).createOrReplaceTempView("shotlens_lines")
+    return "shotlens_lines"
+
+
+# The two parsers as table functions, against the same SQL.
+@query("speech_function", Q["dialogue_segments"][1])
+def speech_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(f"SELECT doc_id, start_line, end_line, md5(dialogue) AS dialogue_md5, segment_idx FROM speeches(TABLE({_lines_view(spark, sf_dir)}), 'doc_id')")
+
+
+@query("chunk_function", Q["other_chunks"][1])
+def chunk_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(f"SELECT doc_id, start_line, end_line, md5(other_text) AS other_md5, other_idx FROM action_chunks(TABLE({_lines_view(spark, sf_dir)}), 'doc_id')")
+
+
+# Labels before what is said, and notes in it; ASCII only, where both engines have the same word boundaries.
+_SAID = "regexp_replace(CASE turn % 3 WHEN 0 THEN upper(role) || ': ' || text WHEN 1 THEN '[aside] MRS O''NEIL-' || upper(role) || ' II:' || text || ' Ends a: B -- so...' ELSE text || ' A: x' END, '[^\\x00-\\x7F]', ' ', 'g')"
+
+
+@query("name_labels", f"""
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(replace(replace(lower(regexp_replace(regexp_replace({_SAID}, '\\[[^\\]]*\\]', ' ', 'g'), '\\b[A-Z][A-Z''\\-\\s]{{1,25}}:\\s*', ' ', 'g')), '...', ' '), '--', ' '), '[^a-z0-9\\s'']', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM conversations""")
+def name_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, label, text = F.col("turn") % 3, F.upper("role"), F.col("text")
+    said = F.when(k == 0, F.concat(label, F.lit(": "), text)).when(k == 1, F.concat(F.lit("[aside] MRS O'NEIL-"), label, F.lit(" II:"), text, F.lit(" Ends a: B -- so..."))).otherwise(F.concat(text, F.lit(" A: x")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_for_match(F.regexp_replace(said, r"[^\x00-\x7F]", " ")).alias("norm"))
+
+
+_ACTS = ("The camera pans as she looks down.", "He TURNS TO the door, then walks out; close-up of his eyes.", "MCU: they back away and sit. WIDE SHOT", "nobody overlooks the angled track")
+_CUED = "regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') || CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN chr(10) || '{a}'" for i, a in enumerate(_ACTS)) + " ELSE '' END"
+_CUES = ", ".join(f"CAST(len(regexp_extract_all(t, '(?i)\\b(?:{'|'.join(words)})\\b')) AS BIGINT) AS {name}" for name, words in (("camera", T.CAMERA_CUES), ("gaze", T.GAZE_CUES), ("movement", T.MOVEMENT_CUES)))
+
+
+# The cue lists that the engine itself uses, in whole documents with some lines of action.
+@query("visual_cues", f"""WITH d AS (SELECT doc_id, {_CUED} AS t FROM documents), c AS (SELECT doc_id, t, {_CUES} FROM d)
+SELECT doc_id, camera, gaze, movement, round_even(least(10, camera + gaze * 1.5 + movement * 0.75 + least(length(t) / 240.0, 2)), 3) AS score FROM c""")
+def visual_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    act = F.lit("")
+    for i, a in enumerate(_ACTS):
+        act = F.when(F.col("doc_id") % 5 == i, F.lit("\n" + a)).otherwise(act)
+    d = table(spark, sf_dir, "documents").select("doc_id", T.visual_cues(F.concat(F.regexp_replace("text", r"[^\x00-\x7F]", " "), act)).alias("c"))
+    return d.select("doc_id", F.col("c.camera_cue_count").cast("long").alias("camera"), F.col("c.gaze_verb_count").cast("long").alias("gaze"), F.col("c.movement_cue_count").cast("long").alias("movement"), F.col("c.visual_action_score").alias("score"))
+
+
 @query("cue_counts", """
 WITH d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z]+', '  ', 'g') || ' ' AS t FROM documents)
 SELECT doc_id, len(regexp_extract_all(t, ' (sees?|eyes?|looks?|turns? to) ')) AS gaze, len(regexp_extract_all(t, ' (enters?|exits?|runs?|sits?|stands?) ')) AS movement, substr(t, 1, 347) AS head FROM d""")

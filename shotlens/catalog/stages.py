@@ -378,3 +378,49 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = run_available(spark, live_sessions(e, ["stream"], "at", "1 day", "1 hour"), "sessions")
     since = F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return out.select("stream", "track_len", (F.unix_timestamp("start") - since).alias("first_s"), (F.unix_timestamp("end") - since).alias("end_s"))
+
+
+@query("keyed_cache", "SELECT user_id, max_by(event_id, {'t': ts, 'id': event_id}) AS event_id, max_by(event_type, {'t': ts, 'id': event_id}) AS event_type FROM events GROUP BY user_id")
+def keyed_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's last event from batches in no order of time, one of them repeated, with a compaction in between."""
+    from shotlens.session import shared_dir
+    from shotlens.sources.keyed import KeyedTable
+
+    t = KeyedTable(spark, shared_dir(spark, "last-events"), "user_id long, at struct<ts:timestamp_ntz,event_id:long>, event_id long, event_type string", ["user_id"], "at")
+    e = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "event_id", "event_type")
+    for number in (0, 1, 1, 2, 3):
+        t.merge(e.where(F.col("event_id") % 4 == number), number)
+        if number == 2:
+            t.compact()
+    return t.read().select("user_id", "event_id", "event_type")
+
+
+_CHOSEN = f"{V_FRAME}, c AS (SELECT stream, event_id, CAST(floor(t) AS BIGINT) AS s, t, CASE WHEN k % 3 = 0 THEN kind END AS choice FROM v_frame)"
+
+
+def _in_order(spark: SparkSession, sf_dir: str, follow) -> DataFrame:
+    """A stream's operator over the events in files of no order, up to their end: stream, microseconds of 2024, and what it sends."""
+    from shotlens.session import shared_dir
+    from shotlens.streaming.live import run_to_end
+
+    choice = F.when(F.get_json_object("props", "$.k").cast("int") % 3 == 0, F.col("event_type"))
+    source = shared_dir(spark, "choices")
+    table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), F.col("ts").cast("timestamp").alias("at"), choice.alias("choice")).repartition(4, F.col("at")).write.parquet(source)
+    closing = spark.range(1).select(F.lit(-1).cast("long").alias("stream"), F.lit("2034-01-01 00:00:00").cast("timestamp").alias("at"), F.lit(None).cast("string").alias("choice"))
+    out = run_to_end(spark, source, follow, closing, "in-order", files_per_trigger=2)
+    since = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return out.where("stream >= 0").withColumn("us", F.unix_micros("at") - since)
+
+
+@query("live_choice", f"WITH {_CHOSEN} SELECT stream, CAST(round(t * 1000000) AS BIGINT) AS us, last_value(choice IGNORE NULLS) OVER (PARTITION BY stream ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM c")
+def live_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shotlens.streaming.live import live_last_choice
+
+    return _in_order(spark, sf_dir, lambda rows: live_last_choice(rows, "stream", "at", "choice", "400 days")).select("stream", "us", "previous")
+
+
+@query("live_smooth", f"WITH {_CHOSEN} SELECT stream, CAST(round(t * 1000000) AS BIGINT) AS us, coalesce(choice, CASE WHEN lag(choice) OVER w = lead(choice) OVER w THEN lag(choice) OVER w END) AS smoothed FROM c WINDOW w AS (PARTITION BY stream ORDER BY t)")
+def live_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shotlens.streaming.live import live_smoothing
+
+    return _in_order(spark, sf_dir, lambda rows: live_smoothing(rows, "stream", "at", "choice", "400 days")).select("stream", "us", "smoothed")

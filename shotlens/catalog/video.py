@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotlens.catalog.views import V_BOX, V_FRAME, V_SHOT, boxes, frames, shots, table
+from shotlens.functions.angles import bin_angle
 from shotlens.functions.geometry import body_score, box, centre_distance, cosine, dot, iou, unit
 from shotlens.functions.numeric import direction_bucket
 from shotlens.operators.folds import greedy_pairs
@@ -16,6 +18,7 @@ from shotlens.operators.similarity import best_match, mean_unit
 from shotlens.operators.tracking import TrackRules, track_boxes
 from shotlens.plans import qa, targets, tracks
 from shotlens.plans.identity import cascade
+from shotlens.runners import run_gaze
 from shotlens.session import materialise
 
 Q: dict = {}
@@ -362,6 +365,16 @@ def unit_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("vec_id", F.round(cosine(F.col("u"), F.col("w")), 5).alias("cos"))
 
 
+# A vector's 64 numbers as logits of 64 bins of 4 degrees; once as a column expression, and once by a model in batches.
+@query("bin_angles", """
+WITH v AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(list_transform(CAST(embedding AS DOUBLE[]), lambda x: 20 * x)) AS x FROM embeddings), e AS (SELECT vec_id, sum(exp(x) * i) / sum(exp(x)) AS bin FROM v GROUP BY vec_id)
+SELECT vec_id, round(radians(bin * 4 - 128), 6) AS yaw, round(radians(bin * 4 - 128), 6) AS batched FROM e""")
+def bin_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: 20 * x.cast("double")).alias("logits"))
+    both = run_gaze(e.withColumn("yaw", bin_angle(F.col("logits"), 4.0, -128.0)), lambda: lambda x: [np.array(x.tolist(), float)], "logits", ("batched",), None, 4.0, -128.0)
+    return both.select("vec_id", F.round("yaw", 6).alias("yaw"), F.round("batched", 6).alias("batched"))
+
+
 @query("stream_timebin", f"""WITH {V_FRAME} SELECT stream, epoch_us(TIMESTAMP '2024-01-01 00:00:00') // 1000000 + CAST(floor(t / 86400) AS BIGINT) * 86400 AS bin_start_s, count(*) AS n_frames_total, count(*) FILTER (WHERE success = 1) AS n_frames_valid, round(avg(conf) FILTER (WHERE success = 1), 4) AS confidence_mean
 FROM v_frame GROUP BY ALL""")
 def stream_timebin(spark: SparkSession, sf_dir: str) -> DataFrame:

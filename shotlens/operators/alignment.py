@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from array import array
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotlens.functions.text import normalize_for_match
+from shotlens.operators.similarity import least_recall
 
 
 @dataclass(frozen=True)
@@ -38,53 +40,137 @@ def _score(a: tuple[frozenset, int], b: tuple[frozenset, int]) -> tuple[float, f
     return max(0.0, min(1.0, 0.50 * recall + 0.35 * f1 + 0.15 * lengths)), recall, precision, f1, lengths
 
 
-def align_spans(raw: list[str], dialogue: list[str], rules: AlignmentRules = AlignmentRules()) -> list[dict]:
+class _Matches:
+    """Spans that can be matched, row by row. For each length of a dialogue span an index of words tells at which places
+    such a span has the word: summed over a raw span's words it gives the overlaps with all places, and with them the
+    scores of those that have words enough for `least_score`, by the sums that _score makes."""
+
+    def __init__(self, raw: list[str], dialogue: list[str], rules: AlignmentRules):
+        self.rules, self.rs, self.ds = rules, _spans(raw, rules.raw_span), _spans(dialogue, rules.dialogue_span)
+        self.recall, self.m = least_recall(rules.least_score), len(dialogue)
+        self.words, self.length = np.ones((2, rules.dialogue_span, self.m))
+        where: dict[str, list[int]] = {}  # places of counts[b, j], as of one long row
+        for j, spans in enumerate(self.ds):
+            for b in range(rules.dialogue_span):
+                words, length = spans[min(b, len(spans) - 1)]
+                self.words[b, j], self.length[b, j] = len(words), length
+                for w in words:
+                    where.setdefault(w, []).append(b * self.m + j)
+        self.where = {w: np.array(x, np.int32) for w, x in where.items()}
+
+    def of(self, i: int, upto: int) -> list[tuple[int, int, int, float]]:
+        """(j, raw segments, dialogue segments, score) of row i in their order, for spans that end up to place `upto`."""
+        counts, seen, found = np.zeros((self.rules.dialogue_span, self.m), np.int16), set(), []
+        long = counts.reshape(-1)
+        for a, (words, length) in enumerate(self.rs[i], 1):
+            for w in words - seen:
+                if (at := self.where.get(w)) is not None:
+                    long[at] += 1
+            seen |= words
+            need = max(1, math.ceil(self.recall * len(words)))
+            some = np.flatnonzero(counts[-1, :upto] >= need)  # the longest span has most words
+            for b in range(self.rules.dialogue_span if len(some) else 0):
+                at = some[(some < upto - b) & (counts[b, some] >= need)]
+                if not len(at):
+                    continue
+                both = counts[b, at].astype(float)
+                recall, precision, other = both / len(words), both / self.words[b, at], self.length[b, at]
+                f1 = 2 * recall * precision / (recall + precision)
+                lengths = np.minimum(length, other) / np.maximum(length, other)
+                score = np.maximum(0.0, np.minimum(1.0, 0.50 * recall + 0.35 * f1 + 0.15 * lengths))
+                good = score >= self.rules.least_score
+                found += zip(at[good].tolist(), [a] * int(good.sum()), [b + 1] * int(good.sum()), score[good].tolist(), strict=True)
+        return sorted(found)
+
+
+def _along(row: np.ndarray, move: np.ndarray, cost: float) -> None:
+    """Skips along a row, in place: a cell takes what its left neighbour has less the cost if that is more. The sums are
+    made one after the other, so that they are the same numbers as in a loop over the cells."""
+    stays = np.flatnonzero(row[1:] < row[:-1] - cost) + 1  # where a neighbour that keeps its own sum is better
+    k, m = 0, len(row)
+    while k < len(stays):
+        at, size = int(stays[k]) - 1, 64
+        while True:  # from `at` on skips win, until a cell has as much of its own
+            end = min(at + size, m - 1)
+            run = np.full(end - at + 1, cost)
+            run[0] = row[at]
+            run = np.subtract.accumulate(run)
+            own = np.flatnonzero(row[at + 1 : end + 1] >= run[1:])
+            stop = at + 1 + int(own[0]) if len(own) else end + 1
+            row[at + 1 : stop], move[at + 1 : stop] = run[1 : stop - at], 1
+            if len(own) or end == m - 1:
+                break
+            at, size = end, 4 * size
+        k = int(np.searchsorted(stays, stop + 1))
+
+
+class _Rows:
+    """The rows of sums that are still open, and their moves: 8 * raw + dialogue segments of the step into a cell, 0 for
+    none. A row is complete when all before it are."""
+
+    def __init__(self, matches: _Matches, n: int, m: int):
+        self.matches, self.rules, self.n, self.m, self.i = matches, matches.rules, n, m, 0
+        self.best = [np.full(m + 1, -np.inf) for _ in range(self.rules.raw_span + 1)]
+        self.move = [np.zeros(m + 1, np.uint8) for _ in range(self.rules.raw_span + 1)]
+        self.best[0][0] = 0.0
+
+    def saved(self) -> tuple:
+        return self.i, [x.copy() for x in self.best[:-1]], [x.copy() for x in self.move[:-1]]
+
+    def restore(self, saved: tuple, upto: int) -> None:
+        """Go back to a saved state, with the cells up to column `upto` only."""
+        self.i, self.m = saved[0], upto
+        self.best = [x[: upto + 1].copy() for x in saved[1]] + [np.full(upto + 1, -np.inf)]
+        self.move = [x[: upto + 1].copy() for x in saved[2]] + [np.zeros(upto + 1, np.uint8)]
+
+    def next(self) -> np.ndarray:
+        """Complete row i and pass its sums on; its moves."""
+        row, moves, i = self.best[0], self.move[0], self.i
+        _along(row, moves, self.rules.skip_dialogue)
+        if i < self.n:
+            for j, a, b, s in self.matches.of(i, self.m):
+                if row[j] + s > self.best[a][j + b]:
+                    self.best[a][j + b], self.move[a][j + b] = row[j] + s, 8 * a + b
+            down = row - self.rules.skip_raw
+            better = down > self.best[1]
+            self.best[1][better], self.move[1][better] = down[better], 8
+        self.best = self.best[1:] + [np.full(self.m + 1, -np.inf)]
+        self.move = self.move[1:] + [np.zeros(self.m + 1, np.uint8)]
+        self.i += 1
+        return moves
+
+
+def align_spans(raw: list[str], dialogue: list[str], rules: AlignmentRules = AlignmentRules(), every: int | None = None) -> list[dict]:
     """Steps from the first segments to the last: match, skip_raw or skip_dialogue, with their ranges and scores.
 
     A cell keeps the first move that reaches its best sum; moves are tried in the order skip_raw, skip_dialogue, spans.
-    Only spans that share a word are scored: an index of words to places tells which starts can match at all. Spans are of
-    at most 7 segments; memory is a byte for each cell and some rows of sums."""
+    Spans are of at most 7 segments. Moves are not kept for all cells: the open rows are saved at every `every`-th row, and
+    on the way back one stretch of rows at a time is computed again, up to the column that the path has reached. With n raw
+    and m dialogue segments that takes about 12 m sqrt(raw_span n) bytes: 270 MB for 50,000 of each."""
     if not 1 <= min(rules.raw_span, rules.dialogue_span) <= max(rules.raw_span, rules.dialogue_span) <= 7:
         raise ValueError("spans are of 1 to 7 segments")
     n, m = len(raw), len(dialogue)
     if not n or not m:
         return []
-    rs, ds = _spans(raw, rules.raw_span), _spans(dialogue, rules.dialogue_span)
-    where: dict[str, set[int]] = {}
-    for j, spans in enumerate(ds):
-        for w in spans[-1][0]:
-            where.setdefault(w, set()).add(j)
-    low = float("-inf")
-    # sums of the rows that a span can still reach, and a byte for each cell's move: 8 * raw + dialogue segments, 0 for none
-    best = {k: array("d", [low]) * (m + 1) for k in range(min(n, rules.raw_span) + 1)}
-    move = [bytearray(m + 1) for _ in range(n + 1)]
-    best[0][0] = 0.0
-    for i in range(n + 1):
-        near = set().union(*(where.get(w, ()) for w in rs[i][-1][0])) if i < n else set()
-        if i:
-            del best[i - 1]
-            if i + rules.raw_span <= n:
-                best[i + rules.raw_span] = array("d", [low]) * (m + 1)
-        for j in range(m + 1):
-            now = best[i][j]
-            if now == low:
-                continue
-            if i < n and now - rules.skip_raw > best[i + 1][j]:
-                best[i + 1][j], move[i + 1][j] = now - rules.skip_raw, 8
-            if j < m and now - rules.skip_dialogue > best[i][j + 1]:
-                best[i][j + 1], move[i][j + 1] = now - rules.skip_dialogue, 1
-            if i < n and j in near:
-                for a, x in enumerate(rs[i], 1):
-                    for b, y in enumerate(ds[j], 1):
-                        s = _score(x, y)[0]
-                        if s >= rules.least_score and now + s > best[i + a][j + b]:
-                            best[i + a][j + b], move[i + a][j + b] = now + s, 8 * a + b
+    every = every or math.ceil(math.sqrt(9 * rules.raw_span * n))
+    matches = _Matches(raw, dialogue, rules)
+    rows, saved = _Rows(matches, n, m), []
+    while rows.i < n:
+        if rows.i % every == 0:
+            saved.append(rows.saved())
+        rows.next()
     steps, i, j = [], n, m
-    while (i or j) and move[i][j]:
-        a, b = divmod(move[i][j], 8)
+    first, moves = n + 1, []  # the stretch of rows whose moves are known
+    while i or j:
+        if i < first:
+            k = min(i // every, len(saved) - 1)
+            first = k * every
+            rows.restore(saved[k], j)
+            moves = [rows.next() for _ in range(i - first + 1)]
+        a, b = divmod(int(moves[i - first][j]), 8)
         i, j = i - a, j - b
         step = {"type": "skip_raw" if not b else "skip_dialogue" if not a else "match", "raw_start": i if a else None, "raw_end": i + a - 1 if a else None, "dialogue_start": j if b else None, "dialogue_end": j + b - 1 if b else None}
-        scores = _score(rs[i][a - 1], ds[j][b - 1]) if a and b else (None,) * 5
+        scores = _score(matches.rs[i][a - 1], matches.ds[j][b - 1]) if a and b else (None,) * 5
         steps.append(step | dict(zip(("match_score", "overlap_recall", "overlap_precision", "token_f1", "length_ratio"), scores, strict=True)) | {"is_confident_match": bool(a and b and scores[0] >= rules.confident)})
     return steps[::-1]
 

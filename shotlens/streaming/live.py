@@ -56,22 +56,22 @@ def in_order(rows: DataFrame, key: str, at: str, value: str, late: str, name: st
     still held."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory, waiting = json.loads(state.get[0]) if state.exists else ([], [])
+        memory, waiting, last = json.loads(state.get[0]) if state.exists else ([], [], 0)
         for rows in batches:
             waiting += [[int(t), None if v is None or v != v else str(v)] for t, v in zip(rows["__us"].tolist(), rows[value].tolist(), strict=True)]
         mark = state.getCurrentWatermarkMs()
         due = sorted(x for x in waiting if x[0] <= mark * 1000)
         memory, out = step(memory, [tuple(x) for x in due])
         waiting = sorted(x for x in waiting if x[0] > mark * 1000)
-        if waiting:
-            state.update((json.dumps([memory, waiting]),))
-            state.setTimeoutTimestamp(max(mark + 1, waiting[0][0] // 1000 + 1))
-        elif state.hasTimedOut and not due:
+        last = due[-1][0] if due else last
+        silent = last // 1000 + SILENCE_MS  # when the key's memory goes, unless a row comes
+        if not waiting and silent <= mark:
             out += finish(memory)
-            state.remove()
+            if state.exists:
+                state.remove()
         else:
-            state.update((json.dumps([memory, []]),))
-            state.setTimeoutTimestamp(mark + 1 + SILENCE_MS)
+            state.update((json.dumps([memory, waiting, last]),))
+            state.setTimeoutTimestamp(max(mark + 1, waiting[0][0] // 1000 + 1 if waiting else silent))
         yield pd.DataFrame({key: [k[0]] * len(out), "__us": [t for t, _ in out], name: [v for _, v in out]})
 
     kind = rows.schema[key].dataType.simpleString()
