@@ -251,7 +251,7 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, queries: Column,
 
 def _leaves_for(spark: SparkSession, shared: Broadcast, data: DataFrame, asking: DataFrame, k: int, longest: float, recall: float) -> int:
     """The least number of leaves in the queue's order at which TUNING queries find the share `recall` of the k vectors
-    that a scan of all vectors finds for them."""
+    that a scan of all vectors but their own finds for them."""
     forest: Forest = shared.value
     picked = asking.orderBy(F.xxhash64("id"), "id").limit(TUNING).toArrow()  # TUNING rows
     if not picked.num_rows or forest.depth == 0:
@@ -267,19 +267,19 @@ def _leaves_for(spark: SparkSession, shared: Broadcast, data: DataFrame, asking:
             x = matrix(b, "vec")
             at = shared.value.route(lift(x, longest)).T
             for i, js in enumerate(best_rows(q @ x.T, k + 1)):
-                held[i] += [(float(q[i] @ x[j]), at[j].tolist()) for j in np.flatnonzero(js)]
+                held[i] += [(float(q[i] @ x[j]), at[j].tolist()) for j in np.flatnonzero(js) if not np.array_equal(q[i], x[j])]
                 held[i].sort(reverse=True)
-                del held[i][k + 1 :]
+                del held[i][k:]
         for i, h in enumerate(held):
             if h:
                 yield batch_of(q=pa.array([i] * len(h), pa.int64()), score=pa.array([s for s, _ in h]), leaves=pa.array([x for _, x in h], pa.list_(pa.int64())))
 
     top = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "leaves"))
-    got = map_arrow(data.select("vec"), scan, "q long, score double, leaves array<long>").withColumn("r", top).where(F.col("r") <= k + 1).toArrow().to_pydict()  # TUNING * (k + 1) rows
+    got = map_arrow(data.select("vec"), scan, "q long, score double, leaves array<long>").withColumn("r", top).where(F.col("r") <= k).toArrow().to_pydict()  # TUNING * k rows
     q = np.hstack([q, np.zeros((len(q), 1))])
     q *= longest / np.linalg.norm(q, axis=1, keepdims=True)
     places = [{leaf: n for n, leaf in enumerate(forest.order(v, TREES * forest.leaves))} for v in q]
-    needed = sorted(min(places[i][leaf] for leaf in leaves) + 1 for i, leaves in zip(got["q"], got["leaves"], strict=True))
+    needed = sorted(min(places[i][leaf] for leaf in leaves) + 1 for i, leaves in zip(got["q"], got["leaves"], strict=True)) or [1]
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))])
 
 
