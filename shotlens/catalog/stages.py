@@ -3,11 +3,11 @@ reports, streams with memory, and files written and read again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shotlens.catalog.views import V_BOX, V_FRAME, V_SHOT, boxes, frames, shots, table
-from shotlens.functions.geometry import expected_angle
+from shotlens.functions.angles import bin_angle
 from shotlens.functions.jsonish import parse_candidates
 from shotlens.functions.text import normalize_for_match
 from shotlens.operators.recurrence import carry_choice
@@ -324,7 +324,7 @@ SELECT vec_id, round(radians(m * 4 - 180), 5) AS yaw, CASE WHEN radians(m * 4 -
 def expected_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shotlens.functions.numeric import direction_bucket
 
-    e = table(spark, sf_dir, "embeddings").select("vec_id", expected_angle(F.col("embedding").cast("array<double>")).alias("a"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", bin_angle(F.col("embedding").cast("array<double>")).alias("a"))
     return e.select("vec_id", F.round("a", 5).alias("yaw"), direction_bucket(F.col("a"), 0.20).alias("direction"))
 
 
@@ -424,3 +424,16 @@ def live_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shotlens.streaming.live import live_smoothing
 
     return _in_order(spark, sf_dir, lambda rows: live_smoothing(rows, "stream", "at", "choice", "400 days")).select("stream", "us", "smoothed")
+
+
+# Samples: the 30 dearest orders of each priority; their lines in the order of the line numbers.
+@query("audit_rows", """
+WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders),
+s AS (SELECT *, row_number() OVER (ORDER BY o_orderpriority, r) - 1 AS sample_index FROM r WHERE r <= 30)
+SELECT sample_index, o_orderpriority AS sample_bucket, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY sample_index ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS row_no FROM s JOIN lineitem ON l_orderkey = o_orderkey""")
+def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    few = o.withColumn("r", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("r <= 30")
+    few = few.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("sample_bucket"), (F.row_number().over(Window.orderBy("o_orderpriority", "r")) - 1).cast("long").alias("sample_index"))  # 30 rows a priority
+    out = qa.audit_rows(few, table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"])
+    return out.select("sample_index", "sample_bucket", "l_orderkey", "l_linenumber", "l_partkey", "row_no")

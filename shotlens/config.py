@@ -7,6 +7,10 @@ import json
 from collections.abc import Mapping
 from typing import Any, TypeVar
 
+from pyspark.sql import SparkSession
+
+from shotlens.sources.readers import require
+
 R = TypeVar("R")
 
 
@@ -38,6 +42,15 @@ def parse(text: str) -> dict[str, Any]:
     return dict(got or {})
 
 
+def load(spark: SparkSession, *paths: str) -> dict[str, Any]:
+    """The files' mappings as layers, the first one the weakest; a file that isn't there is an error that names it."""
+    layers = []
+    for path in paths:
+        require(spark, path)
+        layers.append(parse(spark.read.text(path, wholetext=True).head()["value"]))  # one small file
+    return merged(*layers)
+
+
 def rules(kind: type[R], values: Mapping[str, Any]) -> R:
     """A dataclass of rules from values with its fields' names; unknown names are an error."""
     known = {f.name for f in dataclasses.fields(kind)}

@@ -81,13 +81,3 @@ def cosine(a: Column, b: Column) -> Column:
     """Of unit vectors; -1 where one is empty or the sizes differ."""
     return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)), dot(a, b)).otherwise(-1.0)
 
-
-
-
-def expected_angle(logits: Column, step: float = 4.0, least: float = -180.0) -> Column:
-    """Radians of the mean angle under the soft-max of a classifier's logits over angle bins of `step` degrees."""
-    top = F.array_max(logits)
-    weights = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
-    mean = F.aggregate(F.transform(weights, lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x) / total
-    return F.radians(mean * step + least)

@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotlens.functions.geometry import cosine, unit
-from shotlens.operators.similarity import best_match
+from shotlens.operators.similarity import best_match, two_largest
 from shotlens.session import materialise, ship
 
 #: Pivots at most, rings of a pivot's half turn, vectors of one row of a cell, cells that a query reads first; what rounding may add.
@@ -101,29 +101,18 @@ def nearest_two(queries: DataFrame, gallery: DataFrame, query_id: str, vec: str,
         fine = (lambda x: (F.size(F.coalesce("allow", F.array().cast("array<string>"))) == 0) | F.array_contains("allow", x["label"])) if allow else None
         seen = F.filter("g", fine) if fine else F.col("g")
         scored = F.transform(seen, lambda x: F.struct(cosine(F.col("q"), x["v"]).alias("score"), x["proto"].alias("proto"), x["label"].alias("label")))
-        two = to.join(blocks, "cell").select("id", _two(scored).alias("two"), F.size("g").alias("n"))
-        return materialise(spark, two.groupBy("id").agg(_two(F.flatten(F.collect_list("two"))).alias("two"), F.sum("n").alias("visited")), name)
+        two = to.join(blocks, "cell").select("id", two_largest(scored).alias("two"), F.size("g").alias("n"))
+        return materialise(spark, two.groupBy("id").agg(two_largest(F.flatten(F.collect_list("two"))).alias("two"), F.sum("n").alias("visited")), name)
 
     begun = visit(q, True, "first-visits")
     second = F.coalesce(F.try_element_at("two", F.lit(2))["score"], F.lit(-1.0)).alias("second")
     rest = visit(q.join(begun.select("id", second), "id"), False, "further-visits")
-    both = begun.unionByName(rest).groupBy("id").agg(_two(F.flatten(F.collect_list("two"))).alias("two"), F.sum("visited").alias("visited"))
+    both = begun.unionByName(rest).groupBy("id").agg(two_largest(F.flatten(F.collect_list("two"))).alias("two"), F.sum("visited").alias("visited"))
     out = _verdict(both, query_id, label, threshold, margin)
     other = best_match(queries.where(~F.coalesce(fits, F.lit(False))), gallery, query_id, vec, proto_id, label, threshold, margin, allow)
     return out.unionByName(other.withColumn("visited", F.lit(shape["n"]).cast("long")))
 
 
-def _two(items: Column) -> Column:
-    """The two largest of an array of structs, by two maxima; of repeated ones both."""
-
-    def after(a: Column) -> Column:
-        top = F.array_max(a)
-        again = F.when(F.size(F.filter(a, lambda x: x == top)) > 1, top)
-        return F.array_compact(F.array(top, F.coalesce(again, F.array_max(F.filter(a, lambda x: x < top)))))
-
-    return F.transform(F.array(items), after)[0]
-
-
 def _verdict(found: DataFrame, query_id: str, label: str, threshold: float, margin: float) -> DataFrame:
     top, second = F.try_element_at("two", F.lit(1)), F.try_element_at("two", F.lit(2))
     out = found.select(F.col("id").alias(query_id), F.coalesce(top["score"], F.lit(-1.0)).alias("top_score"), F.coalesce(second["score"], F.lit(-1.0)).alias("second_score"), top["proto"].alias("__p"), top["label"].alias("__l"), "visited")

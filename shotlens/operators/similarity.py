@@ -68,6 +68,17 @@ def mean_unit(df: DataFrame, keys: Sequence[str], vec: str, order: Sequence[Colu
     return parts.groupBy(*keys).agg(unit(F.transform(F.sort_array(F.collect_list(F.struct("__d", "__m"))), lambda x: x["__m"])).alias(name), F.max("__n").alias("crop_count"))
 
 
+def two_largest(items: Column) -> Column:
+    """The two largest of an array of structs, by two maxima; of repeated ones both."""
+
+    def after(a: Column) -> Column:
+        top = F.array_max(a)
+        again = F.when(F.size(F.filter(a, lambda x: x == top)) > 1, top)
+        return F.array_compact(F.array(top, F.coalesce(again, F.array_max(F.filter(a, lambda x: x < top)))))
+
+    return F.transform(F.array(items), after)[0]
+
+
 def _scored_type(gallery: DataFrame, proto_id: str, label: str) -> str:
     return f"array<struct<score:double,proto:{gallery.schema[proto_id].dataType.simpleString()},label:{gallery.schema[label].dataType.simpleString()}>>"
 
@@ -93,9 +104,9 @@ def best_match(queries: DataFrame, gallery: DataFrame, query_id: str, vec: str,
     q = queries.withColumn("__q", unit(F.col(vec))).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     q = q if small else q.withColumn("__copy", F.pmod(F.xxhash64(query_id), F.lit(COPIES)).cast("int"))
     ok = (lambda x: (F.size(F.coalesce(F.col(allow), F.array().cast("array<string>"))) == 0) | F.array_contains(F.col(allow), x["label"])) if allow else (lambda x: F.lit(True))
-    scored = F.sort_array(F.transform(F.filter("__g", ok), lambda x: F.struct(cosine(F.col("__q"), x["v"]).alias("score"), x["proto"].alias("proto"), x["label"].alias("label"))), asc=False)
-    pairs = q.join(blocks, ["__part"] if small else ["__part", "__copy"], "left").withColumn("__s", F.slice(F.coalesce(scored, F.array().cast(_scored_type(gallery, proto_id, label))), 1, 2))
-    merged = pairs.groupBy(query_id).agg(F.slice(F.sort_array(F.flatten(F.collect_list("__s")), asc=False), 1, 2).alias("__s"))
+    scored = F.transform(F.filter("__g", ok), lambda x: F.struct(cosine(F.col("__q"), x["v"]).alias("score"), x["proto"].alias("proto"), x["label"].alias("label")))
+    pairs = q.join(blocks, ["__part"] if small else ["__part", "__copy"], "left").withColumn("__s", two_largest(F.coalesce(scored, F.array().cast(_scored_type(gallery, proto_id, label)))))
+    merged = pairs.groupBy(query_id).agg(two_largest(F.flatten(F.collect_list("__s"))).alias("__s"))
     top, second = F.try_element_at("__s", F.lit(1)), F.try_element_at("__s", F.lit(2))
     out = merged.select(query_id, F.coalesce(top["score"], F.lit(-1.0)).alias("top_score"), F.coalesce(second["score"], F.lit(-1.0)).alias("second_score"), top["proto"].alias("__p"), top["label"].alias("__l"))
     out = out.withColumn("margin", F.when(F.col("__p").isNull(), 0.0).otherwise(F.col("top_score") - F.col("second_score")))

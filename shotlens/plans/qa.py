@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotlens.operators.sampling import bucket_sample, quotas
@@ -80,6 +80,15 @@ def evidence_rows(samples: DataFrame, evidence: DataFrame, keys: Sequence[str],
     return samples.join(first.select(*keys, "__row.*"), list(keys), "left")
 
 
+def audit_rows(samples: DataFrame, related: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows of a related table (candidates, boxes of a track) that belong to each sample, with its sample_index and
+    sample_bucket and `row_no`, their place (from 0) in the sample in `order`; a row of several samples is there for each.
+    Samples without such rows have none."""
+    few = samples.select(*keys, "sample_index", "sample_bucket")
+    place = F.row_number().over(Window.partitionBy("sample_index").orderBy(*order)) - 1
+    return related.join(few, list(keys)).withColumn("row_no", place.cast("long"))
+
+
 def evidence_summary(rows: DataFrame, groups: Sequence[str], seen: str, agrees: Column, quota: int) -> DataFrame:
     """For each group: samples, those with evidence in `seen`, those that agree, those without, and how many the quota lacks."""
     return rows.groupBy(*groups).agg(F.count("*").alias("samples"), F.count(seen).alias("reviewed"), F.count_if(agrees).alias("agree"), F.count_if(F.col(seen).isNull()).alias("missing"), F.greatest(F.lit(0).cast("long"), quota - F.count(seen)).alias("shortfall"))

@@ -63,8 +63,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return fs.makeQualified(path).toString()
 
 
-def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def materialise(spark: SparkSession, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, outlives any executor."""
     to = shared_dir(spark, name)
-    df.write.parquet(to)
+    df.write.parquet(to, compression=compression)
     return spark.read.schema(df.schema).parquet(to)

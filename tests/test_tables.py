@@ -167,3 +167,19 @@ def test_checked_json_in_ranges_of_bytes(spark, tmp_path):
     assert spark.read.format("checked_json").schema("a long").option("pathGlobFilter", "*.none").load(str(tmp_path)).count() == 0
     with pytest.raises(Exception, match="needs a schema"):
         spark.read.format("checked_json").load(str(tmp_path)).collect()
+
+
+def test_audit_rows_and_config_files(spark, tmp_path):
+    from shotlens.config import load, rules
+    from shotlens.plans.qa import audit_rows
+
+    samples = spark.createDataFrame([("s", 1, 0, "low"), ("s", 2, 1, "high"), ("s", 1, 2, "high"), ("t", 9, 3, "low")], "seq string, k int, sample_index int, sample_bucket string")
+    rows = spark.createDataFrame([("s", 1, 5, "b"), ("s", 1, 4, "a"), ("s", 2, 1, "c"), ("x", 1, 1, "d")], "seq string, k int, ord int, v string")
+    got = sorted((r["sample_index"], r["row_no"], r["v"], r["sample_bucket"]) for r in audit_rows(samples, rows, ["seq", "k"], ["ord"]).collect())
+    assert got == [(0, 0, "a", "low"), (0, 1, "b", "low"), (1, 0, "c", "high"), (2, 0, "a", "high"), (2, 1, "b", "high")]
+    (tmp_path / "base.json").write_text('{"bins": {"width": 0.5, "digits": 4}, "name": "x"}')
+    (tmp_path / "run.json").write_text('{"bins": {"width": 1.0}, "name": null}')
+    values = load(spark, f"{tmp_path}/base.json", f"{tmp_path}/run.json")
+    assert values == {"bins": {"width": 1.0, "digits": 4}, "name": "x"} and rules(BinRules, values["bins"]) == BinRules(width=1.0, digits=4)
+    with pytest.raises(FileNotFoundError, match="none.json"):
+        load(spark, f"{tmp_path}/none.json")
