@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shotlens.operators.alignment import AlignmentRules
 from shotlens.plans import candidates, context, identity, llm, manifest, targets, tracks
 from shotlens.providers import TextModel
-from shotlens.session import materialise
+from shotlens.session import bucketed, materialise
 from shotlens.sources.readers import typed_context
 from shotlens.sources.writers import write_parquet
 
@@ -66,9 +66,11 @@ def video_run(shots: DataFrame, frames: DataFrame, boxes: DataFrame, identities:
     manifest.must_match(frames, shots, ["sequence_id", "shot_id"])
     kept = manifest.allowed_only(frames, wanted, ["sequence_id", "shot_id"])
     spark = shots.sparkSession
-    bins = materialise(spark, tracks.time_bins(kept, ["sequence_id", "shot_id", "shot_idx", "local_track_id"], tracks.shot_time(kept, "timestamp_sec", start=""), run.bins), "bins")
-    cands = materialise(spark, targets.candidates(bins, boxes, identities, wanted, run.targets), "target-candidates")
-    assigned = materialise(spark, targets.assignments(bins, cands, identities, wanted, run.targets), "assignments")
+    # stage tables lie in buckets of a track, so that the joins of the later stages leave them where they are
+    track = ["shot_id", "local_track_id"]
+    bins = bucketed(spark, tracks.time_bins(kept, ["sequence_id", "shot_id", "shot_idx", "local_track_id"], tracks.shot_time(kept, "timestamp_sec", start=""), run.bins), "bins", track)
+    cands = bucketed(spark, targets.candidates(bins, boxes, identities, wanted, run.targets), "target-candidates", track)
+    assigned = bucketed(spark, targets.assignments(bins, cands, identities, wanted, run.targets), "assignments", track)
     final = targets.final_table(bins, identities, assigned, wanted, boxes, cands)
     return {"bins": bins, "target_candidates": cands, "assignments": assigned, "final": final, "sequences": targets.sequence_report(assigned)}
 

@@ -203,7 +203,8 @@ def final_table(bins: DataFrame, identities: DataFrame, assigned: DataFrame, sho
     c = cands.groupBy(*key).agg(F.count("*").alias("c_count"), kinds.alias("c_kinds"), F.to_json(F.sort_array(F.collect_list(F.struct("candidate_type", "candidate_id", "candidate_global_person_id", "candidate_cast_pid", "candidate_side", "total_score")))).alias("c_list"))
     t = tracks.groupBy("shot_id", "local_track_id").agg(F.bround(F.avg("track_conf"), 6).alias("t_conf"))
     m = shots.select("shot_id", "stage_type").dropDuplicates(["shot_id"])
-    j = bins.join(who, ["shot_id", "local_track_id"], "left").join(a, key, "left").join(m, "shot_id", "left").join(t, ["shot_id", "local_track_id"], "left").join(c, key, "left")
+    # tables that are dealt by the track meet first; the shots' stages, a row a shot, come last
+    j = bins.join(a, key, "left").join(c, key, "left").join(who, ["shot_id", "local_track_id"], "left").join(t, ["shot_id", "local_track_id"], "left").join(m, "shot_id", "left")
     text = lambda x, y: F.coalesce(F.nullif(x, F.lit("")), y, F.lit(""))
     given = lambda n, d: F.when(F.col("__a").isNull(), F.lit(d)).otherwise(F.col(f"a_{n}")).alias(n)
     has = lambda *k: F.coalesce(F.arrays_overlap("c_kinds", F.array(*(F.lit(x) for x in k))), F.lit(False)).cast("int")

@@ -128,3 +128,29 @@ def test_tracker_against_brute_force(spark):
     df = spark.createDataFrame(rows, "shot int, frame int, x1 double, y1 double, x2 double, y2 double, conf double, id int")
     got = {r["id"]: r["local_track_id"] for r in track_boxes(df, ["shot"], "frame", ["x1", "y1", "x2", "y2"], "conf", "id", 640, 360, rules).collect()}
     assert got == want and len(set(want.values())) > 10
+
+
+def test_stage_tables_meet_without_an_exchange(spark):
+    """In the final table only what comes from outside is dealt anew: identities, tracks, shots, and the result to meet these."""
+    from shotlens.plans import targets
+    from shotlens.session import CO_PARTITION, bucketed
+
+    track = ["shot_id", "local_track_id"]
+    bins = spark.range(40).selectExpr("'q' AS sequence_id", "concat('s', id % 5) AS shot_id", "1 AS shot_idx", "concat('trk_', id % 2) AS local_track_id", "id AS bin_idx", "id / 2.0 AS bin_start_sec", "id / 2.0 + 0.5 AS bin_end_sec", "'gaze_reliable' AS gaze_quality", "0.0D AS gaze_angle_x_mean", "0.0D AS gaze_angle_y_mean", "0.0D AS pose_Ry_mean", "1.0D AS valid_ratio", "0.9D AS confidence_mean")
+    tracks = spark.createDataFrame([(f"s{i}", f"trk_{k}", 0.1, 10.0 + 90 * k, 0.9) for i in range(5) for k in range(2)], "shot_id string, local_track_id string, timestamp_sec double, bbox_cx double, track_conf double")
+    ids = spark.createDataFrame([("s1", "trk_0", "g", "p", "", "", 0.9, "linked_pid", 0.8)], "shot_id string, local_track_id string, global_person_id string, cast_pid string, character_name string, cast_name string, identity_confidence double, identity_status string, track_conf double")
+    shots = spark.createDataFrame([("q", f"s{i}", 1, "two_person_dialogue_simple", ["A"], ["A", "B"]) for i in range(5)], "sequence_id string, shot_id string, shot_idx int, stage_type string, aligned_speakers array<string>, active_speakers array<string>")
+    plain = targets.candidates(bins, tracks, ids, shots)
+    b, c = bucketed(spark, bins, "bins", track), bucketed(spark, plain, "cands", track)
+    a = bucketed(spark, targets.assignments(b, c, ids, shots), "assigned", track)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", CO_PARTITION)}
+    try:
+        for k, v in zip(before, ("false", "-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        final = targets.final_table(b, ids, a, shots, tracks, c)
+        plan = final._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 4, plan
+        assert sorted(map(repr, final.collect())) == sorted(map(repr, targets.final_table(bins, ids, a.select("*"), shots, tracks, plain).collect())) and final.count() == 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
