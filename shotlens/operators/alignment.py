@@ -146,7 +146,8 @@ def align_spans(raw: list[str], dialogue: list[str], rules: AlignmentRules = Ali
     A cell keeps the first move that reaches its best sum; moves are tried in the order skip_raw, skip_dialogue, spans.
     Spans are of at most 7 segments. Moves are not kept for all cells: the open rows are saved at every `every`-th row, and
     on the way back one stretch of rows at a time is computed again, up to the column that the path has reached. With n raw
-    and m dialogue segments that takes about 12 m sqrt(raw_span n) bytes: 270 MB for 50,000 of each."""
+    and m dialogue segments that takes about 6 m sqrt(raw_span n) bytes, and the spans' words some 5 KB a segment; measured
+    for 20,000 of each: 250 MB and 107 s."""
     if not 1 <= min(rules.raw_span, rules.dialogue_span) <= max(rules.raw_span, rules.dialogue_span) <= 7:
         raise ValueError("spans are of 1 to 7 segments")
     n, m = len(raw), len(dialogue)
