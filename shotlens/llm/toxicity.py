@@ -8,7 +8,6 @@ of the telling terms still has neighbours, by all its other terms.
 
 from __future__ import annotations
 
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,7 +33,7 @@ NEIGHBOURS, BLOCK, FIRST = 15, 128, 2
 #: What keeps the weight of a neighbour at distance 0 finite, votes of the base rate.
 NEAR, PRIOR = 0.05, 0.5
 PREFIXES = (5,)
-THRESHOLD, CACHE = 0.7, 120_000
+THRESHOLD, CACHE = 0.7, 300_000
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -112,8 +111,7 @@ class Model:
     steps: np.ndarray = field(default_factory=lambda: np.array([-np.inf]))  # votes at which the calibrated score changes
     values: np.ndarray = field(default_factory=lambda: np.array([0.0]))
 
-    def vector(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        terms, tf = np.unique(numbers, return_counts=True)
+    def vector(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(tf)) * self.factor[terms]
         return terms, w / np.sqrt((w * w).sum()) if len(terms) else w
 
@@ -145,29 +143,29 @@ def calibrate(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Terms:
-    """Numbers of a text's terms; pieces between white space are kept in a cache of bounded size."""
+    """Numbers of a text's terms, as int32; pieces between white space are kept in a cache of bounded size."""
 
     def __init__(self, term_no: dict[str, int]):
-        self.no = term_no
+        coded = zip(term_no, np.array(list(term_no.values()), np.int32).reshape(-1, 1), strict=True)
+        self.no = {t: n.tobytes() for t, n in coded}
+        self.begins = {t[:-1]: n for t, n in self.no.items() if t[-1] == "-"}
         self.cache: dict[bytes, bytes] = {}
 
     def of(self, text: bytes) -> np.ndarray:
         cache, words = self.cache, text.split()
         trim(cache, CACHE)
-        try:
-            parts = [cache[w] for w in words]
-        except KeyError:
-            get = self.no.get
-            for w in set(words):
-                if w in cache:
-                    continue
-                bare = w.rstrip(b".,;:!?").decode("utf-8", "replace").lower()
-                # one word, as most pieces are, has its terms at once
-                terms = (bare, *(bare[:n] + "-" for n in PREFIXES if len(bare) > n)) if bare.isalpha() else terms_of(w.decode("utf-8", "replace"))
-                found = [n for t in terms if (n := get(t)) is not None]
-                cache[w] = array("i", found).tobytes() if found else b""
-            parts = [cache[w] for w in words]
-        return np.frombuffer(b"".join(parts), np.int32)
+        word, begin = self.no.get, self.begins.get
+        for w in set(words).difference(cache):
+            bare = w.rstrip(b".,;:!?").decode("utf-8", "replace").lower()
+            if not bare.isalpha():
+                cache[w] = b"".join([word(t, b"") for t in terms_of(w.decode("utf-8", "replace"))])
+                continue
+            found = word(bare, b"")  # one word, as most pieces are, has its terms at once
+            for n in PREFIXES:
+                if len(bare) > n:
+                    found += begin(bare[:n], b"")
+            cache[w] = found
+        return np.frombuffer(b"".join(map(cache.__getitem__, words)), np.int32)
 
 
 def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -177,8 +175,26 @@ def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarr
     return np.maximum(0, 2 * (part(a, e1) + part(b, e0) + part(n1 - a, n1 - e1) + part(n0 - b, n0 - e0)))
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Index at most `sample_docs` labelled documents (those where `train` holds; an id with several labels counts as 1 if
+def terms_and_counts(finder: Terms, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The terms of each text, rising, and how often each is in it."""
+    found = [np.unique(finder.of(t), return_counts=True) for t in texts]
+    return [f[0] for f in found], [f[1] for f in found]
+
+
+def packed(parts: list[np.ndarray]) -> pa.Array:
+    """Each array as the bytes of its int32: far less work for Spark than lists of numbers."""
+    return pa.array([p.astype(np.int32).tobytes() for p in parts], pa.binary())
+
+
+def unpacked(b: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int32) for x in b.column(b.schema.get_field_index(name)).to_pylist()]
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, keep: tuple[str, ...] = ()) -> tuple[Model, DataFrame | None]:
+    """The model, and the documents as rows of their terms (id, the columns in `keep`, __terms, __counts, and __sums, which marks
+    rows that sum up a task), by which score_counted scores them without taking their texts apart again. None without a label.
+
+    Index at most `sample_docs` labelled documents (those where `train` holds; an id with several labels counts as 1 if
     any is; of equal texts with one label one stays), in the order of a hash until their whole texts come to
     `sample_chars` characters. All of their terms count; document frequencies for the IDF are counted over all documents."""
     prepared(spark)
@@ -212,19 +228,37 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column,
     base = (n1 + 0.5) / (n1 + n0 + 1)
     no = {t: i for i, t in enumerate(every[1:])}
     if not n1 or not n0 or not no:
-        return Model({}, np.empty(0), None, base, base, values=np.array([base]))
+        return Model({}, np.empty(0), None, base, base, values=np.array([base])), None
     vocabulary = spark.sparkContext.broadcast(no)
 
+    base_rows = docs.select(F.col(id_col), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    kept = [f for f in base_rows.schema if f.name != "__text"]
+
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, df, n = Terms(vocabulary.value), np.zeros(len(vocabulary.value), np.int64), 0
+        """Each row with its terms; last, for the whole task, the number of rows (as that of term -1) and of rows with each term."""
+        finder, df, n, kinds = Terms(vocabulary.value), np.zeros(len(vocabulary.value), np.int64), 0, None
+        for b in batches:
+            terms, tf = terms_and_counts(finder, column_bytes(b, "__text"))
+            for t in terms:
+                df[t] += 1
+            n += len(terms)
+            own = [(x.name, b.column(i)) for i, x in enumerate(b.schema) if x.name != "__text"]
+            kinds = {name: col.type for name, col in own}
+            yield batch_of(**dict(own), __terms=packed(terms), __counts=packed(tf), __sums=pa.array([False] * len(terms)))
+        if n:
+            hit = np.flatnonzero(df)
+            yield batch_of(**{name: pa.nulls(1, kind) for name, kind in kinds.items()}, __terms=packed([np.concatenate([[-1], hit])]), __counts=packed([np.concatenate([[n], df[hit]])]), __sums=pa.array([True]))
+
+    rows_of = map_arrow(base_rows, frequencies, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", __terms binary, __counts binary, __sums boolean")
+    rows_of = materialise(spark, rows_of, "terms", compression="zstd")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text in column_bytes(b, "text"):
-                df[finder.of(text)] += 1  # once for each term, however often it is there
-                n += 1
-        hit = np.flatnonzero(df)
-        yield batch_of(term=pa.array(np.concatenate([[-1], hit]), pa.int32()), n=pa.array(np.concatenate([[n], df[hit]]), pa.int64()))
+            for t, n in zip(unpacked(b, "__terms"), unpacked(b, "__counts"), strict=True):
+                yield batch_of(term=pa.array(t, pa.int32()), n=pa.array(n.astype(np.int64)))
 
-    got = map_arrow(texts.select("text"), frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the examples
+    per_task = map_arrow(rows_of.where("__sums").select("__terms", "__counts"), sums, "term int, n long")
+    got = per_task.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the examples
     df = np.zeros(len(no) + 1)
     df[got.column("term").to_numpy()] = got.column("n").to_numpy()  # the last place has the number of documents
     telling = likelihood_ratio(a[1:], b[1:], n1, n0) / (2 * np.log(len(no) / CHANCE))
@@ -238,7 +272,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column,
     rows = map_arrow(examples, numbers, f"id {kind}, y int, terms array<int>").toArrow()  # the examples
     model = Model(no, factor, None, base, base)
     ids, y = rows.column("id").to_pylist(), rows.column("y").to_numpy().astype(float)
-    found = [model.vector(np.asarray(t.values)) for t in rows.column("terms")]
+    found = [model.vector(*np.unique(np.asarray(t.values), return_counts=True)) for t in rows.column("terms")]
     some = [i for i, v in enumerate(found) if len(v[0])]
     empty = [i for i, v in enumerate(found) if not len(v[0])]
     model.none = (y[empty].sum() + 0.5) / (len(empty) + 1) if empty else base
@@ -256,7 +290,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column,
 
     votes = map_arrow(spark.range(len(model.index.ids)), left_out, "at long, votes double").toArrow().sort_by("at")  # the examples
     model.steps, model.values = calibrate(votes.column("votes").to_numpy(), model.index.labels)
-    return model
+    for done in (vocabulary, shared):  # every table that was made with them is written or collected
+        done.destroy()
+    return model, rows_of
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -268,30 +304,57 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model, id_col:
     """
     prepared(spark)
     shared: Broadcast = spark.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__text"), f"score double, predicted int, neighbours array<struct<id:{kind},cosine:double,label:int>>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         finder = Terms(m.term_no)
         for b in batches:
-            scores, at, cos = [], [], []
-            for text in column_bytes(b, "__text"):
-                numbers = finder.of(text) if m.index else ()
-                votes, a, c = m.votes(*m.vector(numbers)) if len(numbers) else (0.0, np.empty(0, int), np.empty(0))
-                scores.append(m.score(votes) if len(numbers) else m.none)
-                at.append(a)
-                cos.append(c)
-            every = np.concatenate([*at, np.empty(0, int)])
-            ids = [m.index.ids[i] for i in every] if m.index else []
-            near = pa.StructArray.from_arrays([pa.array(ids, b.column(0).type), pa.array(np.concatenate([*cos, np.empty(0)])), pa.array(m.index.labels[every] if m.index else [], pa.int32())], names=["id", "cosine", "label"])
-            cols = [b.column(i) for i, n in enumerate(b.schema.names) if n != "__text"]
-            scores = np.array(scores, float)
-            cols += [pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, at)]), pa.int32()), near)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*(n for n in b.schema.names if n != "__text"), "score", "predicted", "neighbours"])
-
-    return map_arrow(base, run, schema)
+            texts = column_bytes(b, "__text")
+            yield _scored(m, b, ("__text",), *(terms_and_counts(finder, texts) if m.index else ([np.empty(0, int)] * len(texts),) * 2), threshold)
+
+    return map_arrow(base, run, _scored_schema(base, ("__text",), id_col))
+
+
+def score_counted(spark: SparkSession, rows: DataFrame, model: Model, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """What score_documents gives, for the rows of terms that fit has made of the same documents."""
+    prepared(spark)
+    shared: Broadcast = spark.sparkContext.broadcast(model)
+    taken = ("__terms", "__counts", "__sums")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _scored(shared.value, b, taken, unpacked(b, "__terms"), unpacked(b, "__counts"), threshold)
+
+    rows = rows.where("NOT __sums")
+    return map_arrow(rows, run, _scored_schema(rows, taken, id_col))
+
+
+def _scored_schema(rows: DataFrame, without: tuple[str, ...], id_col: str) -> str:
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in without]
+    return ", ".join([*kept, f"score double, predicted int, neighbours array<struct<id:{rows.schema[id_col].dataType.simpleString()},cosine:double,label:int>>"])
+
+
+def _scored(m: Model, b: pa.RecordBatch, without: tuple[str, ...], terms: list[np.ndarray], tf: list[np.ndarray], threshold: float) -> pa.RecordBatch:
+    """A batch (id first) with score, predicted and neighbours in place of the columns `without`."""
+    scores, at, cos = [], [], []
+    for t, n in zip(terms, tf, strict=True):
+        votes, a, c = m.votes(*m.vector(t, n)) if len(t) else (0.0, np.empty(0, int), np.empty(0))
+        scores.append(m.score(votes) if len(t) else m.none)
+        at.append(a)
+        cos.append(c)
+    every = np.concatenate([*at, np.empty(0, int)])
+    ids = [m.index.ids[i] for i in every] if m.index else []
+    near = pa.StructArray.from_arrays([pa.array(ids, b.column(0).type), pa.array(np.concatenate([*cos, np.empty(0)])), pa.array(m.index.labels[every] if m.index else [], pa.int32())], names=["id", "cosine", "label"])
+    kept = {x.name: b.column(i) for i, x in enumerate(b.schema) if x.name not in without}
+    scores = np.array(scores, float)
+    return batch_of(**kept, score=pa.array(scores), predicted=pa.array((scores >= threshold).astype(np.int32)), neighbours=pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, at)]), pa.int32()), near))
+
+
+def score_corpus(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Fit on the labelled ones of the documents and score them all (see fit and score_documents)."""
+    model, rows = fit(spark, docs, labels, train, id_col, text_col, keep=keep)
+    return score_documents(spark, docs, model, id_col, text_col, threshold, keep) if rows is None else score_counted(spark, rows, model, id_col, threshold)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -299,6 +362,4 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = fit(spark, docs, table(spark, sf_dir, "labels"), ~held_out())
-    return score_documents(spark, docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", "neighbours")
+    return score_corpus(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out()).select("doc_id", held_out().alias("held_out"), "score", "predicted", "neighbours")

@@ -149,15 +149,19 @@ def test_toxicity_finds_marked_documents(spark, corpus, no_rows):
         rows.append((i, " ".join(words)))
         labels.append((i, y))
     docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*labels, (3, None), (None, 1)], "doc_id long, toxic int")
-    model = toxicity.fit(spark, docs, lab, ~toxicity.held_out())
+    model, counted = toxicity.fit(spark, docs, lab, ~toxicity.held_out())
     out = toxicity.score_documents(spark, docs, model).toPandas().set_index("doc_id")
     y = pd.Series(dict(labels))
     assert (out.predicted[y.index] == y).mean() > 0.99 and out.score.between(0, 1).all()
     odd = toxicity.score_documents(spark, corpus, model).collect()
     assert len(odd) == corpus.count() and not any(r["predicted"] for r in odd)
-    none = toxicity.fit(spark, docs, no_rows, F.lit(True))
-    assert none.index is None and toxicity.score_documents(spark, docs, none).where("predicted = 1").count() == 0
+    none, nothing = toxicity.fit(spark, docs, no_rows, F.lit(True))
+    assert none.index is None and nothing is None and toxicity.score_documents(spark, docs, none).where("predicted = 1").count() == 0
     assert toxicity.score_documents(spark, no_rows, model).count() == 0
+    kept = toxicity.score_corpus(spark, corpus, spark.createDataFrame([(4, 1), (5, 0)], "doc_id long, toxic int"), F.lit(True), keep=("rank", "text", "component_id"))
+    assert sorted(map(repr, kept.select("doc_id", "rank", "text", "component_id").collect())) == sorted(map(repr, corpus.select("doc_id", "rank", "text", "component_id").collect()))
+    clash = corpus.withColumnRenamed("component_id", "predicted_by")
+    assert toxicity.score_corpus(spark, clash.limit(0), no_rows, F.lit(True)).count() == 0
 
 
 def test_toxicity_against_brute_force(spark):
@@ -172,7 +176,7 @@ def test_toxicity_against_brute_force(spark):
     rows += [(f"e{k}", rows[0][1]) for k in range(20)] + [("f", rows[7][1] + " " + word()), ("g", ""), ("h", None)]
     labels += [(f"e{k}", 1) for k in range(20)]
     docs, lab = spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(labels, "doc_id string, toxic int")
-    model = toxicity.fit(spark, docs, lab, F.lit(True), sample_docs=500)
+    model, counted = toxicity.fit(spark, docs, lab, F.lit(True), sample_docs=500)
     texts, examples = dict(rows), {}
     for i, y in labels:
         examples.setdefault((texts[i], y), (i, y))
@@ -188,6 +192,7 @@ def test_toxicity_against_brute_force(spark):
         return {t: x / n for t, x in v.items()}
 
     held = {r["doc_id"]: r for r in toxicity.score_documents(spark, docs, model).collect()}
+    assert sorted(map(repr, toxicity.score_counted(spark, counted, model).collect())) == sorted(map(repr, held.values()))
     ex = [(k, y, vector(texts[k])) for k, y in zip(model.index.ids, model.index.labels, strict=True)]
     assert len(ex) == len(examples)
     for i, text in rows:
@@ -205,7 +210,7 @@ def test_toxicity_against_brute_force(spark):
         votes = (w @ np.array([n["label"] for n in near]) + toxicity.PRIOR * model.base) / (w.sum() + toxicity.PRIOR)
         assert abs(held[i]["score"] - model.score(votes)) < 1e-9
     assert held["f"]["neighbours"][0]["id"] == "d007" and held["f"]["neighbours"][0]["cosine"] > 0.9  # copied rare wording
-    bounded = toxicity.fit(spark, docs, lab, F.lit(True), sample_docs=500, sample_chars=3000)
+    bounded, _ = toxicity.fit(spark, docs, lab, F.lit(True), sample_docs=500, sample_chars=3000)
     assert 0 < sum(len(texts[i]) for i in bounded.index.ids) <= 3000
 
 
