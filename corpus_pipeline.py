@@ -21,8 +21,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the labelled examples don't predict to be toxic. Clean, empty and null texts stay."""
-    model = toxicity.fit(spark, docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
-    return toxicity.score_documents(spark, docs, model, keep=COLUMNS[1:]).where("predicted = 0").select(*COLUMNS)
+    scored = toxicity.score_corpus(spark, docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(), keep=COLUMNS[1:])
+    return scored.where("predicted = 0").select(*COLUMNS)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
