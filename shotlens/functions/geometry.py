@@ -72,9 +72,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """A vector of length 1; empty for a null, empty or zero vector."""
-    n = F.sqrt(dot(v, v))
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.array().cast("array<double>"))
+    """A vector of length 1; empty for a null, empty or zero vector. The vector and its length are bound as items of arrays
+    of one, or they would be computed again for every component."""
+    scaled = lambda a, n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.array().cast("array<double>"))
+    return F.transform(F.array(v), lambda a: F.transform(F.array(F.sqrt(dot(a, a))), lambda n: scaled(a, n))[0])[0]
 
 
 def cosine(a: Column, b: Column) -> Column:
