@@ -32,8 +32,8 @@ class LiveTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms long, rank double, box_id long", f"frame long, conf double, {SIDES}")
-        self.live = handle.getMapState("live", "track int", f"frame long, ms long, {SIDES}, track_len long, conf_sum double, conf_n long")
+        self.waiting = handle.getListState("waiting", f"ms long, rank double, box_id long, frame long, conf double, {SIDES}")
+        self.live = handle.getListState("live", f"track int, frame long, ms long, {SIDES}, track_len long, conf_sum double, conf_n long")
         self.seen = handle.getValueState("seen", "tracks int, upto long")
 
     def _ends(self, ms: int) -> int:
@@ -41,41 +41,49 @@ class LiveTracker(StatefulProcessor):
         return ms + (self.rules.max_gap + 1) * self.frame_ms + 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = set()
+        # Each call of the state is a message to the JVM: one for all rows of a batch, and a timer for the first frame only.
+        new = []
         for part in rows:
-            for ms, frame, box_id, x1, y1, x2, y2, conf in part[["ms", "frame", "box_id", "x1", "y1", "x2", "y2", "conf"]].itertuples(index=False, name=None):
+            for ms, frame, box_id, x1, y1, x2, y2, conf in zip(*(part[c].tolist() for c in ("ms", "frame", "box_id", "x1", "y1", "x2", "y2", "conf")), strict=True):
                 known = conf is not None and conf == conf
-                self.waiting.updateValue((int(ms), -float(conf) if known else float("inf"), int(box_id)), (int(frame), float(conf) if known else None, float(x1), float(y1), float(x2), float(y2)))
-                times.add(int(ms))
-        for ms in times:
-            self.handle.registerTimer(ms)
+                new.append((int(ms), -float(conf) if known else float("inf"), int(box_id), int(frame), float(conf) if known else None, float(x1), float(y1), float(x2), float(y2)))
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(x[0] for x in new))
         yield self._rows(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        made, upto = self.seen.get() if self.seen.exists() else (0, -1)
+        made, upto = self.seen.get() or (0, -1)
         if upto >= mark:  # an earlier timer of this batch has done it all
             yield self._rows(key, [])
             return
-        due = sorted((k, v) for k, v in self.waiting.iterator() if k[0] <= mark)
-        tracks = {k[0]: list(v) for k, v in self.live.iterator()}
+        boxes = {tuple(x[:3]): tuple(x[3:]) for x in self.waiting.get()}
+        due = sorted((k, v) for k, v in boxes.items() if k[0] <= mark)
+        rest = [(*k, *v) for k, v in boxes.items() if k[0] > mark]
+        tracks = {x[0]: list(x[1:]) for x in self.live.get()}
         tracker = Tracker(self.rules, self.width, self.height)
         tracker.tracks, tracker.live = made, {no: (t[0], tuple(t[2:6])) for no, t in sorted(tracks.items())}
         out = []
-        for (ms, rank, box_id), (frame, conf, *box) in due:
+        for (ms, _, box_id), (frame, conf, *box) in due:
             no = tracker.add(frame, tuple(box))
             before = tracks.get(no, [None] * 6 + [0, 0.0, 0])
             tracks[no] = [frame, ms, *box, before[6] + 1, before[7] + (conf or 0.0), before[8] + (conf is not None)]
             out.append((frame, box_id, no, None, None))
-            self.waiting.removeKey((ms, rank, box_id))
+        kept = []
         for no, t in sorted(tracks.items()):
             if no not in tracker.live or self._ends(t[1]) <= mark:
                 out.append((None, None, no, t[6], t[7] / t[8] if t[8] else None))
-                if self.live.containsKey((no,)):
-                    self.live.removeKey((no,))
             else:
-                self.live.updateValue((no,), tuple(t))
-                self.handle.registerTimer(self._ends(t[1]))
+                kept.append((no, *t))
+        for state, now in ((self.waiting, rest), (self.live, kept)):
+            if now:
+                state.put(now)
+            else:
+                state.clear()
+        later = [x[0] for x in rest] + [self._ends(x[2]) for x in kept]
+        if later:  # the next timer does all that is due then
+            self.handle.registerTimer(min(later))
         self.seen.update((tracker.tracks, mark))
         yield self._rows(key, out)
 

@@ -152,3 +152,27 @@ def test_live_state_holds_live_tracks_only(spark, tmp_path):
         live, waiting = state("live").count(), state("waiting").count()
     assert {(r["shot"], r["track"]) for r in sent} == {("a", 0), ("b", 0)} and [(r["shot"], r["track_len"]) for r in sent if r["frame"] is None] == [("b", 5)]
     assert live == 1 and waiting <= 2
+
+
+def test_a_batch_of_boxes_is_one_message_to_the_state():
+    """However many boxes a shot has in a batch, they are appended at once and wait for one timer."""
+    import pandas as pd
+
+    from shotlens.streaming.tracks import LiveTracker
+
+    class Handle:
+        calls: list = []
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls.append(name)
+                return self
+
+            return call
+
+    tracker = LiveTracker("shot", TrackRules(), 640, 360, 1000)
+    tracker.init(Handle())
+    Handle.calls.clear()
+    rows = pd.DataFrame([(1000 * f, f, f, 0.0, 0.0, 9.0, 9.0, 0.5) for f in range(500)], columns=["ms", "frame", "box_id", "x1", "y1", "x2", "y2", "conf"])
+    assert all(len(x) == 0 for x in tracker.handleInputRows(("a",), iter([rows]), None))
+    assert Handle.calls == ["appendList", "registerTimer"]
