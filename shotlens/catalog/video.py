@@ -127,11 +127,11 @@ a AS (SELECT stream, bin_idx, count(*) AS n_frames_total, count(*) FILTER (WHERE
 def _frames_for_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
     pose = F.when(F.col("k") % 10 != 0, F.col("pose_y"))
-    return f.select("stream", "t", "success", F.col("conf").alias("confidence"), F.col("gaze_x").alias("gaze_angle_x"), pose.alias("pose_Ry"), (F.col("k") / 50.0).alias("AU12_r"), (F.col("k") % 2).cast("double").alias("AU45_c"))
+    return f.select("stream", "event_id", "t", "success", F.col("conf").alias("confidence"), F.col("gaze_x").alias("gaze_angle_x"), pose.alias("pose_Ry"), (F.col("k") / 50.0).alias("AU12_r"), (F.col("k") % 2).cast("double").alias("AU45_c"))
 
 
 def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks.time_bins(_frames_for_bins(spark, sf_dir), ["stream"], F.col("t"), tracks.BinRules(width=432_000, digits=7), au_r=["AU12"], au_c=["AU45"], pose=["pose_Ry"], gaze=["gaze_angle_x"])
+    return tracks.time_bins(_frames_for_bins(spark, sf_dir), ["stream"], F.col("t"), tracks.BinRules(width=432_000, digits=7), au_r=["AU12"], au_c=["AU45"], pose=["pose_Ry"], gaze=["gaze_angle_x"], order=["event_id"])
 
 
 _QUALITY = "CASE WHEN n_frames_valid >= 5 AND n_frames_valid / n_frames_total >= 0.5 AND c >= 0.80 THEN 'gaze_reliable' WHEN n_pose >= 5 AND n_pose / n_frames_total >= 0.5 THEN 'pose_fallback' ELSE 'unknown' END"

@@ -72,12 +72,13 @@ def shot_time(frames: DataFrame, at: str = "timestamp", frame: str = "frame", st
     return safe_float(F.col(start), 0.0) + within if start in frames.columns else within
 
 
-def time_bins(frames: DataFrame, keys: Sequence[str], at: Column, rules: BinRules = BinRules(), au_r: Sequence[str] = (), au_c: Sequence[str] = (), pose: Sequence[str] = ("pose_Rx", "pose_Ry", "pose_Rz"), gaze: Sequence[str] = ("gaze_angle_x", "gaze_angle_y")) -> DataFrame:
+def time_bins(frames: DataFrame, keys: Sequence[str], at: Column, rules: BinRules = BinRules(), au_r: Sequence[str] = (), au_c: Sequence[str] = (), pose: Sequence[str] = ("pose_Rx", "pose_Ry", "pose_Rz"), gaze: Sequence[str] = ("gaze_angle_x", "gaze_angle_y"), order: Sequence[str] = ()) -> DataFrame:
     """Tumbling bins of per-frame measurements: counts, ratios, mean and median confidence, mean and population deviation of
     gaze over valid frames and of pose over frames with all angles, action units over all frames, and the quality label.
 
     One hash aggregate that is combined before its shuffle (the median keeps a bin's values). Frames for which `at` is null go;
-    `shot_time` gives frames without a time one by their number."""
+    `shot_time` gives frames without a time one by their number. With `order` (columns that tell a bin's frames apart) means are
+    of sums in that order: without, the last bit of a mean, and so a label whose limit it meets exactly, hangs on the partitions."""
     num = lambda c: finite_float(F.col(c))
     valid = (safe_float(F.col("success"), 1.0).cast("int") == 1) & num("confidence").isNotNull()
     posed = F.lit(True)
@@ -86,12 +87,21 @@ def time_bins(frames: DataFrame, keys: Sequence[str], at: Column, rules: BinRule
     f = frames.withColumns({"bin_idx": bin_index(at, rules.width), "__v": valid, "__p": posed}).where("bin_idx IS NOT NULL")
     only = lambda flag, c: F.when(F.col(flag), num(c))
     r = lambda c: F.round(c, rules.digits)
-    aggs = [F.count("*").alias("n_frames_total"), F.count_if("__v").alias("n_frames_valid"), F.count_if("__p").alias("__n_pose"), F.avg(only("__v", "confidence")).alias("__conf"), r(F.median(only("__v", "confidence"))).alias("confidence_median")]
+    means = {"__conf": only("__v", "confidence")}
+    aggs = [F.count("*").alias("n_frames_total"), F.count_if("__v").alias("n_frames_valid"), F.count_if("__p").alias("__n_pose"), r(F.median(only("__v", "confidence"))).alias("confidence_median")]
     for flag, cols in (("__v", gaze), ("__p", pose)):
         for c in cols:
-            aggs += [r(F.avg(only(flag, c))).alias(f"{c}_mean"), r(F.stddev_pop(only(flag, c))).alias(f"{c}_std")]
-    aggs += [F.avg(num(f"{a}_r")).alias(f"{a}_r_mean") for a in au_r] + [F.avg(num(f"{a}_c")).alias(f"{a}_c_ratio") for a in au_c]
-    out = f.groupBy(*keys, "bin_idx").agg(*aggs)
+            means[f"{c}_mean"] = only(flag, c)
+            aggs.append(r(F.stddev_pop(only(flag, c))).alias(f"{c}_std"))
+    means |= {f"{a}_r_mean": num(f"{a}_r") for a in au_r} | {f"{a}_c_ratio": num(f"{a}_c") for a in au_c}
+    if order:
+        aggs += [F.sort_array(F.collect_list(F.struct(*order, *(x.alias(f"__m{i}") for i, x in enumerate(means.values()))))).alias("__frames"), *(F.count(x).alias(f"__n{i}") for i, x in enumerate(means.values()))]
+        total = lambda i: F.aggregate("__frames", F.lit(0.0), lambda s, x: s + F.coalesce(x[f"__m{i}"], F.lit(0.0)))
+        out = f.groupBy(*keys, "bin_idx").agg(*aggs)
+        out = out.withColumns({name: F.try_divide(total(i), F.col(f"__n{i}")) for i, name in enumerate(means)}).drop("__frames", *(f"__n{i}" for i in range(len(means))))
+    else:
+        out = f.groupBy(*keys, "bin_idx").agg(*aggs, *(F.avg(x).alias(name) for name, x in means.items()))
+    out = out.withColumns({f"{c}_mean": r(F.col(f"{c}_mean")) for c in (*gaze, *pose)})
     vr, pr = ratio(F.col("n_frames_valid"), F.col("n_frames_total")), ratio(F.col("__n_pose"), F.col("n_frames_total"))
     out = out.withColumns({"gaze_quality": quality(F.col("n_frames_valid"), vr, F.col("__conf"), F.col("__n_pose"), pr, rules), "valid_ratio": r(vr), "confidence_mean": r(F.col("__conf")), "bin_start_sec": F.round(F.col("bin_idx") * rules.width, 3), "bin_end_sec": F.round((F.col("bin_idx") + 1) * rules.width, 3)})
     if au_r or au_c:
