@@ -77,7 +77,7 @@ def _effects(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for rows in b.column(b.schema.get_field_index("rows")).to_pylist():
+            for rows in _each(b, "rows"):
                 whole = Effect()
                 for r in rows:
                     whole = whole.then(effect_of(r["fixed"], r["id"], r["ties"] or ()))
@@ -98,6 +98,13 @@ def _decoded(x: dict) -> Effect:
     return Effect(x["otherwise"], dict(zip(x["ids"], x["gives"], strict=True)))
 
 
+def _each(b: pa.RecordBatch, name: str) -> Iterator:
+    """A column's values one at a time: a batch may have thousands of blocks, and as Python objects rows take many times
+    their bytes."""
+    for x in b.column(b.schema.get_field_index(name)):
+        yield x.as_py()
+
+
 def _with(b: pa.RecordBatch, without: Sequence[str], **more: pa.Array) -> pa.RecordBatch:
     kept = [n for n in b.schema.names if n not in without]
     return pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in kept), *more.values()], names=[*kept, *more])
@@ -120,7 +127,7 @@ def _begins(effects: DataFrame, keys: Sequence[str], blocks: int) -> DataFrame:
         def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 found = []
-                for parts in b.column(b.schema.get_field_index("parts")).to_pylist():
+                for parts in _each(b, "parts"):
                     whole = Effect()
                     for p in parts:
                         whole = whole.then(_decoded(p["effect"]))
@@ -134,7 +141,7 @@ def _begins(effects: DataFrame, keys: Sequence[str], blocks: int) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lasts, numbers = [], []
-            for parts, last in zip(b.column(b.schema.get_field_index("parts")).to_pylist(), b.column(b.schema.get_field_index("last")).to_pylist(), strict=True):
+            for parts, last in zip(_each(b, "parts"), _each(b, "last"), strict=True):
                 mine = []
                 for p in parts:
                     mine.append(last)
@@ -181,7 +188,7 @@ def carry_choice(df: DataFrame, keys: Sequence[str], order: Sequence[str], fixed
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             picks = []
-            for rows_, last in zip(b.column(b.schema.get_field_index("rows")).to_pylist(), b.column(b.schema.get_field_index("last")).to_pylist(), strict=True):
+            for rows_, last in zip(_each(b, "rows"), _each(b, "last"), strict=True):
                 mine = []
                 for r in rows_:
                     k = -1 if r["fixed"] else winner(r["ties"], last)

@@ -176,3 +176,12 @@ def test_a_batch_of_boxes_is_one_message_to_the_state():
     rows = pd.DataFrame([(1000 * f, f, f, 0.0, 0.0, 9.0, 9.0, 0.5) for f in range(500)], columns=["ms", "frame", "box_id", "x1", "y1", "x2", "y2", "conf"])
     assert all(len(x) == 0 for x in tracker.handleInputRows(("a",), iter([rows]), None))
     assert Handle.calls == ["appendList", "registerTimer"]
+
+
+def test_blocks_become_objects_one_at_a_time():
+    import pyarrow as pa
+
+    from shotlens.operators.recurrence import _each
+
+    values = _each(pa.RecordBatch.from_pydict({"rows": [[{"id": "a"}], [], None]}), "rows")
+    assert iter(values) is values and list(values) == [[{"id": "a"}], [], None]
