@@ -1,12 +1,15 @@
 """Exact BM25 top-k search: an inverted index per shard with block-max WAND pruning, merged exactly, because every shard
 scores with the statistics of the whole table.
 
-A shard is what a task reads, SHARD_POSTINGS at a time; nothing is shuffled to build it. The queries, with the inverse
-document frequencies of their terms, are a table in the shared folder that each shard reads in blocks, so that no task
-and not the driver ever holds all of them. Two passes are made over the shards. The first scores a few documents that
-share a query's rarest terms, and gives each query one threshold for all shards, below its k-th best score. The second
-returns what reaches it. Blocks are aligned over a shard's terms, so that the pivot test, whether the block maxima of
-the terms together reach the threshold, is made for all blocks at a time, and the postings of the others are skipped.
+Texts are taken apart once, into a table of their terms in the shared folder. A shard is what a task reads of it,
+SHARD_POSTINGS at a time; nothing is shuffled to build it. The queries, with the inverse document frequencies of their
+terms, are a table in the shared folder that each shard reads in blocks, so that no task and not the driver ever holds
+all of them. Two passes are made over the shards. The first scores a few documents that share a query's rarest terms,
+and gives each query one threshold for all shards, below its k-th best score. The second returns what reaches it. Blocks
+are aligned over a shard's terms, so that the pivot test, whether the block maxima of the terms together reach the
+threshold, is made for all blocks at a time, and the others are skipped. In the blocks that are left a shard's commonest
+terms, which hold most postings, are scored by one matrix product for many queries, the others by their postings; these
+sums are bounds, and scores are exact.
 """
 
 from __future__ import annotations
@@ -23,14 +26,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shotlens.llm.common import batch_of, column_bytes, map_arrow, places, prepared, table, trim
-from shotlens.session import shared_dir
+from shotlens.session import materialise, shared_dir
 
 K1, B = 1.2, 0.75
 #: Postings of a shard's index and documents of a block whose largest impact bounds it; both bound a task's memory.
 SHARD_POSTINGS, BLOCK_DOCS = 3_000_000, 128
 #: Postings of the rarest terms that a shard looks at for the threshold, and documents that it scores for it.
 SEED_POSTINGS, SEEDS = 2048, 2
-CACHE, COUNTED, CHUNK = 300_000, 400_000, 32
+#: Commonest terms of a shard whose impacts are a matrix (those in at least one of COMMON_SHARE documents), and queries that
+#: are multiplied with it at a time; cells of that matrix, and of the sums, at most, for shards of many short texts.
+COMMON, COMMON_SHARE, TOGETHER = 1024, 128, 128
+COMMON_CELLS, SUM_CELLS = 16 << 20, 2 << 20
+CACHE = 300_000
 _TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
@@ -83,6 +90,17 @@ class Shard:
         self.cell_most = np.maximum.reduceat(self.by_term, self.posting)
         self.cells = np.bincount(by[self.posting], minlength=len(self.terms))
         self.cell = np.cumsum(self.cells) - self.cells
+        # the impacts of the commonest terms as a matrix, single precision, with those of the blocks
+        most = np.argsort(-self.df, kind="stable")[: min(COMMON, COMMON_CELLS // n)]
+        most = most[self.df[most] * COMMON_SHARE >= n]
+        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column[most] = np.arange(len(most))
+        self.common = np.zeros((n, len(most)), np.float32)
+        column = self.column[self.term]
+        self.common[doc[column >= 0], column[column >= 0]] = self.impact[column >= 0]
+        self.common_most = np.maximum.reduceat(self.common, np.arange(0, n, block_docs))
+        #: Largest relative error of a sum of len(most) products that are not negative, each factor rounded once.
+        self.off = (len(most) + 4) * 2.0**-24 * 1.01
         self.q = np.zeros(len(self.terms))
         self.skipped = self.read = 0  # blocks
 
@@ -94,11 +112,14 @@ class Shard:
         at = places(self.begin[docs], n)
         return np.add.reduceat(self.q[self.term[at]] * self.impact[at], np.cumsum(n) - n)
 
-    def _ask(self, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _places(self, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.terms, terms)
         hit = at < len(self.terms)
         hit[hit] = self.terms[at[hit]] == terms[hit]
-        at, w = at[hit], idf[hit]
+        return at[hit], idf[hit]
+
+    def _ask(self, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, w = self._places(terms, idf)
         self.q[at] = w
         return at, w
 
@@ -117,45 +138,60 @@ class Shard:
         return scores
 
     def search(self, own, terms: np.ndarray, idf: np.ndarray, k: int, least: float = 0.0) -> list[tuple[float, object]]:
-        """The k best (-score, id) of a positive score that is `least` or more, without `own`. Where no threshold is known
-        the shard looks for one of its own."""
-        if least <= 0:
-            some = sorted(self.seeds(own, terms, idf, k))
-            least = some[0] if len(some) == k else 0.0
-        at, w = self._ask(terms, idf)
-        least *= 1 - 1e-12
-        # terms whose bounds together stay below the threshold can't bring in a document: the others are the active ones
-        rising = np.argsort(w * self.most[at], kind="stable")
-        below = int(np.searchsorted(np.cumsum((w * self.most[at])[rising]), least))
-        active = np.ones(len(at), bool)
-        active[rising[:below]] = False
+        """The k best (-score, id) of a positive score that is `least` or more, without `own`."""
+        return self.search_many([(own, terms, idf, least)], k)[0]
+
+    def search_many(self, queries: list[tuple], k: int) -> list[list[tuple[float, object]]]:
+        """`search` for each (own, terms, idf, least). Queries that share their commonest term go together, up to
+        TOGETHER at a time, because they leave the same blocks out. Where no threshold is known the shard looks for one of its own."""
+        for i, (own, terms, idf, least) in enumerate(queries := list(queries)):
+            if least <= 0 and len(some := sorted(self.seeds(own, terms, idf, k))) == k:
+                queries[i] = own, terms, idf, some[0]
+        order = sorted(range(len(queries)), key=lambda i: int(queries[i][1][queries[i][2].argmin()]) if len(queries[i][1]) else 0)
+        out: list = [None] * len(queries)
+        size = max(1, min(TOGETHER, SUM_CELLS // len(self.ids)))
+        for c in range(0, len(order), size):
+            for i, best in zip(order[c : c + size], self._together([queries[i] for i in order[c : c + size]], k), strict=True):
+                out[i] = best
+        return out
+
+    def _together(self, queries: list[tuple], k: int) -> Iterator[list[tuple[float, object]]]:
         blocks = int(self.block[-1]) + 1
-        n = self.cells[at]
-        cell, of, on = places(self.cell[at], n), np.repeat(w, n), np.repeat(active, n)
-        reach = self.cell_most[cell] * of
-        can = np.bincount(self.cell_block[cell], reach, minlength=blocks)
-        keep = (can >= least) & (can > 0)
-        self.skipped, self.read = self.skipped + blocks - int(keep.sum()), self.read + int(keep.sum())
-        # the active terms' postings in the blocks that are left, and what the passive terms can add there at most
-        some = on & keep[self.cell_block[cell]]
-        n = self.postings[cell[some]]
-        here = places(self.posting[cell[some]], n)
-        score = np.bincount(self.doc[here], self.by_term[here] * np.repeat(of[some], n), minlength=len(self.ids))
-        add = np.bincount(self.cell_block[cell[~on]], reach[~on], minlength=blocks)
-        top = score + add[self.block]
-        found = np.flatnonzero((score > 0) & (top >= least) & (self.ids != own))
-        found = found[np.argsort(-top[found], kind="stable")]
-        # exact scores in the order of the bounds, until no later document can reach the k-th
-        best: list[tuple[float, object]] = []
-        for c in range(0, len(found), CHUNK):
-            if len(best) >= k and top[found[c]] < -best[k - 1][0] * (1 - 1e-12):
-                break
-            part = found[c : c + CHUNK]
-            best += [(-s, i) for s, i in zip(self._exact(part).tolist(), self.ids[part].tolist(), strict=True) if s >= least]
-            best.sort()
-            del best[k:]
-        self.q[at] = 0
-        return best
+        weight = np.zeros((len(queries), self.common.shape[1]), np.float32)
+        keep, rare = np.zeros((len(queries), blocks), bool), []
+        for i, (_, terms, idf, _) in enumerate(queries):
+            at, w = self._places(terms, idf)
+            column = self.column[at]
+            weight[i, column[column >= 0]] = w[column >= 0]
+            rare.append((at[column < 0], w[column < 0]))
+        reach = (weight @ self.common_most.T).astype(float) / (1 - self.off)
+        cells = []
+        for i, (at, w) in enumerate(rare):
+            n = self.cells[at]
+            cell, of = places(self.cell[at], n), np.repeat(w, n)
+            can = reach[i] + np.bincount(self.cell_block[cell], self.cell_most[cell] * of, minlength=blocks)
+            keep[i] = (can >= queries[i][3] * (1 - 1e-12)) & (can > 0)
+            some = keep[i, self.cell_block[cell]]
+            cells.append((cell[some], of[some]))
+        self.skipped, self.read = self.skipped + int((~keep).sum()), self.read + int(keep.sum())
+        rows = np.flatnonzero(keep.any(0)[self.block])
+        sums = np.zeros((len(queries), len(self.ids)))
+        sums[:, rows] = weight @ (self.common if len(rows) == len(self.ids) else self.common[rows]).T
+        for i, (own, terms, idf, least) in enumerate(queries):
+            cell, of = cells[i]
+            n = self.postings[cell]
+            here = places(self.posting[cell], n)
+            score = sums[i] + np.bincount(self.doc[here], self.by_term[here] * np.repeat(of, n), minlength=len(self.ids))
+            some = np.flatnonzero((score > 0) & keep[i, self.block] & (self.ids != own))
+            # a sum is off by a share of at most `off`: exact scores are for those that may be of the k best
+            score = score[some]
+            if len(some) > k:
+                least = max(least, float(np.partition(score, len(some) - k)[len(some) - k]) * (1 - self.off) ** 2)
+            some = some[score >= least * (1 - self.off) * (1 - 1e-12)]
+            at, _ = self._ask(terms, idf)
+            best = sorted((-s, d) for s, d in zip(self._exact(some).tolist(), self.ids[some].tolist(), strict=True) if s >= queries[i][3] * (1 - 1e-12))
+            self.q[at] = 0
+            yield best[:k]
 
 
 def search(spark: SparkSession, docs: DataFrame, queries: Column, k: int = 10, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B, shard_postings: int = SHARD_POSTINGS, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -172,26 +208,12 @@ def search(spark: SparkSession, docs: DataFrame, queries: Column, k: int = 10, i
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(queries, F.lit(False)).alias("asks"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, seen, n, length = Terms(), {}, 0, 0
-
-        def out() -> pa.RecordBatch:
-            keys = np.fromiter(seen.keys(), np.uint64, len(seen)).view(np.int64)
-            return batch_of(term=pa.array(keys), df=pa.array(list(seen.values()), pa.int64()), docs=pa.array(np.zeros(len(seen), np.int64)), words=pa.array(np.zeros(len(seen), np.int64)))
-
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms()
         for batch in batches:
             trim(terms.cache, CACHE)
-            for text in column_bytes(batch, "text"):
-                t, c = terms.of(text)
-                n += 1
-                length += int(c.sum())
-                for x in t.tolist():
-                    seen[x] = seen.get(x, 0) + 1
-            if len(seen) > COUNTED:
-                yield out()
-                seen.clear()
-        yield out()
-        yield batch_of(term=pa.array([None], pa.int64()), df=pa.array([0], pa.int64()), docs=pa.array([n], pa.int64()), words=pa.array([length], pa.int64()))
+            found = [terms.of(t) for t in column_bytes(batch, "text")]
+            yield batch_of(id=batch.column(0), term=pa.array([t.view(np.int64) for t, _ in found], pa.list_(pa.int64())), n=pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32())))
 
     def query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
@@ -199,62 +221,60 @@ def search(spark: SparkSession, docs: DataFrame, queries: Column, k: int = 10, i
             trim(terms.cache, CACHE)
             yield batch_of(id=batch.column(0), terms=pa.array([terms.of(t)[0].view(np.int64) for t in column_bytes(batch, "text")], pa.list_(pa.int64())))
 
-    counted = map_arrow(rows.select("text"), count, "term long, df long, docs long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("docs").alias("docs"), F.sum("words").alias("words"))
-    stored = shared_dir(spark, "frequencies")
-    counted.write.parquet(stored)
-    counted = spark.read.parquet(stored)
-    n, words = counted.where("term IS NULL").select(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).head()
+    # texts are taken apart once: their terms and counts are a table in the shared folder that all passes read
+    held = materialise(spark, map_arrow(rows.select("id", "text"), taken, f"id {kind}, term array<long>, n array<int>"), "terms")
+    counted = materialise(spark, held.select(F.explode("term").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    n, words = held.select(F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y).alias("words")).agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).head()
     average = words / n if n else 0.0
     asked = map_arrow(rows.where("asks").groupBy("id").agg(F.min("text").alias("text")), query_terms, f"id {kind}, terms array<long>")
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.select("id", F.explode("terms").alias("term")).join(counted.where("term IS NOT NULL").select("term", idf.alias("idf")), "term")
+    weighted = asked.select("id", F.explode("terms").alias("term")).join(counted.select("term", idf.alias("idf")), "term")
     each = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("terms"))  # one text's terms
     untold = shared_dir(spark, "queries")
     each.select("id", F.col("terms.term").alias("term"), F.col("terms.idf").alias("idf"), F.lit(0.0).alias("least")).write.parquet(untold)
 
-    def over_shards(source: str, ask: Callable[[Shard, object, np.ndarray, np.ndarray, float], list[tuple[float, object]]]) -> DataFrame:
-        """What `ask` finds in each shard for each query of a table in the shared folder."""
+    def over_shards(source: str, ask: Callable[[Shard, list[tuple]], list[list[tuple[float, object]]]]) -> DataFrame:
+        """What `ask` finds in each shard for the queries (own, terms, idf, least) of a table in the shared folder."""
 
         def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            terms, ids, parts, counts, size = Terms(), [], [], [], 0
+            ids, parts, counts, size = [], [], [], 0
 
             def run() -> Iterator[pa.RecordBatch]:
                 shard = Shard(ids, parts, counts, average, k1, b, block_docs)
                 store, base = pafs.FileSystem.from_uri(source)
                 files = [f.path for f in store.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet")]
                 for q in pads.dataset(files, filesystem=store, format="parquet").to_batches(batch_size=256, batch_readahead=1, fragment_readahead=1) if files else ():
-                    qid, did, score = [], [], []
+                    asked = []
                     for own, t, w, least in zip(q.column(0).to_pylist(), q.column(1), q.column(2), q.column(3).to_pylist(), strict=True):
                         t, w = np.asarray(t.values).view(np.uint64), np.asarray(w.values)
                         order = np.argsort(t)
-                        for s, i in ask(shard, own, t[order], w[order], least):
-                            qid.append(own)
-                            did.append(i)
-                            score.append(-s)
-                    yield batch_of(query_id=pa.array(qid, q.column(0).type), id=pa.array(did, q.column(0).type), score=pa.array(score, pa.float64()))
+                        asked.append((own, t[order], w[order], least))
+                    found = [(own, i, -s) for (own, *_), best in zip(asked, ask(shard, asked), strict=True) for s, i in best]
+                    yield batch_of(query_id=pa.array([x[0] for x in found], q.column(0).type), id=pa.array([x[1] for x in found], q.column(0).type), score=pa.array([x[2] for x in found], pa.float64()))
 
             for batch in batches:
-                trim(terms.cache, CACHE)
-                for i, text in zip(batch.column(0).to_pylist(), column_bytes(batch, "text"), strict=True):
-                    t, c = terms.of(text)
-                    if len(t):
+                term, n = batch.column(1), batch.column(2)
+                cuts = (np.asarray(term.offsets) - term.offsets[0].as_py()).tolist()
+                t, c = np.asarray(term.flatten()).view(np.uint64), np.asarray(n.flatten()).astype(np.int64)
+                for i, x, y in zip(batch.column(0).to_pylist(), cuts, cuts[1:], strict=False):
+                    if y > x:
                         ids.append(i)
-                        parts.append(t)
-                        counts.append(c)
-                        size += len(t)
+                        parts.append(t[x:y])
+                        counts.append(c[x:y])
+                        size += y - x
                     if size >= shard_postings:
                         yield from run()
                         ids, parts, counts, size = [], [], [], 0
             if ids:
                 yield from run()
 
-        return map_arrow(rows.select("id", "text"), shards, f"query_id {kind}, id {kind}, score double")
+        return map_arrow(held, shards, f"query_id {kind}, id {kind}, score double")
 
-    def first(shard: Shard, own, t: np.ndarray, w: np.ndarray, least: float) -> list[tuple[float, object]]:
-        return [(-s, None) for s in shard.seeds(own, t, w, SEEDS)]
+    def first(shard: Shard, asked: list[tuple]) -> list[list[tuple[float, object]]]:
+        return [[(-s, None) for s in shard.seeds(own, t, w, SEEDS)] for own, t, w, _ in asked]
 
-    def second(shard: Shard, own, t: np.ndarray, w: np.ndarray, least: float) -> list[tuple[float, object]]:
-        return shard.search(own, t, w, k, least)
+    def second(shard: Shard, asked: list[tuple]) -> list[list[tuple[float, object]]]:
+        return shard.search_many(asked, k)
 
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
     known = over_shards(untold, first).withColumn("r", best).where(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("known"))

@@ -180,6 +180,28 @@ def test_bm25_skips_blocks_and_stays_exact():
     assert shard.skipped > 2 * shard.read
 
 
+def test_bm25_scores_common_terms_by_a_product_and_stays_exact(monkeypatch):
+    rng = np.random.default_rng(4)
+    pairs = [np.unique(rng.zipf(1.3, rng.integers(1, 60)).astype(np.uint64) % np.uint64(5000), return_counts=True) for _ in range(500)]
+    pairs += [pairs[0]] * 25  # ties
+    ids, terms, counts = list(range(525)), [t for t, _ in pairs], [c for _, c in pairs]
+    asked = [(i, terms[i], rng.random(len(terms[i])) + 0.1, 0.0) for i in range(0, 525, 3)]
+    shards = []
+    for columns, cells in ((0, 1 << 20), (1024, 1 << 20), (1024, 525 * 3)):
+        monkeypatch.setattr(search_module, "COMMON", columns)
+        monkeypatch.setattr(search_module, "COMMON_CELLS", cells)
+        monkeypatch.setattr(search_module, "SUM_CELLS", cells)
+        shards.append(search_module.Shard(ids, terms, counts, 30.0, block_docs=16))
+    assert [s.common.shape[1] for s in shards][::2] == [0, 3] and shards[1].common.shape[1] > 50
+    plain, by_product, few = (s.search_many(asked, 10) for s in shards)
+    assert plain == by_product == few and all(len({i for _, i in best}) == len(best) for best in plain)
+    for (own, t, w, _), best in zip(asked, plain, strict=True):
+        shards[0]._ask(t, w)
+        scores = shards[0]._exact(np.arange(525))
+        shards[0].q[:] = 0
+        assert best == sorted((-s, i) for s, i in zip(scores.tolist(), shards[0].ids.tolist(), strict=True) if s > 0 and i != own)[:10]
+
+
 @pytest.mark.parametrize(("postings", "block"), [(search_module.SHARD_POSTINGS, search_module.BLOCK_DOCS), (300, 4)])
 def test_bm25_against_brute_force(spark, corpus, no_rows, postings, block):
     rng = random.Random(5)
