@@ -6,10 +6,11 @@ closed by a watermark."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
@@ -19,6 +20,8 @@ from shotlens.session import shared_dir
 
 #: Milliseconds of event time after which the memory of a silent key is dropped.
 SILENCE_MS = 7 * 86_400_000
+#: Groups that the keys of a stream in order are dealt to; the state of a group is read and written as a whole.
+GROUPS = 1024
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
@@ -47,48 +50,73 @@ def live_sessions(frames: DataFrame, keys: Sequence[str], at: str, gap: str, lat
     return frames.withWatermark(at, late).groupBy(*keys, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("track_len")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "track_len")
 
 
-def in_order(rows: DataFrame, key: str, at: str, value: str, late: str, name: str, step: Callable[[list, list[tuple]], tuple[list, list[tuple]]], finish: Callable[[list], list[tuple]] = lambda memory: []) -> DataFrame:
+def in_order(rows: DataFrame, key: str, at: str, value: str, late: str, name: str, step: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], groups: int = GROUPS) -> DataFrame:
     """Each key's rows in the order of their times, in whatever batches they come: `key`, `at` and `name` (text).
 
-    A row waits in the key's state until the watermark, `late` behind the latest time, has passed it; `step` takes what it
-    returned last (a list of texts, empty at first) and the rows (time, value) that are now due, in order, and gives its new
-    memory and the rows (time, text) to send. The memory of a key without rows for SILENCE_MS goes; `finish` may send what it
-    still held."""
+    A row waits in state until the watermark, `late` behind the latest time, has passed it. Keys share the state of one of
+    `groups` groups, so that a call serves many keys; null keys have one of their own. `step` is given the rows that are now
+    due, by key and time (equal times: by value, nulls first), after those that it kept before: where a key begins, values,
+    and whether a row was sent. It says which rows to send, with what text, and which to keep. A key without rows for
+    SILENCE_MS is forgotten; what it kept unsent is then sent with its own value."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory, waiting, last = json.loads(state.get[0]) if state.exists else ([], [], 0)
-        for rows in batches:
-            waiting += [[int(t), None if v is None or v != v else str(v)] for t, v in zip(rows["__us"].tolist(), rows[value].tolist(), strict=True)]
-        mark = state.getCurrentWatermarkMs()
-        due = sorted(x for x in waiting if x[0] <= mark * 1000)
-        memory, out = step(memory, [tuple(x) for x in due])
-        waiting = sorted(x for x in waiting if x[0] > mark * 1000)
-        last = due[-1][0] if due else last
-        silent = last // 1000 + SILENCE_MS  # when the key's memory goes, unless a row comes
-        if not waiting and silent <= mark:
-            out += finish(memory)
-            if state.exists:
-                state.remove()
-        else:
-            state.update((json.dumps([memory, waiting, last]),))
-            state.setTimeoutTimestamp(max(mark + 1, waiting[0][0] // 1000 + 1 if waiting else silent))
-        yield pd.DataFrame({key: [k[0]] * len(out), "__us": [t for t, _ in out], name: [v for _, v in out]})
+        parts = [pa.ipc.open_stream(state.get[0]).read_pandas()] if state.exists else []
+        parts += [pd.DataFrame({"key": x[key], "us": x["__us"], "value": x["__value"], "sent": False}) for x in batches]
+        held, mark = pd.concat(parts, ignore_index=True), state.getCurrentWatermarkMs()
+        code = pd.factorize(held["key"], use_na_sentinel=False)[0]
+        order = np.lexsort((pd.factorize(held["value"], sort=True)[0], held["us"].to_numpy(), code))
+        held, code = held.take(order), code[order]
+        due = held["us"].to_numpy() <= mark * 1000
+        now, of = held[due], code[due]
+        begins = np.diff(of, prepend=-1) != 0
+        value = now["value"].to_numpy(object)
+        value[pd.isna(value)] = None
+        send, text, keep = step(begins, value, now["sent"].to_numpy(bool))
+        sent, us = now["sent"].to_numpy(bool) | send, now["us"].to_numpy()
+        # a key's time: of its first row that waits, else when it will have been silent for long enough
+        waits = np.full(code.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(waits, code[~due], held["us"].to_numpy()[~due] // 1000 + 1)
+        last = np.full(len(waits), np.iinfo(np.int64).min)
+        np.maximum.at(last, of, us)
+        silent = last // 1000 + SILENCE_MS
+        gone = ((waits == np.iinfo(np.int64).max) & (silent <= mark))[of]
+        rest = keep & gone & ~sent
+        text = np.concatenate([text[send], value[rest]])
+        yield pd.DataFrame({key: pd.concat([now["key"][send], now["key"][rest]]).to_numpy(), "__us": np.concatenate([us[send], us[rest]]), name: text})
+        keep &= ~gone
+        if keep.any() or not due.all():
+            left = pa.RecordBatch.from_pandas(pd.concat([now.assign(sent=sent)[keep], held[~due]]), preserve_index=False)
+            to = pa.BufferOutputStream()
+            with pa.ipc.new_stream(to, left.schema) as stream:
+                stream.write_batch(left)
+            state.update((to.getvalue().to_pybytes(),))
+            times = np.where(waits < np.iinfo(np.int64).max, waits, silent)[np.unique(np.concatenate([of[keep], code[~due]]))]
+            state.setTimeoutTimestamp(max(mark + 1, int(times.min())))
+        elif state.exists:
+            state.remove()
 
     kind = rows.schema[key].dataType.simpleString()
-    timed = rows.select(key, at, value).withWatermark(at, late).withColumn("__us", F.unix_micros(at))
-    got = timed.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, __us long, `{name}` string", "kept string", "append", "EventTimeTimeout")
+    timed = rows.select(key, at, F.col(value).cast("string").alias("__value")).withWatermark(at, late).withColumn("__us", F.unix_micros(at))
+    group = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(groups)))
+    got = timed.withColumn("__group", group).groupBy("__group").applyInPandasWithState(run, f"`{key}` {kind}, __us long, `{name}` string", "kept binary", "append", "EventTimeTimeout")
     return got.select(key, F.timestamp_micros("__us").alias(at), name)
 
 
 def live_last_choice(rows: DataFrame, key: str, at: str, choice: str, late: str) -> DataFrame:
     """Each row with the last non-null choice before it in its stream."""
 
-    def step(memory: list, due: list[tuple]) -> tuple[list, list[tuple]]:
-        out = []
-        for t, v in due:
-            out.append((t, memory[0] if memory else None))
-            memory = [v] if v is not None else memory
-        return memory, out
+    def step(begins: np.ndarray, value: np.ndarray, sent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.arange(len(value))
+        first, ends = np.maximum.accumulate(np.where(begins, n, 0)), np.append(begins[1:], True)[: len(n)]
+        given = np.maximum.accumulate(np.where(np.not_equal(value, None), n, -1))  # the last place with a choice
+        before = np.concatenate([[-1], given[:-1]]).astype(int)[: len(n)]
+        text = np.full(len(n), None, object)
+        known = before >= first
+        text[known] = value[before[known]]
+        keep = ends.copy()
+        at_end = given[ends]
+        keep[at_end[at_end >= first[ends]]] = True
+        return ~sent, text, keep
 
     return in_order(rows, key, at, choice, late, "previous", step)
 
@@ -97,18 +125,13 @@ def live_smoothing(rows: DataFrame, key: str, at: str, choice: str, late: str) -
     """Each row's choice; a missing one between two equal ones takes their value. A row is sent when the row after it is
     due, the last one of a key when the key has been silent for SILENCE_MS."""
 
-    def step(memory: list, due: list[tuple]) -> tuple[list, list[tuple]]:
-        out = []  # memory: the choice before the pending row, its time and its choice
-        for t, v in due:
-            if memory:
-                before, at_, mine = memory
-                out.append((at_, before if mine is None and v is not None and v == before else mine))
-                memory = [mine, t, v]
-            else:
-                memory = [None, t, v]
-        return memory, out
-
-    return in_order(rows, key, at, choice, late, "smoothed", step, lambda memory: [(memory[1], memory[2])] if memory else [])
+    def step(begins: np.ndarray, value: np.ndarray, sent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ends = np.append(begins[1:], True)[: len(value)]
+        before, after = np.concatenate([[None], value[:-1]])[: len(value)], np.append(value[1:], None)[: len(value)]
+        fills = ~begins & ~ends & np.equal(value, None) & np.not_equal(before, None) & np.equal(before, after)
+        return ~sent & ~ends, np.where(fills, before, value), ends | np.append(ends[1:], False)[: len(value)]
+
+    return in_order(rows, key, at, choice, late, "smoothed", step)
 
 
 def run_available(spark: SparkSession, stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Streams in order, resumed runs, and files that are written and read again."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +101,28 @@ def test_cache_keeps_the_last_answer(spark, tmp_path):
     writers.append_cache(spark.createDataFrame([("k1", "old", 1), ("k2", "only", 1)], "cache_key string, answer string, ord long"), to)
     writers.append_cache(spark.createDataFrame([("k1", "new", 2)], "cache_key string, answer string, ord long"), to)
     assert {r["cache_key"]: r["answer"] for r in readers.read_cache(spark, to).collect()} == {"k1": "new", "k2": "only"}
+
+
+def test_streams_in_order_against_a_loop(spark, tmp_path):
+    rng, rows = random.Random(7), []
+    for n, k in enumerate(["a", "b", None, *(f"k{i}" for i in range(20))]):
+        minutes_ = rng.sample(range(1000), 40) if n else range(0, 1000, 25)
+        rows += [(k, m, rng.choice(["x", "y", None])) for m in minutes_]
+    rows += [("tie", 7, None), ("tie", 7, "z"), ("tie", 9, None)]  # equal times: nulls first
+    rng.shuffle(rows)
+    src = f"{tmp_path}/in"
+    for i in range(3):
+        put(spark, src, rows[i::3])
+    put(spark, src, [("end", 100_000, None)])
+    last, smooth = [], []
+    for k in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2] is not None, r[2]))
+        v = [None, *(r[2] for r in mine), None]
+        for i, (_, m, c) in enumerate(mine, 1):
+            last.append((k, m, next((x for x in v[i - 1 :: -1] if x), None)))
+            smooth.append((k, m, v[i - 1] if c is None and v[i - 1] == v[i + 1] else c))
+    order = lambda found: sorted((r for r in found if r[0] != "end"), key=repr)
+    found = lambda df, name: order((r["k"], int((r["at"] - AT).total_seconds() // 60), r[name]) for r in df.collect())
+    assert found(run_available(spark, live_last_choice(stream(spark, src), "k", "at", "choice", "1000 minutes"), "last"), "previous") == order(last)
+    # the last row of a key follows when it has been silent for a week
+    assert found(run_available(spark, live_smoothing(stream(spark, src), "k", "at", "choice", "1000 minutes"), "smooth"), "smoothed") == order(smooth)
