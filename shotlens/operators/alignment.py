@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,11 @@ from shotlens.functions.text import normalize_for_match
 from shotlens.operators.similarity import least_recall
 
 
+#: Pairs of spans, and cells of the spans' words, up to which a movie is matched as a whole (some 200 MB); longer ones are
+#: matched row by row.
+SMALL, SMALL_WORDS = 4_000_000, 16_000_000
+
+
 @dataclass(frozen=True)
 class AlignmentRules:
     raw_span: int = 4
@@ -57,9 +62,44 @@ class _Matches:
                 for w in words:
                     where.setdefault(w, []).append(b * self.m + j)
         self.where = {w: np.array(x, np.int32) for w, x in where.items()}
+        self.found = self._all() if self.small(len(raw), self.m, len(where), rules) else None
+
+    @staticmethod
+    def small(n: int, m: int, words: int, rules: AlignmentRules) -> bool:
+        return n * m * rules.raw_span * rules.dialogue_span <= SMALL and (rules.raw_span * n + rules.dialogue_span * m) * words <= SMALL_WORDS
+
+    def _all(self) -> list[list[tuple[int, int, int, float]]]:
+        """`of` for every row: the overlaps of all spans are one product, and the sums are those of `of`."""
+        word = {w: v for v, w in enumerate(self.where)}
+        n, a, b = len(self.rs), self.rules.raw_span, self.rules.dialogue_span
+        mine, theirs = np.zeros((n, a, len(word)), np.float32), np.zeros((self.m, b, len(word)), np.float32)
+        size, length, exists = np.ones((n, a, 1)), np.ones((n, a, 1)), np.zeros((n, a, 1), bool)
+        for side, spans in ((mine, self.rs), (theirs, self.ds)):
+            for i, parts in enumerate(spans):
+                for k, (words, _) in enumerate(parts):
+                    side[i, k, [word[w] for w in words if w in word]] = 1
+        for i, parts in enumerate(self.rs):
+            for k, (words, letters) in enumerate(parts):
+                size[i, k], length[i, k], exists[i, k] = len(words), letters, True
+        size, length, exists = size[:, None], length[:, None], exists[:, None]
+        both = (mine.reshape(n * a, -1) @ theirs.reshape(self.m * b, -1).T).astype(float).reshape(n, a, self.m, b).transpose(0, 2, 1, 3)
+        other_words, other = self.words.T[None, :, None, :], self.length.T[None, :, None, :]
+        whole = (np.arange(self.m)[:, None] + np.arange(b) < self.m)[None, :, None, :]
+        i, j, k, z = np.nonzero(exists & whole & (both >= np.maximum(1, np.ceil(self.recall * size))))
+        both, size, length = both[i, j, k, z], size[i, 0, k, 0], length[i, 0, k, 0]
+        recall, precision, other = both / size, both / other_words[0, j, 0, z], other[0, j, 0, z]
+        f1 = 2 * recall * precision / (recall + precision)
+        lengths = np.minimum(length, other) / np.maximum(length, other)
+        score = np.maximum(0.0, np.minimum(1.0, 0.50 * recall + 0.35 * f1 + 0.15 * lengths))
+        found: list[list] = [[] for _ in range(n)]
+        for x in np.flatnonzero(score >= self.rules.least_score):
+            found[i[x]].append((int(j[x]), int(k[x]) + 1, int(z[x]) + 1, float(score[x])))
+        return found
 
     def of(self, i: int, upto: int) -> list[tuple[int, int, int, float]]:
         """(j, raw segments, dialogue segments, score) of row i in their order, for spans that end up to place `upto`."""
+        if self.found is not None:
+            return [x for x in self.found[i] if x[0] + x[2] <= upto]
         counts, seen, found = np.zeros((self.rules.dialogue_span, self.m), np.int16), set(), []
         long = counts.reshape(-1)
         for a, (words, length) in enumerate(self.rs[i], 1):
@@ -156,12 +196,14 @@ def align_spans(raw: list[str], dialogue: list[str], rules: AlignmentRules = Ali
     every = every or math.ceil(math.sqrt(9 * rules.raw_span * n))
     matches = _Matches(raw, dialogue, rules)
     rows, saved = _Rows(matches, n, m), []
+    first, moves = n + 1, []  # the stretch of rows whose moves are known
+    if matches.found is not None:  # few cells: all moves are kept
+        first, moves = 0, [rows.next() for _ in range(n + 1)]
     while rows.i < n:
         if rows.i % every == 0:
             saved.append(rows.saved())
         rows.next()
     steps, i, j = [], n, m
-    first, moves = n + 1, []  # the stretch of rows whose moves are known
     while i or j:
         if i < first:
             k = min(i // every, len(saved) - 1)
@@ -177,23 +219,50 @@ def align_spans(raw: list[str], dialogue: list[str], rules: AlignmentRules = Ali
 
 
 STEPS = "step_idx int, type string, raw_start int, raw_end int, dialogue_start int, dialogue_end int, match_score double, overlap_recall double, overlap_precision double, token_f1 double, length_ratio double, is_confident_match boolean"
+ARROW = {"int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
 def align(raw: DataFrame, dialogue: DataFrame, keys: Sequence[str], order: str, raw_text: str, dialogue_text: str, rules: AlignmentRules = AlignmentRules()) -> DataFrame:
     """Alignment steps of each movie: keys, step_idx and STEPS. A movie with an empty side has no steps.
 
-    The recurrence of one movie runs in one task (some thousand segments); movies run in parallel."""
-    kinds = ", ".join(f"`{k}` {raw.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = [x.split()[0] for x in STEPS.split(", ")]
-        key = a if len(a) else b
-        steps = align_spans(a.sort_values("o")["t"].tolist(), b.sort_values("o")["t"].tolist(), rules)
-        out = pd.DataFrame([{**{k: key[k].iloc[0] for k in keys}, "step_idx": i, **s} for i, s in enumerate(steps)], columns=[*keys, *names])
-        for c in ("raw_start", "raw_end", "dialogue_start", "dialogue_end"):
-            out[c] = out[c].astype("Int32")
-        return out.astype({c: "float64" for c in ("match_score", "overlap_recall", "overlap_precision", "token_f1", "length_ratio")})
-
-    a = raw.select(*keys, F.col(order).alias("o"), normalize_for_match(F.col(raw_text)).alias("t"))
-    b = dialogue.select(*keys, F.col(order).alias("o"), normalize_for_match(F.col(dialogue_text)).alias("t"))
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, f"{kinds}, {STEPS}")
+    The recurrence of one movie runs in one task (some thousand segments); movies run in parallel. Segments of a movie lie
+    side by side in a partition, in their order (equal `order`: by text), so that a task holds one movie at a time."""
+    kinds = [(k, raw.schema[k].dataType.simpleString()) for k in keys]
+
+    def movies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[str], list[str]]]:
+        now, sides = None, ([], [])
+        for batch in batches:
+            for key, side, text in zip(zip(*(batch.column(i).to_pylist() for i in range(len(keys))), strict=True), batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist(), strict=True):
+                if key != now:
+                    if now is not None:
+                        yield now, *sides
+                    now, sides = key, ([], [])
+                sides[side].append(text)
+        if now is not None:
+            yield now, *sides
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, out = None, []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist(out, schema=schema)
+
+        def read() -> Iterator[pa.RecordBatch]:
+            nonlocal schema
+            for b in batches:
+                schema = pa.schema([b.schema.field(i) for i in range(len(keys))] + [pa.field(n, ARROW[t]) for n, t in (x.split() for x in STEPS.split(", "))])
+                yield b
+
+        for key, mine, theirs in movies(read()):
+            out += [dict(zip(keys, key, strict=True)) | {"step_idx": i} | step for i, step in enumerate(align_spans(mine, theirs, rules))]
+            if len(out) >= 4096:
+                yield batch()
+                out = []
+        if out:
+            yield batch()
+
+    side = lambda df, n, text: df.select(*keys, F.lit(n).alias("__side"), F.col(order).alias("__o"), F.coalesce(normalize_for_match(F.col(text)), F.lit("")).alias("__t"))
+    both = side(raw, 0, raw_text).unionByName(side(dialogue, 1, dialogue_text))
+    parts = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes make much work, so they are not to be coalesced
+    dealt = both.repartition(parts, *keys).sortWithinPartitions(*keys, "__side", F.col("__o").asc_nulls_last(), "__t")
+    return dealt.select(*keys, "__side", "__t").mapInArrow(run, ", ".join([*(f"`{k}` {t}" for k, t in kinds), STEPS]))

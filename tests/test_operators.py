@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shotlens.operators import alignment
 from shotlens.operators.alignment import AlignmentRules, _score, _spans, align, align_spans
 from shotlens.operators.asof import asof_join, nearest_join
 from shotlens.operators.folds import greedy_pairs
@@ -48,6 +50,33 @@ def brute_alignment(raw, said, rules):
     return path[::-1]
 
 
+def test_alignment_of_a_short_movie_is_that_of_a_long_one(monkeypatch):
+    """Movies are matched as a whole or row by row, with the same steps; the first way reads each row once."""
+    rng, calls = np.random.default_rng(6), []
+    plain = alignment._Rows.next
+    monkeypatch.setattr(alignment._Rows, "next", lambda self: calls.append(self.i) or plain(self))
+    for n, m in ((1, 1), (5, 4), (9, 30), (60, 40), (3, 0)):
+        raw, said = ([" ".join(f"w{x}" for x in rng.integers(0, 25, rng.integers(0, 9))) for _ in range(k)] for k in (n, m))
+        got = align_spans(raw, said)
+        assert len(calls) == (n + 1 if m else 0)
+        with monkeypatch.context() as long:
+            long.setattr(alignment, "SMALL", 0)
+            assert got == align_spans(raw, said)
+        calls.clear()
+
+
+def test_alignment_deals_movies_apart(spark):
+    rows = [(k, i, f"{k} word {i} of {i * 7 % 5}") for k in ("a", "b", None, "c") for i in range(6)] + [("d", 0, "alone")]
+    df = spark.createDataFrame(rows, "movie string, i long, t string")
+    out = align(df, df.where("i <> 2 AND movie IS DISTINCT FROM 'd'"), ["movie"], "i", "t", "t").collect()
+    for k in ("a", "b", None, "c"):
+        mine = [t.lower() for m, _, t in rows if m == k]
+        want = align_spans([t.replace("None", "none") for t in mine], [t for i, t in enumerate(mine) if i != 2])
+        got = sorted((r["step_idx"], r["type"], r["raw_start"], r["dialogue_end"], r["match_score"]) for r in out if r["movie"] == k)
+        assert got == [(i, s["type"], s["raw_start"], s["dialogue_end"], s["match_score"]) for i, s in enumerate(want)]
+    assert not [r for r in out if r["movie"] == "d"]
+
+
 def test_alignment_against_brute_force(spark):
     rng = random.Random(1)
     for _ in range(40):
