@@ -4,10 +4,11 @@ scores with the statistics of the whole table.
 Texts are taken apart once, into a table of their terms in the shared folder. A shard is what a task reads of it,
 SHARD_POSTINGS at a time; nothing is shuffled to build it. The queries, with the inverse document frequencies of their
 terms, are a table in the shared folder that each shard reads in blocks, so that no task and not the driver ever holds
-all of them. Two passes are made over the shards. The first scores a few documents that share a query's rarest terms,
-and gives each query one threshold for all shards, below its k-th best score. The second returns what reaches it. Blocks
-are aligned over a shard's terms, so that the pivot test, whether the block maxima of the terms together reach the
-threshold, is made for all blocks at a time, and the others are skipped. In the blocks that are left a shard's commonest
+all of them. Every document is in one of several rounds, dealt by a hash of its id: the first is of a few shards, each
+later one of three times what came before it. A round is asked for what comes before the k-th best that a query has found
+in the rounds before (by score and id), so that of each some 3 * k rows a query are to be expected, however many shards
+it has; each shard is built and asked once. Blocks are aligned over a shard's terms, so that the pivot test, whether the block
+maxima of the terms together reach the threshold, is made for all blocks at a time, and the others are skipped. In the blocks that are left a shard's commonest
 terms, which hold most postings, are scored by one matrix product for many queries, the others by their postings; these
 sums are bounds, and scores are exact.
 """
@@ -15,7 +16,7 @@ sums are bounds, and scores are exact.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ from shotlens.session import materialise, shared_dir
 K1, B = 1.2, 0.75
 #: Postings of a shard's index and documents of a block whose largest impact bounds it; both bound a task's memory.
 SHARD_POSTINGS, BLOCK_DOCS = 3_000_000, 128
-#: Postings of the rarest terms that a shard looks at for the threshold, and documents that it scores for it.
-SEED_POSTINGS, SEEDS = 2048, 2
+#: Postings of the rarest terms that a shard looks at for a threshold where none is known.
+SEED_POSTINGS = 2048
+#: A round's share of what is left to it, as the logarithm's base, and rounds at most.
+ROUND, ROUNDS = 4.0, 12
 #: Commonest terms of a shard whose impacts are a matrix (those in at least one of COMMON_SHARE documents), and queries that
 #: are multiplied with it at a time; cells of that matrix, and of the sums, at most, for shards of many short texts.
 COMMON, COMMON_SHARE, TOGETHER = 1024, 128, 128
@@ -142,9 +145,10 @@ class Shard:
         return self.search_many([(own, terms, idf, least)], k)[0]
 
     def search_many(self, queries: list[tuple], k: int) -> list[list[tuple[float, object]]]:
-        """`search` for each (own, terms, idf, least). Queries that share their commonest term go together, up to
-        TOGETHER at a time, because they leave the same blocks out. Where no threshold is known the shard looks for one of its own."""
-        for i, (own, terms, idf, least) in enumerate(queries := list(queries)):
+        """`search` for each (own, terms, idf, least), or (own, terms, idf, least, last) for what comes before the row of score
+        `least` and id `last`. Queries that share their commonest term go together, up to TOGETHER at a time, because they leave
+        the same blocks out. Where no threshold is known the shard looks for one of its own."""
+        for i, (own, terms, idf, least, *_) in enumerate(queries := list(queries)):
             if least <= 0 and len(some := sorted(self.seeds(own, terms, idf, k))) == k:
                 queries[i] = own, terms, idf, some[0]
         order = sorted(range(len(queries)), key=lambda i: int(queries[i][1][queries[i][2].argmin()]) if len(queries[i][1]) else 0)
@@ -159,7 +163,7 @@ class Shard:
         blocks = int(self.block[-1]) + 1
         weight = np.zeros((len(queries), self.common.shape[1]), np.float32)
         keep, rare = np.zeros((len(queries), blocks), bool), []
-        for i, (_, terms, idf, _) in enumerate(queries):
+        for i, (_, terms, idf, *_) in enumerate(queries):
             at, w = self._places(terms, idf)
             column = self.column[at]
             weight[i, column[column >= 0]] = w[column >= 0]
@@ -177,7 +181,7 @@ class Shard:
         rows = np.flatnonzero(keep.any(0)[self.block])
         sums = np.zeros((len(queries), len(self.ids)))
         sums[:, rows] = weight @ (self.common if len(rows) == len(self.ids) else self.common[rows]).T
-        for i, (own, terms, idf, least) in enumerate(queries):
+        for i, (own, terms, idf, least, *last) in enumerate(queries):
             cell, of = cells[i]
             n = self.postings[cell]
             here = places(self.posting[cell], n)
@@ -191,6 +195,8 @@ class Shard:
             at, _ = self._ask(terms, idf)
             best = sorted((-s, d) for s, d in zip(self._exact(some).tolist(), self.ids[some].tolist(), strict=True) if s >= queries[i][3] * (1 - 1e-12))
             self.q[at] = 0
+            if last:  # equal sums are equal to the last bit: they are of the same numbers in the same order
+                best = [x for x in best if x < (-queries[i][3], last[0])]
             yield best[:k]
 
 
@@ -221,20 +227,26 @@ def search(spark: SparkSession, docs: DataFrame, queries: Column, k: int = 10, i
             trim(terms.cache, CACHE)
             yield batch_of(id=batch.column(0), terms=pa.array([terms.of(t)[0].view(np.int64) for t in column_bytes(batch, "text")], pa.list_(pa.int64())))
 
-    # texts are taken apart once: their terms and counts are a table in the shared folder that all passes read
-    held = materialise(spark, map_arrow(rows.select("id", "text"), taken, f"id {kind}, term array<long>, n array<int>"), "terms")
+    # texts are taken apart once: their terms and counts are a table in the shared folder that all rounds read
+    place = (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
+    level = F.least(F.floor(-F.log(ROUND, place)), F.lit(ROUNDS - 1)).cast("int")
+    parsed, kept = map_arrow(rows.select("id", "text"), taken, f"id {kind}, term array<long>, n array<int>"), shared_dir(spark, "terms")
+    parsed.withColumn("level", level).write.partitionBy("level").parquet(kept)
+    held = spark.read.schema(f"id {kind}, term array<long>, n array<int>, level int").parquet(kept)
     counted = materialise(spark, held.select(F.explode("term").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "frequencies")
-    n, words = held.select(F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y).alias("words")).agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).head()
+    length = F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y)
+    levels = held.groupBy("level").agg(F.count("*").alias("rows"), F.coalesce(F.sum(length), F.lit(0)).alias("words"), F.coalesce(F.sum(F.size("n").cast("long")), F.lit(0)).alias("postings")).collect()
+    n, words = sum(r["rows"] for r in levels), sum(r["words"] for r in levels)
     average = words / n if n else 0.0
     asked = map_arrow(rows.where("asks").groupBy("id").agg(F.min("text").alias("text")), query_terms, f"id {kind}, terms array<long>")
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.select("id", F.explode("terms").alias("term")).join(counted.select("term", idf.alias("idf")), "term")
     each = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("terms"))  # one text's terms
     untold = shared_dir(spark, "queries")
-    each.select("id", F.col("terms.term").alias("term"), F.col("terms.idf").alias("idf"), F.lit(0.0).alias("least")).write.parquet(untold)
+    each.select("id", F.col("terms.term").alias("term"), F.col("terms.idf").alias("idf"), F.lit(0.0).alias("least"), F.lit(None).cast(kind).alias("last")).write.parquet(untold)
 
-    def over_shards(source: str, ask: Callable[[Shard, list[tuple]], list[list[tuple[float, object]]]]) -> DataFrame:
-        """What `ask` finds in each shard for the queries (own, terms, idf, least) of a table in the shared folder."""
+    def over_shards(part: DataFrame, source: str) -> DataFrame:
+        """The best of each shard of `part` for the queries (own, terms, idf, least, last) of a table in the shared folder."""
 
         def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, parts, counts, size = [], [], [], 0
@@ -245,11 +257,11 @@ def search(spark: SparkSession, docs: DataFrame, queries: Column, k: int = 10, i
                 files = [f.path for f in store.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet")]
                 for q in pads.dataset(files, filesystem=store, format="parquet").to_batches(batch_size=256, batch_readahead=1, fragment_readahead=1) if files else ():
                     asked = []
-                    for own, t, w, least in zip(q.column(0).to_pylist(), q.column(1), q.column(2), q.column(3).to_pylist(), strict=True):
+                    for own, t, w, least, last in zip(q.column(0).to_pylist(), q.column(1), q.column(2), q.column(3).to_pylist(), q.column(4).to_pylist(), strict=True):
                         t, w = np.asarray(t.values).view(np.uint64), np.asarray(w.values)
                         order = np.argsort(t)
-                        asked.append((own, t[order], w[order], least))
-                    found = [(own, i, -s) for (own, *_), best in zip(asked, ask(shard, asked), strict=True) for s, i in best]
+                        asked.append((own, t[order], w[order], least) if last is None else (own, t[order], w[order], least, last))
+                    found = [(own, i, -s) for (own, *_), best in zip(asked, shard.search_many(asked, k), strict=True) for s, i in best]
                     yield batch_of(query_id=pa.array([x[0] for x in found], q.column(0).type), id=pa.array([x[1] for x in found], q.column(0).type), score=pa.array([x[2] for x in found], pa.float64()))
 
             for batch in batches:
@@ -268,22 +280,27 @@ def search(spark: SparkSession, docs: DataFrame, queries: Column, k: int = 10, i
             if ids:
                 yield from run()
 
-        return map_arrow(held, shards, f"query_id {kind}, id {kind}, score double")
+        return map_arrow(part.select("id", "term", "n"), shards, f"query_id {kind}, id {kind}, score double")
 
-    def first(shard: Shard, asked: list[tuple]) -> list[list[tuple[float, object]]]:
-        return [[(-s, None) for s in shard.seeds(own, t, w, SEEDS)] for own, t, w, _ in asked]
-
-    def second(shard: Shard, asked: list[tuple]) -> list[list[tuple[float, object]]]:
-        return shard.search_many(asked, k)
-
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-    known = over_shards(untold, first).withColumn("r", best).where(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("known"))
-    told = shared_dir(spark, "thresholds")
-    asked = spark.read.schema(f"id {kind}, term array<long>, idf array<double>, least double").parquet(untold)
-    asked.join(known, "id", "left").select("id", "term", "idf", F.coalesce("known", "least").alias("least")).write.parquet(told)
-    found = over_shards(told, second)
+    # the deepest levels that fill a shard together are the first round, each other one is a round
+    per, rounds, deepest = max(1, shard_postings // 2), [], 0
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        deepest += r["postings"]
+        if rounds:
+            rounds.append((F.col("level") == r["level"], r["postings"]))
+        elif deepest >= per or r["level"] == min(x["level"] for x in levels):
+            rounds.append((F.col("level") >= r["level"], deepest))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+    best, told = spark.createDataFrame([], f"query_id {kind}, id {kind}, score double, rank int"), untold
+    for i, (of, postings) in enumerate(rounds):
+        found = over_shards(held.where(of).coalesce(-(-postings // per) or 1), told)
+        best = (best.drop("rank").unionByName(found) if i else found).withColumn("rank", rank).where(F.col("rank") <= k)
+        if i + 1 < len(rounds):
+            best, told = materialise(spark, best, "best"), shared_dir(spark, "thresholds")
+            known = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"), F.col("id").alias("last"))
+            asked = spark.read.schema(f"id {kind}, term array<long>, idf array<double>, least double, last {kind}").parquet(untold)
+            asked.select("id", "term", "idf").join(known, "id", "left").select("id", "term", "idf", F.coalesce("least", F.lit(0.0)).alias("least"), "last").write.parquet(told)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 
 
 def op7_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:

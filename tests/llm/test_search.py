@@ -222,3 +222,36 @@ def test_bm25_against_brute_force(spark, corpus, no_rows, postings, block):
         assert [(-round(s, 8), i) for _, i, s in mine] == sorted(want)[:10]
     assert search(spark, corpus, F.lit(True)).count() > 0
     assert search(spark, no_rows, F.lit(True)).count() == 0
+
+
+def test_bm25_last_of_equal_scores():
+    """Of 30 copies, 20 at a time: what comes before the score and id of a row found elsewhere."""
+    one = np.array([3, 7], np.uint64), np.array([1, 2])
+    shard = search_module.Shard(list(range(30)), [one[0]] * 30, [one[1]] * 30, 3.0, block_docs=4)
+    best = shard.search(99, one[0], np.ones(2), 20)
+    assert [i for _, i in best] == list(range(20)) and len({s for s, _ in best}) == 1
+    least = -best[0][0]
+    asked = [(99, one[0], np.ones(2), x, last) for x, last in ((least, 5), (least, 0), (least * 0.999, 0), (least * 1.001, 40))]
+    assert [[i for _, i in b] for b in shard.search_many(asked, 20)] == [list(range(5)), [], list(range(20)), []]
+
+
+def test_bm25_rows_between_shards_do_not_follow_their_number(spark, monkeypatch):
+    made, plain = spark.sparkContext.accumulator(0), search_module.map_arrow
+
+    def counted(df, f, schema):
+        def run(batches):
+            for b in f(batches):
+                if schema.startswith("query_id"):
+                    made.add(b.num_rows)
+                yield b
+
+        return plain(df, run, schema)
+
+    rng = random.Random(8)
+    rows = [(i, " ".join("t" + str(int(rng.paretovariate(0.7))) for _ in range(20)), 1) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rank int")
+    want = [tuple(r) for r in search(spark, docs, F.col("doc_id") % 50 == 0, 2).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(search_module, "map_arrow", counted)
+    got = search(spark, docs, F.col("doc_id") % 50 == 0, 2, shard_postings=200, block_docs=8).toPandas()  # some 100 shards
+    assert [tuple(r) for r in got.sort_values(["query_id", "rank"]).itertuples(index=False)] == want
+    assert 32 <= made.value < 16 * 50
