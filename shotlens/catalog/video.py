@@ -13,6 +13,7 @@ from shotlens.functions.numeric import direction_bucket
 from shotlens.operators.folds import greedy_pairs
 from shotlens.operators.gallery import nearest_two
 from shotlens.operators.interval import contained
+from shotlens.operators.places import tasks_for
 from shotlens.operators.sampling import bucket_sample, quotas
 from shotlens.operators.similarity import best_match, mean_unit
 from shotlens.operators.tracking import TrackRules, track_boxes
@@ -208,8 +209,8 @@ def identity_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stage(spark: SparkSession, sf_dir: str):
-    """Bins, tracks, identities and shots made of conversations: two tracks a shot, one bin a track. The shots and tracks,
-    which all four tables come from, are written once."""
+    """Bins, tracks, identities and shots made of conversations: two tracks a shot, one bin a track. The shots, which all
+    four tables come from, and the bins are written once."""
     s = shots(spark, sf_dir)
     seq = s.groupBy("conv_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("P"), F.col("voice").cast("string")))).alias("active_speakers"))
     sh = s.join(seq, "conv_id").select(F.col("conv_id").cast("string").alias("sequence_id"), F.concat_ws("_", F.lit("s"), "conv_id", "shot_idx").alias("shot_id"), "shot_idx", F.when(F.col("dur") % 2 == 0, "single_speaking").otherwise("two_person_dialogue_simple").alias("stage_type"), F.array(F.concat(F.lit("P"), F.col("voice").cast("string"))).alias("aligned_speakers"), "active_speakers", "dur", "voice")
@@ -219,7 +220,7 @@ def _stage(spark: SparkSession, sf_dir: str):
     ident = t.select("shot_id", "local_track_id", F.when((F.col("dur") + F.col("k")) % 3 == 0, F.concat(F.lit("P"), F.col("voice").cast("string"))).otherwise("").alias("cast_pid"), F.lit("").alias("character_name"), F.lit("").alias("cast_name"), F.when((F.col("dur") + F.col("k")) % 3 == 0, 0.8).when((F.col("dur") + F.col("k")) % 3 == 1, 0.5).otherwise(0.0).alias("identity_confidence"), F.lit(0.9).alias("track_conf"), F.lit("unknown").alias("identity_status"))
     ident = ident.withColumn("global_person_id", F.concat_ws(":", F.lit("g"), "shot_id", "local_track_id"))
     bins = t.select("sequence_id", "shot_id", "shot_idx", "local_track_id", F.lit(0).cast("long").alias("bin_idx"), F.lit(0.0).alias("bin_start_sec"), F.lit(0.5).alias("bin_end_sec"), F.when(F.col("dur") % 5 == 0, "unknown").when(F.col("dur") % 5 == 1, "pose_fallback").otherwise("gaze_reliable").alias("gaze_quality"), ((F.col("dur") % 11 - 5) / 10.0).alias("gaze_angle_x_mean"), ((F.col("dur") % 7 - 3) / 10.0).alias("gaze_angle_y_mean"), ((F.col("dur") % 13 - 6) / 10.0).alias("pose_Ry_mean"), F.lit(1.0).alias("valid_ratio"), F.lit(0.9).alias("confidence_mean"))
-    return bins, tr, ident, sh
+    return materialise(spark, bins, "bins"), tr, ident, sh  # read from files its constants are columns, by which rows can be dealt
 
 
 _STAGE = f"""{V_SHOT}, q AS (SELECT conv_id, list_sort(list(DISTINCT 'P' || voice)) AS act FROM v_shot GROUP BY conv_id),
@@ -242,12 +243,14 @@ c AS (SELECT *, round(least(1, greatest(0, raw)), 6) AS total FROM c1)"""
 
 @query("target_candidates", f"WITH {_STAGE} SELECT shot_id, trk AS local_track_id, ctype AS candidate_type, cid AS candidate_id, side AS candidate_side FROM c")
 def target_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets.candidates(*_stage(spark, sf_dir)).select("shot_id", "local_track_id", "candidate_type", "candidate_id", "candidate_side")
+    stage = _stage(spark, sf_dir)
+    return targets.candidates(*stage, parts=tasks_for(stage[0])).select("shot_id", "local_track_id", "candidate_type", "candidate_id", "candidate_side")
 
 
 @query("target_score", f"WITH {_STAGE} SELECT shot_id, trk AS local_track_id, ctype AS candidate_type, cid AS candidate_id, round(total, 4) AS total_score FROM c")
 def target_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets.candidates(*_stage(spark, sf_dir)).select("shot_id", "local_track_id", "candidate_type", "candidate_id", F.round("total_score", 4).alias("total_score"))
+    stage = _stage(spark, sf_dir)
+    return targets.candidates(*stage, parts=tasks_for(stage[0])).select("shot_id", "local_track_id", "candidate_type", "candidate_id", F.round("total_score", 4).alias("total_score"))
 
 
 _ASSIGN = f"""{_STAGE}, r AS (SELECT *, CASE ctype WHEN 'onscreen_local_track' THEN 5 WHEN 'current_speaker' THEN 4 WHEN 'offscreen_participant' THEN 3 WHEN 'offscreen_place_or_away' THEN 2 WHEN 'down_self_or_think' THEN 1 ELSE 0 END AS prio,
@@ -264,8 +267,9 @@ o AS (SELECT conv_id, shot_id, shot_idx, trk, reason, CASE reason WHEN 'assigned
 @query("target_assign", f"WITH {_ASSIGN} SELECT shot_id, trk AS local_track_id, target_type, target_id, status AS proxy_status, reason AS failure_reason, round(conf, 4) AS proxy_confidence FROM o")
 def target_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins, tr, ident, sh = _stage(spark, sf_dir)
-    c = materialise(spark, targets.candidates(bins, tr, ident, sh), "candidates")  # the fold and the join around it both read them
-    a = targets.assignments(bins, c, ident, sh)
+    n = tasks_for(bins)
+    c = materialise(spark, targets.candidates(bins, tr, ident, sh, parts=n), "candidates")  # the fold and the join around it both read them
+    a = targets.assignments(bins, c, ident, sh, parts=n)
     return a.select("shot_id", "local_track_id", "target_type", "target_id", "proxy_status", "failure_reason", F.round("proxy_confidence", 4).alias("proxy_confidence"))
 
 
@@ -274,8 +278,9 @@ SELECT o.shot_id, o.trk AS subject_local_track_id, tr.stage AS stage_type, 'g:'
 FROM o JOIN tr ON tr.shot_id = o.shot_id AND tr.trk = o.trk JOIN k ON k.shot_id = o.shot_id AND k.trk = o.trk""")
 def final_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins, tr, ident, sh = _stage(spark, sf_dir)
-    c = materialise(spark, targets.candidates(bins, tr, ident, sh), "candidates")
-    f = targets.final_table(bins, ident, targets.assignments(bins, c, ident, sh), sh, tr, c)
+    n = tasks_for(bins)
+    c = materialise(spark, targets.candidates(bins, tr, ident, sh, parts=n), "candidates")
+    f = targets.final_table(bins, ident, targets.assignments(bins, c, ident, sh, parts=n), sh, tr, c, n)
     return f.select("shot_id", "subject_local_track_id", "stage_type", "subject_global_person_id", F.round("identity_confidence", 4).alias("identity_confidence"), "identity_status", "candidate_count", "has_offscreen_person_candidate", "target_id", "proxy_status", "gaze_direction_bucket")
 
 

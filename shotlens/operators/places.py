@@ -11,6 +11,24 @@ from shotlens.session import materialise
 
 #: Rows of a table of counts up to which it is broadcast; a larger one is joined.
 FEW_ROWS = 100_000
+#: Rows of a task, where a table is dealt by its count of rows.
+TASK_ROWS = 25_000
+
+
+def tasks_for(rows: DataFrame) -> int | None:
+    """The number of tasks for a table of so many rows, for `dealt`; None where each core gets no more than one."""
+    spark = rows.sparkSession
+    n = -(-rows.count() // TASK_ROWS)
+    return max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))) if n > spark.sparkContext.defaultParallelism else None
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """The table dealt by `keys` to `parts` tasks; as it is, if that is None.
+
+    Adaptive execution puts partitions together by their compressed bytes, down to a task for each core, and rows that repeat
+    themselves take many times these in memory: so a task's share would grow with the table. It leaves a given number alone,
+    and what is joined to such a table by the same keys, or grouped by these and more, is dealt to as many."""
+    return df.repartition(parts, *keys) if parts else df
 
 
 def small(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

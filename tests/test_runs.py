@@ -154,3 +154,43 @@ def test_stage_tables_meet_without_an_exchange(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_many_bins_are_dealt_by_their_count(spark, monkeypatch):
+    """Adaptive execution would put all of these rows together in one task. Nothing is dealt twice for one join."""
+    import re
+
+    from shotlens.operators import places
+    from shotlens.plans import targets
+    from shotlens.session import materialise
+
+    monkeypatch.setattr(places, "TASK_ROWS", 10)
+    bins = spark.range(80).selectExpr("'q' AS sequence_id", "concat('s', id % 40) AS shot_id", "1 AS shot_idx", "concat('trk_', id % 2) AS local_track_id", "id AS bin_idx", "id / 2.0 AS bin_start_sec", "id / 2.0 + 0.5 AS bin_end_sec", "if(id % 7 = 0, 'unknown', 'gaze_reliable') AS gaze_quality", "id % 11 / 10.0D - 0.5D AS gaze_angle_x_mean", "0.0D AS gaze_angle_y_mean", "id % 5 / 5.0D - 0.4D AS pose_Ry_mean", "1.0D AS valid_ratio", "0.9D AS confidence_mean")
+    bins = materialise(spark, bins.withColumn("bin_start_sec", F.when(F.col("bin_idx") == 0, F.lit(-0.0)).otherwise(F.col("bin_start_sec"))), "bins")
+    tracks = spark.createDataFrame([(f"s{i % 40}", f"trk_{k}", i / 2 + 0.1, 10.0 + 90 * k, 0.9) for i in range(80) for k in range(2)], "shot_id string, local_track_id string, timestamp_sec double, bbox_cx double, track_conf double")
+    ids = spark.createDataFrame([(f"s{i}", f"trk_{i % 2}", "g", f"p{i % 3}", "", "", 0.9, "linked_pid", 0.8) for i in range(0, 40, 3)], "shot_id string, local_track_id string, global_person_id string, cast_pid string, character_name string, cast_name string, identity_confidence double, identity_status string, track_conf double")
+    shots = spark.createDataFrame([("q", f"s{i}", i, "two_person_dialogue_simple", ["A"], ["A", "B"]) for i in range(40)], "sequence_id string, shot_id string, shot_idx int, stage_type string, aligned_speakers array<string>, active_speakers array<string>")
+    n = places.tasks_for(bins)
+    assert n == 8 and places.tasks_for(bins.limit(40)) is None
+
+    def stages(parts):
+        c = targets.candidates(bins, tracks, ids, shots, parts=parts)
+        a = targets.assignments(bins, c, ids, shots, parts=parts)
+        return c, a, targets.final_table(bins, ids, a, shots, tracks, c, parts)
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plain, some = stages(None), stages(n)
+        for p, s in zip(plain, some, strict=True):
+            assert p.columns == s.columns and sorted(map(repr, p.collect())) == sorted(map(repr, s.collect()))
+        for s in (some[0], some[2]):
+            assert s.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+        assert some[0].where("candidate_side = 'right'").count() == some[0].where("candidate_side = 'left'").count() == 40  # boxes are found at -0.0 too
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for s in stages(n):
+            plan = s._jdf.queryExecution().executedPlan().toString()
+            assert "REPARTITION_BY_NUM" in plan and not re.search(r"ENSURE_REQUIREMENTS[^\n]*\n(?:[^\n]*Project[^\n]*\n)?[^\n]*REPARTITION_BY_NUM", plan), plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
